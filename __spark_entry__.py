@@ -398,10 +398,10 @@ def ledger_upsert(spark, sf_dir):
 
 
 def _upsert_parts(spark, sf_dir):
-    """Documents labelled toxic change to their upper-case text."""
+    """Documents labelled toxic change to their lower-case text."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     toxic = _table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
-    changed = docs.join(toxic, "doc_id", "left_semi").select("doc_id", F.upper("text").alias("text"))
+    changed = docs.join(toxic, "doc_id", "left_semi").select("doc_id", F.lower("text").alias("text"))
     return chunking.chunk_fixed(docs), toxic, chunking.chunk_fixed(changed)
 
 

@@ -13,18 +13,18 @@ EMBED = """
 slotted_{name} AS (
   SELECT {ids}, text,
     list_transform(
-      list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), w -> w <> ''),
-      w -> CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64) AS slots
+      list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> ''),
+      lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64) AS slots
   FROM {source}
 ),
 counted_{name} AS (
-  SELECT {ids}, text, list_transform(range(0, 64), i -> len(list_filter(slots, s -> s = i))) AS c
+  SELECT {ids}, text, list_transform(range(0, 64), lambda i: len(list_filter(slots, lambda s: s = i))) AS c
   FROM slotted_{name}
 ),
 {name} AS (
   SELECT {ids}, text,
-    list_transform(c, x -> CASE WHEN n = 0 THEN CAST(0 AS FLOAT) ELSE CAST(x / n AS FLOAT) END) AS v
-  FROM (SELECT *, sqrt(list_sum(list_transform(c, x -> x * x))) AS n FROM counted_{name})
+    list_transform(c, lambda x: CASE WHEN n = 0 THEN CAST(0 AS FLOAT) ELSE CAST(x / n AS FLOAT) END) AS v
+  FROM (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM counted_{name})
 )"""
 
 # Sentence units, their cumulative word counts, and the greedy packing.
@@ -32,22 +32,22 @@ SENTENCES = """
 RECURSIVE units AS (
   SELECT doc_id, flatten(list_transform(
     string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
-    s -> regexp_extract_all(s, '\\S+(?:\\s+\\S+){{0,279}}'))) AS u
+    lambda s: regexp_extract_all(s, '\\S+(?:\\s+\\S+){{0,279}}'))) AS u
   FROM {source}
 ),
 sized AS (
-  SELECT doc_id, u, list_transform(u, s -> len(regexp_extract_all(s, '\\S+'))) AS n FROM units WHERE len(u) > 0
+  SELECT doc_id, u, list_transform(u, lambda s: len(regexp_extract_all(s, '\\S+'))) AS n FROM units WHERE len(u) > 0
 ),
 ends AS (
-  SELECT doc_id, u, list_transform(range(0, len(u) + 1), i -> CAST(coalesce(list_sum(n[1:i]), 0) AS BIGINT)) AS e FROM sized
+  SELECT doc_id, u, list_transform(range(0, len(u) + 1), lambda i: CAST(coalesce(list_sum(n[1:i]), 0) AS BIGINT)) AS e FROM sized
 ),
 packed AS (
-  SELECT doc_id, 0 AS chunk_idx, 0 AS first, len(list_filter(e, x -> x <= 280)) - 1 AS stop FROM ends
+  SELECT doc_id, 0 AS chunk_idx, 0 AS first, len(list_filter(e, lambda x: x <= 280)) - 1 AS stop FROM ends
   UNION ALL
-  SELECT doc_id, chunk_idx + 1, nxt, len(list_filter(e, x -> x <= e[nxt + 1] + 280)) - 1
+  SELECT doc_id, chunk_idx + 1, nxt, len(list_filter(e, lambda x: x <= e[nxt + 1] + 280)) - 1
   FROM (
     SELECT p.doc_id, p.chunk_idx, d.e,
-      len(list_filter(d.e, x -> x < greatest(d.e[p.stop + 1] - 30, d.e[p.stop + 2] - 280))) AS nxt
+      len(list_filter(d.e, lambda x: x < greatest(d.e[p.stop + 1] - 30, d.e[p.stop + 2] - 280))) AS nxt
     FROM packed p JOIN ends d ON p.doc_id = d.doc_id
     WHERE p.stop < len(d.u)
   )
@@ -73,7 +73,7 @@ def _list(values) -> str:
 
 
 def _sum(v: str, q: str, term: str) -> str:
-    return f"list_sum(list_transform(list_zip({v}, {q}), p -> {term.format(x='p[1]::DOUBLE', y='p[2]::DOUBLE')}))"
+    return f"list_sum(list_transform(list_zip({v}, {q}), lambda p: {term.format(x='p[1]::DOUBLE', y='p[2]::DOUBLE')}))"
 
 
 def _metric(metric: str, v: str, q: str) -> str:
@@ -147,10 +147,10 @@ def statements(embedder, rare: str, common: str, k: int) -> dict[str, str]:
         )"""
     all_chunks_of_files = f"{chunks} SELECT {REL_PATH} AS rel_path, chunk_idx, c.text FROM chunks c JOIN documents d USING (doc_id)"
     upper = CHUNKS.replace("chunks AS", "changed AS").format(
-        source="(SELECT doc_id, upper(text) AS text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))"
+        source="(SELECT doc_id, lower(text) AS text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))"
     )
     kept = "SELECT doc_id, chunk_idx, text FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"
-    slots = "len(list_filter(v, x -> x > 0))"
+    slots = "len(list_filter(v, lambda x: x > 0))"
     docs_embedded = "WITH " + EMBED.format(name="emb", ids="doc_id", source="documents")
 
     return {
