@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 # Above this many bytes a join side is shuffled instead of broadcast.
 BROADCAST_BYTES = 64 << 20
 
+# A task should read about this much.
+TASK_BYTES = 64 << 20
+
 
 _shipped: set[str] = set()
 
@@ -65,15 +68,29 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Give a plain file scan at least one task per core.
 
-    One file with a single row group is read by one task, however many splits
-    it has, and everything fused to that scan would run there. A scan that has
-    a split per core already, as any large table has, is returned unchanged, so
-    this never shuffles big data. ``keys`` should be unique, hence even.
+    One file with a single row group is read by one task, however many splits it
+    has, and everything fused to that scan would run there: such a scan is dealt out
+    by ``keys``, which should be unique, hence even. A scan that has a split per core
+    already, as any large table has, is returned unchanged.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores * 2, *keys) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def gather(scan: DataFrame) -> DataFrame:
+    """Join the tiny tasks that a scan of very many tiny files gets, without a shuffle.
+
+    Every file counts as at least 4 MB when splits are planned. A scan whose splits
+    hold about ``TASK_BYTES`` is returned unchanged.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores * 2, *keys)
+    enough = max(cores * 2, -(-scan_bytes(scan) // TASK_BYTES))
+    return scan.coalesce(enough) if enough < scan.rdd.getNumPartitions() else scan
+
+
+def scan_bytes(scan: DataFrame) -> int:
+    """Bytes of the files behind a scan, from the statistics of its plan; runs no job."""
+    return int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def _width(field: T.StructField):

@@ -33,7 +33,11 @@ class Embedder:
     load: Callable[[], Callable[[list[str]], Sequence]]
 
     def column(self, text: Column) -> Column:
-        """``array<float>`` column; null where the text is null or the model failed."""
+        """``array<float>`` column; null where the text is null or the model failed.
+
+        Marked nondeterministic so that the optimizer never runs the model a second
+        time to evaluate a filter on its result. Filter rows before embedding them.
+        """
         load = self.load
 
         @F.arrow_udf("array<float>")
@@ -42,7 +46,7 @@ class Embedder:
             for texts in batches:
                 yield _embed_batch(model, texts.to_pylist())
 
-        return embed(text)
+        return embed.asNondeterministic()(text)
 
     def one(self, text: str) -> list[float] | None:
         """Vector of a single query text, as 32-bit values, or None when it failed."""

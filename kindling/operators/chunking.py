@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from kindling.cluster import gather
 from kindling.functions import text as tx
 
 # Window length and overlap in characters, sentence chunk size and
@@ -120,74 +121,69 @@ def chunk_large_files(
     stride = size - overlap
     if stride <= 0 or overlap < 0:
         raise ValueError("need 0 <= overlap < size")
-    raw = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .option("lineSep", "\n")
-        .text(root)
-        .select(
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n")
+    scanned = gather(
+        reader.text(root).select(
             F.col("_metadata.file_path").alias("doc_id"),
             F.col("_metadata.file_block_start").alias("block"),
             F.col("_metadata.file_size").alias("file_size"),
-            F.monotonically_increasing_id().alias("line"),
             "value",
         )
     )
-    # The reader drops line ends; the byte total tells whether the last line had one.
-    blocks = raw.groupBy("doc_id", "block").agg(
-        F.max("line").alias("last_line"),
-        F.sum(F.octet_length("value").cast("long") + 1).alias("bytes"),
-        F.first("file_size").alias("file_size"),
-    )
-    ends = blocks.groupBy("doc_id").agg(
-        F.max(F.struct("block", "last_line")).alias("last"),
-        F.sum("bytes").alias("bytes"),
-        F.first("file_size").alias("file_size"),
-    )
-    open_ends = ends.filter(F.col("bytes") > F.col("file_size")).select(
-        "doc_id", F.col("last.block").alias("block"), F.col("last.last_line").alias("open_line")
-    )
-
+    # Rows of one split are read in order by one task, so the ids order its lines.
+    raw = scanned.withColumn("line", F.monotonically_increasing_id())
+    has_return = F.contains("value", F.lit("\r"))
     clean = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(
-        F.replace(F.make_valid_utf8("value"), F.lit("�"), F.lit(""))
+        F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
     )
-    is_open = F.col("open_line").isNotNull() & (F.col("line") == F.col("open_line"))
-    body = F.when(is_open, F.regexp_replace(clean, "\r", "\n")).otherwise(
-        F.concat(F.regexp_replace(F.regexp_replace(clean, "\r\\z", ""), "\r", "\n"), F.lit("\n"))
+    closed = F.concat(F.when(has_return, F.regexp_replace(clean, "\r\\z", "")).otherwise(clean), F.lit("\n"))
+
+    # Characters before each split, counting every line as ended. Only the very last
+    # line of a file may not be, and nothing follows it. The reader drops line ends,
+    # so the byte total tells which files lack the last one.
+    by_file = W.partitionBy("doc_id")
+    before = by_file.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    splits = (
+        raw.groupBy("doc_id", "block")
+        .agg(
+            F.max("line").alias("last_line"),
+            F.sum(F.octet_length("value").cast("long") + 1).alias("bytes"),
+            F.sum(F.length(closed).cast("long")).alias("chars"),
+            F.first("file_size").alias("file_size"),
+        )
+        .select(
+            "doc_id",
+            "block",
+            F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("start"),
+            F.when(
+                (F.sum("bytes").over(by_file) > F.col("file_size")) & (F.col("block") == F.max("block").over(by_file)),
+                F.col("last_line"),
+            ).alias("open_line"),
+        )
     )
+    body = F.when(F.col("line") == F.col("open_line"), clean).otherwise(closed)
+    body = F.when(has_return, F.regexp_replace(body, "\r", "\n")).otherwise(body)
+    cut = F.regexp_extract_all("body", F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
     pieces = (
-        raw.join(open_ends, ["doc_id", "block"], "left")
-        .select("doc_id", "block", "line", body.alias("body"))
+        raw.join(splits, ["doc_id", "block"])
+        .select("doc_id", "block", "start", "line", body.alias("body"))
+        .filter(F.col("body") != "")
         .select(
             "doc_id",
             "block",
+            "start",
             "line",
-            F.posexplode(F.regexp_extract_all("body", F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))).alias("part", "piece"),
+            F.posexplode(F.when(F.length("body") <= _PIECE, F.array("body")).otherwise(cut)).alias("part", "piece"),
         )
         .withColumn("chars", F.length("piece").cast("long"))
     )
-    in_block = W.partitionBy("doc_id", "block")
-    before = in_block.orderBy("line", "part").rowsBetween(W.unboundedPreceding, -1)
-    placed = pieces.withColumn("inner", F.coalesce(F.sum("chars").over(before), F.lit(0)))
-    starts = (
-        pieces.groupBy("doc_id", "block")
-        .agg(F.sum("chars").alias("chars"))
-        .withColumn(
-            "start",
-            F.coalesce(
-                F.sum("chars").over(W.partitionBy("doc_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)),
-                F.lit(0),
-            ),
-        )
-        .select("doc_id", "block", "start")
-    )
+    so_far = W.partitionBy("doc_id", "block").orderBy("line", "part").rowsBetween(W.unboundedPreceding, -1)
+    placed = pieces.withColumn("inner", F.coalesce(F.sum("chars").over(so_far), F.lit(0)))
     at = F.col("start") + F.col("inner")
     first = F.greatest(F.floor((at - size) / stride) + 1, F.lit(0))
     last = F.floor((at + F.col("chars") - 1) / stride)
     touched = (
-        placed.join(starts, ["doc_id", "block"])
-        .withColumn("at", at)
-        .select("doc_id", "at", "piece", F.explode(F.sequence(first, last)).alias("chunk_idx"))
+        placed.select("doc_id", at.alias("at"), "piece", F.explode(F.sequence(first, last)).alias("chunk_idx"))
     )
     skip = F.greatest(F.col("chunk_idx") * stride - F.col("at"), F.lit(0))
     room = F.col("chunk_idx") * stride + size - F.col("at") - skip

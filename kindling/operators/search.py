@@ -55,9 +55,14 @@ def hybrid_search(
         "text",
         exact.alias("is_exact"),
         vx.l2_squared(F.col(vector), list(query_vector)).alias("distance"),
-    ).filter(F.col("is_exact") | F.col("distance").isNotNull())
-    order = [F.col("is_exact").desc(), F.when(~F.col("is_exact"), F.col("distance")), *[F.col(c) for c in position]]
-    best = scored.orderBy(*order).limit(k)
+    )
+    order = [
+        F.col("is_exact").desc(),
+        F.when(~F.col("is_exact"), F.col("distance")).asc_nulls_last(),
+        *[F.col(c) for c in position],
+    ]
+    # Chunks without a vector sort last and are dropped from the k rows, not from the scan.
+    best = scored.orderBy(*order).limit(k).filter(F.col("is_exact") | F.col("distance").isNotNull())
     return best.select(
         F.lit(query_id).cast("long").alias("query_id"),
         F.row_number().over(W.orderBy(*order)).alias("rank"),

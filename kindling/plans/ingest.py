@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindling.cluster import spread
+from kindling.cluster import gather
 from kindling.functions.charset import decode_text
 from kindling.functions.embedder import Embedder
 from kindling.functions.text import normalize_newlines
@@ -39,7 +39,7 @@ def publish_files(
 ) -> int:
     """Process those files the ledger lacks and publish them as a new version."""
     spark = files.sparkSession
-    new = upsert.pending(fl.content_hash(files), store.read_ledger(spark, root))
+    new = upsert.pending(fl.content_hash(gather(files)), store.read_ledger(spark, root))
     docs = log_documents(new, fallback_charset, author=author)
     return store.write_version(spark, root, apply_steps(docs, steps))
 
@@ -74,7 +74,7 @@ def ingest_logs(
     Unchanged files are skipped, changed ones replaced. Returns the counts of the
     version written. ``max_files_per_dir=1`` takes one file per folder.
     """
-    files = spread(fl.scan_files(spark, logs_dir, max_files_per_dir=max_files_per_dir), "file_path")
+    files = fl.scan_files(spark, logs_dir, max_files_per_dir=max_files_per_dir)
     version = publish_files(files, root, fixed_steps(embedder), fallback_charset, author)
     return version_counts(spark, root, version)
 
@@ -87,7 +87,7 @@ def ingest_directory(
     Unchanged files are skipped and changed ones replaced. Returns the counts of the
     version written.
     """
-    files = spread(fl.scan_files(spark, directory, glob=None), "file_path")
+    files = fl.scan_files(spark, directory, glob=None)
     version = publish_files(files, root, sentence_steps(embedder, cache_path))
     return version_counts(spark, root, version)
 

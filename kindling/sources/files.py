@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from kindling import schemas
+from kindling.cluster import gather
 from kindling.operators.joins import semi_join
 
 LOG_GLOB = "*.log"
@@ -49,7 +50,7 @@ def list_files(spark: SparkSession, root: str, glob: str | None = LOG_GLOB) -> D
 
     ``glob`` matches the file name, case-sensitive; None takes every file.
     """
-    return _columns(_reader(spark.read, glob).load(root), content=False)
+    return gather(_columns(_reader(spark.read, glob).load(root), content=False))
 
 
 def first_per_directory(listing: DataFrame, n: int) -> DataFrame:
@@ -70,7 +71,7 @@ def scan_files(
     max_bytes: int = MAX_FILE_BYTES,
 ) -> DataFrame:
     """Files with their bytes in ``content``; those above ``max_bytes`` are not opened."""
-    files = _columns(_reader(spark.read, glob).load(root).filter(F.col("length") <= max_bytes), content=True)
+    files = gather(_columns(_reader(spark.read, glob).load(root).filter(F.col("length") <= max_bytes), content=True))
     if max_files_per_dir is None:
         return files
     picked = first_per_directory(list_files(spark, root, glob), max_files_per_dir)
