@@ -63,7 +63,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 _trees: dict[tuple[str, str], str] = {}
 
 
-def _log_tree(spark: SparkSession, sf_dir: str) -> str:
+def log_tree(spark: SparkSession, sf_dir: str) -> str:
     """All documents as ``<source>/<doc_id>.log`` files in the shared folder, made once."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _trees:
@@ -113,7 +113,7 @@ def chunk_sentences(spark, sf_dir):
 
 
 def chunk_large_files(spark, sf_dir):
-    chunks = chunking.chunk_large_files(spark, _log_tree(spark, sf_dir))
+    chunks = chunking.chunk_large_files(spark, log_tree(spark, sf_dir))
     return chunks.select(_rel("doc_id").alias("rel_path"), "chunk_idx", "text")
 
 
@@ -203,7 +203,7 @@ def hit_lines(spark, sf_dir):
 def search_store(spark, sf_dir):
     """Ingest the log tree, then search the stored chunks."""
     root = new_folder(spark, "store")
-    ingest.ingest_logs(spark, _log_tree(spark, sf_dir), root, EMBEDDER)
+    ingest.ingest_logs(spark, log_tree(spark, sf_dir), root, EMBEDDER)
     hits = search_plans.search_logs(spark, root, RARE_QUERY, EMBEDDER, K)
     return hits.select(_rel("doc_id").alias("rel_path"), "chunk_idx", "score", _rounded("distance"))
 
@@ -418,7 +418,7 @@ def doc_delete(spark, sf_dir):
 
 
 def scan_logs(spark, sf_dir):
-    files = fl.content_hash(fl.scan_files(spark, _log_tree(spark, sf_dir)))
+    files = fl.content_hash(fl.scan_files(spark, log_tree(spark, sf_dir)))
     docs = ingest.log_documents(files)
     return docs.select(
         _rel("doc_id").alias("rel_path"), F.length("text").alias("n_chars"), "content_hash", "file_size",
@@ -427,19 +427,19 @@ def scan_logs(spark, sf_dir):
 
 
 def first_per_directory(spark, sf_dir):
-    files = fl.scan_files(spark, _log_tree(spark, sf_dir), max_files_per_dir=1)
+    files = fl.scan_files(spark, log_tree(spark, sf_dir), max_files_per_dir=1)
     return fl.content_hash(files).select(_rel().alias("rel_path"), "content_hash")
 
 
 def visit_files(spark, sf_dir):
     """Hash every file by a callback that streams it."""
-    seen = fl.visit_files(fl.list_files(spark, _log_tree(spark, sf_dir)), fl.streamed_sha256)
+    seen = fl.visit_files(fl.list_files(spark, log_tree(spark, sf_dir)), fl.streamed_sha256)
     return seen.select(_rel().alias("rel_path"), F.col("result").alias("content_hash"))
 
 
 def ingest_logs(spark, sf_dir):
     """Ingest the log tree twice; the second run finds nothing new."""
-    root, tree = new_folder(spark, "store"), _log_tree(spark, sf_dir)
+    root, tree = new_folder(spark, "store"), log_tree(spark, sf_dir)
     ingest.ingest_logs(spark, tree, root, EMBEDDER)
     ingest.ingest_logs(spark, tree, root, EMBEDDER)
     return store.read_chunks(spark, root).select(_rel("doc_id").alias("rel_path"), "chunk_idx", "text")
@@ -447,14 +447,14 @@ def ingest_logs(spark, sf_dir):
 
 def ingest_ledger(spark, sf_dir):
     root = new_folder(spark, "store")
-    ingest.ingest_logs(spark, _log_tree(spark, sf_dir), root, EMBEDDER)
+    ingest.ingest_logs(spark, log_tree(spark, sf_dir), root, EMBEDDER)
     return store.read_ledger(spark, root).select(_rel().alias("rel_path"), "content_hash", "file_size", "status")
 
 
 def ingest_directory(spark, sf_dir):
     """Ingest every file in sentence chunks through the vector cache."""
     root = new_folder(spark, "store")
-    ingest.ingest_directory(spark, _log_tree(spark, sf_dir), root, EMBEDDER, new_folder(spark, "vectors"))
+    ingest.ingest_directory(spark, log_tree(spark, sf_dir), root, EMBEDDER, new_folder(spark, "vectors"))
     return store.read_chunks(spark, root).select(_rel("doc_id").alias("rel_path"), "chunk_idx", "text")
 
 
@@ -471,7 +471,7 @@ def add_texts(spark, sf_dir):
 def stream_ingest_logs(spark, sf_dir):
     """Ingest the log tree as a stream of what is there now."""
     root = new_folder(spark, "store")
-    query = stream_ingest(spark, _log_tree(spark, sf_dir), root, EMBEDDER, new_folder(spark, "stream"), 1_000_000)
+    query = stream_ingest(spark, log_tree(spark, sf_dir), root, EMBEDDER, new_folder(spark, "stream"), 1_000_000)
     query.awaitTermination()
     return store.read_chunks(spark, root).select(_rel("doc_id").alias("rel_path"), "chunk_idx", "text")
 
