@@ -48,7 +48,7 @@ def train_cells(
     rows picked by a hash of their ids, about 256 per cell; all rows are indexed.
     """
     usable = vectors.filter(F.col(vector).isNotNull())
-    share = cells * TRAIN_ROWS_PER_CELL / max(usable.count(), 1)
+    share = cells * TRAIN_ROWS_PER_CELL / max(vectors.count(), 1)
     if share < 1:
         usable = usable.filter(F.pmod(F.xxhash64(*ids), F.lit(1_000_000)) < int(share * 1_000_000))
     points = usable.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))

@@ -167,7 +167,6 @@ def chunk_large_files(
     pieces = (
         raw.join(splits, ["doc_id", "block"])
         .select("doc_id", "block", "start", "line", body.alias("body"))
-        .filter(F.col("body") != "")
         .select(
             "doc_id",
             "block",
@@ -176,15 +175,14 @@ def chunk_large_files(
             F.posexplode(F.when(F.length("body") <= _PIECE, F.array("body")).otherwise(cut)).alias("part", "piece"),
         )
         .withColumn("chars", F.length("piece").cast("long"))
+        .filter(F.col("chars") > 0)
     )
     so_far = W.partitionBy("doc_id", "block").orderBy("line", "part").rowsBetween(W.unboundedPreceding, -1)
     placed = pieces.withColumn("inner", F.coalesce(F.sum("chars").over(so_far), F.lit(0)))
     at = F.col("start") + F.col("inner")
     first = F.greatest(F.floor((at - size) / stride) + 1, F.lit(0))
     last = F.floor((at + F.col("chars") - 1) / stride)
-    touched = (
-        placed.select("doc_id", at.alias("at"), "piece", F.explode(F.sequence(first, last)).alias("chunk_idx"))
-    )
+    touched = placed.select("doc_id", at.alias("at"), "piece", F.explode(F.sequence(first, last)).alias("chunk_idx"))
     skip = F.greatest(F.col("chunk_idx") * stride - F.col("at"), F.lit(0))
     room = F.col("chunk_idx") * stride + size - F.col("at") - skip
     fragment = F.substring("piece", (skip + 1).cast("int"), room.cast("int"))

@@ -54,7 +54,7 @@ def hybrid_search(
         *position,
         "text",
         exact.alias("is_exact"),
-        vx.l2_squared(F.col(vector), list(query_vector)).alias("distance"),
+        vx.l2_squared(vector, list(query_vector)).alias("distance"),
     )
     order = [
         F.col("is_exact").desc(),

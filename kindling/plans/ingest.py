@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindling.cluster import gather
+from kindling.cluster import gather, settle
 from kindling.functions.charset import decode_text
 from kindling.functions.embedder import Embedder
 from kindling.functions.text import normalize_newlines
@@ -52,12 +52,15 @@ def fixed_steps(embedder: Embedder, size: int = chunking.CHUNK_SIZE, overlap: in
 
 
 def sentence_steps(embedder: Embedder, cache_path: str | None = None) -> list[Step]:
-    return [
-        lambda docs: chunking.chunk_sentences(docs, keep_empty=True),
-        (lambda chunks: embedding.embed(chunks, embedder))
-        if cache_path is None
-        else (lambda chunks: embedding.embed_cached(chunks, embedder, cache_path)),
-    ]
+    """Sentence chunks and their vectors.
+
+    The cache lookup reads the chunks several times, so they are written down first
+    instead of reading and decoding the files for each pass.
+    """
+    chunk: Step = lambda docs: chunking.chunk_sentences(docs, keep_empty=True)
+    if cache_path is None:
+        return [chunk, lambda chunks: embedding.embed(chunks, embedder)]
+    return [chunk, lambda chunks: embedding.embed_cached(settle(chunks, "sentences"), embedder, cache_path)]
 
 
 def ingest_logs(

@@ -128,6 +128,8 @@ def test_large_files_give_the_same_chunks(spark, tmp_path, small_splits):
         b"ends with return\r",
         b"mixed\r\nends\rhere\r\r\nand\n\r\n",
         b"bad \xff byte\nnext",
+        b"\xff",
+        b"last is bad\n\xff",
         ("x" * 20000 + "é" * 3000).encode(),
         "\n".join("中" * rng.randint(0, 300) + "b" for _ in range(200)).encode(),
         "".join(rng.choice(["a", "\n", "\r", "\r\n", "\U0001f600"]) for _ in range(9000)).encode(),

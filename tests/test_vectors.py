@@ -42,9 +42,9 @@ def test_unrolled_and_folded_sums_are_identical(spark):
     query = rng.normal(size=100).tolist()
     df = spark.createDataFrame([(rng.normal(size=100).tolist(),) for _ in range(50)], "a array<double>")
     both = df.select(
-        vx.l2_squared(F.col("a"), query).alias("x"), vx.l2_squared(F.col("a"), vx.literal_vector(query)).alias("y")
+        vx.l2_squared("a", query).alias("x"), vx.l2_squared(F.col("a"), query).alias("y"), vx.l2_squared("a", query[:50]).alias("z")
     ).collect()
-    assert all(r.x == r.y for r in both)
+    assert all(r.x == r.y and r.z is None for r in both)
 
 
 def test_unknown_metric():
