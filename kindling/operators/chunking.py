@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from kindling.cluster import gather
+from kindling.cluster import broadcast_if_small, gather
 from kindling.functions import text as tx
 
 # Window length and overlap in characters, sentence chunk size and
@@ -24,6 +24,9 @@ BATCH_ROWS = 600
 # Longest run of characters handled as one piece when a line is very long.
 _PIECE = 4096
 
+# Longest list of file names put into a scan's filter.
+_LISTED_FILES = 10_000
+
 
 def chunk_fixed(
     docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, keep_empty: bool = False
@@ -104,12 +107,23 @@ def chunk_sentences(
     return packed.select(*others, explode(chunk).alias("chunk_idx", "text"))
 
 
+def _of_files(lines: DataFrame, only: DataFrame) -> DataFrame:
+    """Lines of the named files. A list of bounded length is matched while listing, so
+    other files are not opened; a longer one is joined."""
+    named = [r.file_path for r in only.select("file_path").limit(_LISTED_FILES + 1).collect()]
+    if len(named) <= _LISTED_FILES:
+        return lines.filter(F.col("_metadata.file_path").isin(named))
+    paths = broadcast_if_small(only.select(F.col("file_path").alias("_path")).distinct())
+    return lines.join(paths, F.col("_metadata.file_path") == F.col("_path"), "left_semi")
+
+
 def chunk_large_files(
     spark: SparkSession,
     root: str,
     glob: str = "*.log",
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Character windows of UTF-8 files of any size: ``doc_id, chunk_idx, text``.
 
@@ -117,13 +131,18 @@ def chunk_large_files(
     never held whole. Each line learns its character offset in the file from sums
     per file split, then hands its characters to the windows it touches. Groups are
     bounded: one input split for the running sums, ``size`` characters for a window.
+
+    ``only`` restricts the scan to the files in its column ``file_path``.
     """
     stride = size - overlap
     if stride <= 0 or overlap < 0:
         raise ValueError("need 0 <= overlap < size")
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n")
+    lines = reader.text(root)
+    if only is not None:
+        lines = _of_files(lines, only)
     scanned = gather(
-        reader.text(root).select(
+        lines.select(
             F.col("_metadata.file_path").alias("doc_id"),
             F.col("_metadata.file_block_start").alias("block"),
             F.col("_metadata.file_size").alias("file_size"),

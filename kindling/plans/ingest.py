@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindling.cluster import gather, settle
+from kindling import schemas
+from kindling.cluster import broadcast_if_small, gather, settle
 from kindling.functions.charset import decode_text
 from kindling.functions.embedder import Embedder
 from kindling.functions.text import normalize_newlines
@@ -34,14 +35,34 @@ def log_documents(
     return named.select(F.col("file_path").alias("doc_id"), text.alias("text"), "content_hash", "file_size", "metadata")
 
 
-def publish_files(
-    files: DataFrame, root: str, steps: Sequence[Step], fallback_charset: str = "utf-8", author: str = "unknown"
-) -> int:
+def pending_chunks(
+    files: DataFrame, ledger: DataFrame, steps: Sequence[Step], fallback_charset: str = "utf-8", author: str = "unknown"
+) -> DataFrame:
+    """Chunk rows of those files the ledger lacks."""
+    new = upsert.pending(fl.content_hash(gather(files)), ledger)
+    return apply_steps(log_documents(new, fallback_charset, author=author), steps)
+
+
+def publish_files(files: DataFrame, root: str, steps: Sequence[Step]) -> int:
     """Process those files the ledger lacks and publish them as a new version."""
     spark = files.sparkSession
-    new = upsert.pending(fl.content_hash(gather(files)), store.read_ledger(spark, root))
-    docs = log_documents(new, fallback_charset, author=author)
-    return store.write_version(spark, root, apply_steps(docs, steps))
+    return store.write_version(spark, root, pending_chunks(files, store.read_ledger(spark, root), steps))
+
+
+def pending_large_chunks(
+    spark: SparkSession, logs_dir: str, large: DataFrame, ledger: DataFrame, embedder: Embedder, author: str
+) -> DataFrame:
+    """Chunk rows of those listed files the ledger lacks, for files too large for one row.
+
+    They must be UTF-8. Each is hashed as a stream by one task and chunked by many.
+    """
+    hashed = fl.visit_files(large, fl.streamed_sha256).withColumnRenamed("result", "content_hash")
+    # Hashing reads whole files, so its outcome is written down before it is reused.
+    new = settle(upsert.pending(hashed, ledger).join(large, "file_path"), "large")
+    named = documents.with_metadata(new, F.col("file_name"), author=author)
+    entries = named.select(F.col("file_path").alias("doc_id"), "content_hash", "file_size", "metadata")
+    chunks = chunking.chunk_large_files(spark, logs_dir, only=new)
+    return embedding.embed(chunks, embedder).join(broadcast_if_small(entries), "doc_id")
 
 
 def fixed_steps(embedder: Embedder, size: int = chunking.CHUNK_SIZE, overlap: int = chunking.CHUNK_OVERLAP) -> list[Step]:
@@ -71,15 +92,27 @@ def ingest_logs(
     max_files_per_dir: int | None = None,
     fallback_charset: str = "utf-8",
     author: str = "unknown",
+    max_file_bytes: int = fl.MAX_FILE_BYTES,
 ) -> DataFrame:
     """Ingest the ``.log`` files below ``logs_dir`` into the store at ``root``.
 
     Unchanged files are skipped, changed ones replaced. Returns the counts of the
-    version written. ``max_files_per_dir=1`` takes one file per folder.
+    version written. ``max_files_per_dir=1`` takes one file per folder. Files above
+    ``max_file_bytes`` are split over tasks.
     """
-    files = fl.scan_files(spark, logs_dir, max_files_per_dir=max_files_per_dir)
-    version = publish_files(files, root, fixed_steps(embedder), fallback_charset, author)
-    return version_counts(spark, root, version)
+    ledger = store.read_ledger(spark, root)
+    files = fl.scan_files(spark, logs_dir, max_files_per_dir=max_files_per_dir, max_bytes=max_file_bytes)
+    rows = pending_chunks(files, ledger, fixed_steps(embedder), fallback_charset, author)
+
+    listing = fl.list_files(spark, logs_dir)
+    if max_files_per_dir is not None:
+        listing = fl.first_per_directory(listing, max_files_per_dir)
+    large = listing.filter(F.col("file_size") > max_file_bytes)
+    if not large.isEmpty():
+        names = schemas.STORED_CHUNKS.fieldNames()
+        split = pending_large_chunks(spark, logs_dir, large, ledger, embedder, author)
+        rows = rows.select(*names).unionByName(split.select(*names))
+    return version_counts(spark, root, store.write_version(spark, root, rows))
 
 
 def ingest_directory(

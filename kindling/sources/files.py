@@ -21,8 +21,7 @@ from kindling.operators.joins import semi_join
 
 LOG_GLOB = "*.log"
 
-# A file is handled as one row up to this size; larger ones go through
-# ``chunking.chunk_large_files``.
+# Ingest handles a file as one row up to this size and splits larger ones.
 MAX_FILE_BYTES = 1 << 30
 
 _READ_BYTES = 4 << 20
@@ -68,10 +67,17 @@ def scan_files(
     root: str,
     glob: str | None = LOG_GLOB,
     max_files_per_dir: int | None = None,
-    max_bytes: int = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """Files with their bytes in ``content``; those above ``max_bytes`` are not opened."""
-    files = gather(_columns(_reader(spark.read, glob).load(root).filter(F.col("length") <= max_bytes), content=True))
+    """Files with their bytes in ``content``.
+
+    With ``max_bytes`` larger files are left out and not opened; the caller must
+    handle them. Without it Spark stops with an error at a file of 2 GB or more.
+    """
+    raw = _reader(spark.read, glob).load(root)
+    if max_bytes is not None:
+        raw = raw.filter(F.col("length") <= max_bytes)
+    files = gather(_columns(raw, content=True))
     if max_files_per_dir is None:
         return files
     picked = first_per_directory(list_files(spark, root, glob), max_files_per_dir)
@@ -79,7 +85,10 @@ def scan_files(
 
 
 def stream_files(spark: SparkSession, root: str, glob: str | None = LOG_GLOB, max_files_per_trigger: int = 1000) -> DataFrame:
-    """The same rows as a stream; every file that appears below ``root`` is seen once."""
+    """The same rows as a stream; every file that appears below ``root`` is seen once.
+
+    Spark stops with an error at a file of 2 GB or more; those are for the batch job.
+    """
     reader = _reader(spark.readStream, glob).option("maxFilesPerTrigger", max_files_per_trigger)
     return _columns(reader.schema(schemas.FILES).load(root), content=True)
 

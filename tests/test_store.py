@@ -70,6 +70,25 @@ def test_ingest_replace_delete_truncate(spark, log_tree, tmp_path):
     assert snapshot(spark, root) == expected(log_tree)
 
 
+def test_large_files_take_the_split_route(spark, log_tree, tmp_path):
+    root = str(tmp_path / "store")
+
+    def run(**options):
+        return counts(ingest.ingest_logs(spark, str(log_tree), root, EMBEDDER, max_file_bytes=250, **options))
+
+    (log_tree / "long.log").write_bytes(("line é\r\n" * 500).encode())
+    run(max_files_per_dir=1)
+    first = {"long.log", "a/bom.log", "a/b/y.log", "a/n300/n.log", "a/n280/n.log"}
+    assert snapshot(spark, root) == [r for r in expected(log_tree) if r[0] in first]
+    run()
+    assert snapshot(spark, root) == expected(log_tree)
+    assert run() == (0, 0, 0)
+    (log_tree / "long.log").write_bytes(("other\n" * 400).encode())
+    assert run()[0] == 1
+    assert snapshot(spark, root) == expected(log_tree)
+    assert quality.ingest_counts(store.read_chunks(spark, root)).first().failed == 0
+
+
 def test_unfinished_version_is_invisible(spark, log_tree, tmp_path, monkeypatch):
     root = str(tmp_path / "store")
     ingest.ingest_logs(spark, str(log_tree), root, EMBEDDER)
