@@ -3,7 +3,8 @@
 An embedder is any callable that takes a list of texts and returns one vector per
 text, as a 2-D array or a list whose failed entries are None. It is created by a
 factory that runs once per Python worker, so a model is loaded once, and Spark
-batches and distributes the calls.
+batches and distributes the calls. The name identifies the model: in the worker's
+memory as in the vector cache.
 
 The default, ``hashed_words``, is a lexical stand-in that needs no model files:
 words are hashed into ``dim`` buckets and the counts scaled to length one. It does
@@ -38,11 +39,11 @@ class Embedder:
         Marked nondeterministic so that the optimizer never runs the model a second
         time to evaluate a filter on its result. Filter rows before embedding them.
         """
-        load = self.load
+        name, load = self.name, self.load
 
         @F.arrow_udf("array<float>")
         def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            model = load()
+            model = _loaded(name, load)
             for texts in batches:
                 yield _embed_batch(model, texts.to_pylist())
 
@@ -53,6 +54,16 @@ class Embedder:
         return _embed_batch(self.load(), [text]).to_pylist()[0]
 
 
+_models: dict = {}
+
+
+def _loaded(name: str, load):
+    """The model of this Python process; workers serve many tasks."""
+    if name not in _models:
+        _models[name] = load()
+    return _models[name]
+
+
 def _embed_batch(model, texts: list[str | None]) -> pa.Array:
     present = [i for i, text in enumerate(texts) if text is not None]
     wanted = [texts[i] for i in present]

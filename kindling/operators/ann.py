@@ -181,7 +181,7 @@ def _scan_candidates(data, ids, label, asked, names, matrix, k, metric, groups)
         if best is not None:
             yield from best.combine_chunks().to_batches()
 
-    return data.mapInArrow(nearest, schema)
+    return knn.fewer_tasks(data, len(names) * k).mapInArrow(nearest, schema)
 
 
 def fit_lsh(

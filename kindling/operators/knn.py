@@ -25,6 +25,11 @@ from kindling.functions import vectors as vx
 # being sent to every task.
 QUERY_BYTES = 32 << 20
 BLOCK_ROWS = 1 << 16
+
+# Partial results of all tasks together should stay near this many rows.
+PARTIAL_ROWS = 200_000_000
+# Below this many rows per task their number of tasks does not matter.
+_FEW_ROWS = 2_000
 _SLAB = 256
 
 
@@ -207,8 +212,16 @@ def topk_schema(corpus: DataFrame, ids: Sequence[str], query_type: T.DataType) -
     return T.StructType(fields + [T.StructField("distance", T.DoubleType())])
 
 
-def to_batches(tables: list[pa.Table], schema: pa.Schema) -> list[pa.RecordBatch]:
-    return pa.concat_tables([t.cast(schema) for t in tables]).combine_chunks().to_batches() if tables else []
+def fewer_tasks(data: DataFrame, rows_per_task: int, total: int = PARTIAL_ROWS) -> DataFrame:
+    """The scan with its tasks joined when their partial results would add up to too much.
+
+    Every task returns up to k rows per query, so a large batch over very many splits
+    could return more than it read. At least two tasks per core remain.
+    """
+    allowed = max(2 * data.sparkSession.sparkContext.defaultParallelism, total // max(rows_per_task, 1))
+    if rows_per_task < _FEW_ROWS or data.rdd.getNumPartitions() <= allowed:
+        return data
+    return data.coalesce(allowed)
 
 
 def scan_topk(
@@ -229,7 +242,7 @@ def scan_topk(
         if best is not None:
             yield from best.combine_chunks().to_batches()
 
-    return data.mapInArrow(nearest, schema)
+    return fewer_tasks(data, len(names) * k).mapInArrow(nearest, schema)
 
 
 def keep_nearest(table: pa.Table, ids: Sequence[str], k: int, metric: str) -> pa.Table:

@@ -79,6 +79,13 @@ def test_single_query_matches_brute_force(corpus, metric):
     check(knn.knn(df, query, 15, metric), rows, [(0, query)], 15, metric)
 
 
+def test_large_batches_use_fewer_tasks(spark):
+    df = spark.range(0, 1000, 1, 60)
+    assert knn.fewer_tasks(df, 100).rdd.getNumPartitions() == 60
+    assert knn.fewer_tasks(df, 10_000, total=300_000).rdd.getNumPartitions() == 30
+    assert knn.fewer_tasks(df, 10_000, total=1).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
 def test_fewer_vectors_than_k(spark):
     df = spark.createDataFrame([(1, [0.0, 1.0]), (2, None)], SCHEMA)
     assert [r.vec_id for r in knn.knn(df, [0.0, 0.0], 5).collect()] == [1]
