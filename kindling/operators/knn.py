@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -197,7 +198,7 @@ def block_topk(
                 names=["_key", *ids.column_names],
             )
             by = [("_key", "ascending")] + [(c, "ascending") for c in ids.column_names]
-            kept = near[pa.compute.sort_indices(order, sort_keys=by).to_numpy()[:k]] if len(near) > k else near
+            kept = near[pc.sort_indices(order, sort_keys=by).to_numpy()[:k]] if len(near) > k else near
             values = found[np.searchsorted(near, kept)]
             name = names[lo + j]
             yield pa.Table.from_arrays(
@@ -249,7 +250,7 @@ def keep_nearest(table: pa.Table, ids: Sequence[str], k: int, metric: str) -> pa
     """The k nearest rows per query of an Arrow table of partial results."""
     direction = "descending" if metric in vx.DESCENDING else "ascending"
     keys = [("query_id", "ascending"), ("distance", direction)] + [(c, "ascending") for c in ids]
-    table = table.take(pa.compute.sort_indices(table, sort_keys=keys, null_placement="at_end"))
+    table = table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_end"))
     query = table.column("query_id").combine_chunks().dictionary_encode().indices.to_numpy()
     starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
     place = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
