@@ -123,6 +123,13 @@ def _commit(spark: SparkSession, root: str, version: int, entries: DataFrame) ->
     entries.write.mode("overwrite").parquet(f"{root}/ledger/version={version}")
 
 
+def compact_into(spark: SparkSession, root: str, new_root: str) -> int:
+    """Copy the live rows to a new, empty store, leaving replaced chunks behind."""
+    if last_version(spark, new_root):
+        raise ValueError(f"{new_root} already holds a store")
+    return write_version(spark, new_root, read_stored(spark, root))
+
+
 def truncate(spark: SparkSession, root: str) -> None:
     """Empty the store. The ledger goes first, so what remains is already invisible."""
     for name, schema in (("ledger", schemas.LEDGER), ("stale", schemas.STALE), ("chunks", schemas.STORED_CHUNKS)):

@@ -64,6 +64,13 @@ def test_ingest_replace_delete_truncate(spark, log_tree, tmp_path):
     assert counts(ingest.ingest_logs(spark, str(log_tree), root, EMBEDDER)) == (1, 1, 0)
     assert snapshot(spark, root) == expected(log_tree)
 
+    compact = str(tmp_path / "compact")
+    store.compact_into(spark, root, compact)
+    assert snapshot(spark, compact) == expected(log_tree)
+    assert counts(ingest.ingest_logs(spark, str(log_tree), compact, EMBEDDER)) == (0, 0, 0)
+    with pytest.raises(ValueError):
+        store.compact_into(spark, root, compact)
+
     store.truncate(spark, root)
     assert snapshot(spark, root) == [] and store.read_ledger(spark, root).count() == 0
     assert counts(ingest.ingest_logs(spark, str(log_tree), root, EMBEDDER))[0] == logs + 1
