@@ -29,6 +29,14 @@ from kindling.sources import files as fl
 from kindling.sources import store
 from kindling.streaming.ingest import stream_ingest
 
+try:  # the operators for training data are an optional part
+    import corpus_pipeline
+    from kindling.llm import queries as llm_queries
+except ImportError as missing:
+    if missing.name not in {"corpus_pipeline", "kindling.llm"}:
+        raise
+    llm_queries = None
+
 EMBEDDER = hashed_words(64)
 
 # Query texts. The first occurs in few chunks, so nearest vectors fill the rest of the
@@ -513,10 +521,16 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _QUERIES}
+    found = {q.__name__: q for q in _QUERIES}
+    if llm_queries:
+        found |= llm_queries.queries() | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
     import oracle_statements
 
-    return oracle_statements.statements(EMBEDDER, RARE_QUERY, COMMON_QUERY, K)
+    found = oracle_statements.statements(EMBEDDER, RARE_QUERY, COMMON_QUERY, K)
+    if llm_queries:
+        found |= llm_queries.oracle_sql()
+    return found
