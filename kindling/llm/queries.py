@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindling.cluster import ship, spread
-from kindling.llm import byte_bpe, html_text
+from kindling.cluster import new_folder, ship, spread
+from kindling.llm import byte_bpe, html_text, line_windows, token_store
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
@@ -23,21 +24,53 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", "doc_id")
 
 
+def op1_token_store(spark, sf_dir):
+    """Every document's place, length and checksum, as read back from a coded store."""
+    path = new_folder(spark, "tokens")
+    token_store.write_store(documents(spark, sf_dir), WORD_BPE, path)
+    return token_store.read_documents(spark, path)
+
+
 def op2_byte_bpe(spark, sf_dir):
     """Digests of every text's ids and of the text decoded from them."""
     return byte_bpe.round_trip(documents(spark, sf_dir), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op3_line_dedup(spark, sf_dir):
+    """Every document's text without repeated lines, as a digest."""
+    out = line_windows.line_dedup(documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_html_extraction(spark, sf_dir):
     """Main text of every page."""
     pages = html_text.extract_text(table(spark, sf_dir, "pages", "page_id").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-_QUERIES = [op2_byte_bpe, op5_html_extraction]
+_QUERIES = [op1_token_store, op2_byte_bpe, op3_line_dedup, op5_html_extraction]
 
 # DuckDB's SQL for the queries that it can express.
-_SQL: dict[str, str] = {}
+_SQL: dict[str, str] = {
+    "op3_line_dedup": """
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        p AS (SELECT doc_id, ls, unnest(generate_series(1, len(ls) - 2)) AS pos FROM d WHERE len(ls) >= 3),
+        r AS (
+            SELECT doc_id, pos,
+                row_number() OVER (PARTITION BY ls[pos], ls[pos + 1], ls[pos + 2] ORDER BY doc_id, pos) AS rn
+            FROM p
+        ),
+        g AS (SELECT DISTINCT doc_id, pos + k AS i FROM r, (VALUES (0), (1), (2)) t(k) WHERE rn > 1),
+        e AS (SELECT doc_id, unnest(generate_series(1, len(ls))) AS i, unnest(ls) AS line FROM d),
+        k AS (
+            SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.i) AS kept, count(*) AS n
+            FROM e ANTI JOIN g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id
+        )
+        SELECT d.doc_id, len(d.ls)::INT AS n_lines, (len(d.ls) - coalesce(k.n, 0))::INT AS n_removed,
+            sha256(coalesce(k.kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+    """,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
