@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindling.cluster import new_folder, ship, spread
-from kindling.llm import byte_bpe, html_text, line_windows, token_store
+from kindling.llm import byte_bpe, html_text, line_windows, token_store, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -42,13 +42,21 @@ def op3_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_toxicity(spark, sf_dir):
+    """Every document's score by a model of the labels that are not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_html_extraction(spark, sf_dir):
     """Main text of every page."""
     pages = html_text.extract_text(table(spark, sf_dir, "pages", "page_id").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-_QUERIES = [op1_token_store, op2_byte_bpe, op3_line_dedup, op5_html_extraction]
+_QUERIES = [op1_token_store, op2_byte_bpe, op3_line_dedup, op4_toxicity, op5_html_extraction]
 
 # DuckDB's SQL for the queries that it can express.
 _SQL: dict[str, str] = {
