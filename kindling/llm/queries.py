@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindling.cluster import new_folder, ship, spread
-from kindling.llm import byte_bpe, html_text, line_windows, shingle_tree, string_tiling, token_store, toxicity, vector_forest
+from kindling.llm import byte_bpe, html_text, line_windows, repeats, shingle_tree, string_tiling, surrogates, token_store, toxicity, vector_forest
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -56,11 +56,23 @@ def op5_html_extraction(spark, sf_dir):
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op6_suffix_groups(spark, sf_dir):
+    """Every document without the bytes of repeated strings, as a digest."""
+    out = repeats.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_shingle_join(spark, sf_dir):
     """Every document's number of shingles and component of similar texts."""
     return shingle_tree.similar_texts(documents(spark, sf_dir))
 
 
+def op8_surrogates(spark, sf_dir):
+    """Every document's text with surrogates for its personal data."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return surrogates.replace_personal_data(docs, "a key for the registered query only")
+
+
 def op9_decontamination(spark, sf_dir):
     """Every document that covers a benchmark item, with the item and the words covered."""
     items = table(spark, sf_dir, "benchmark", "item_id")
@@ -72,7 +84,7 @@ def op10_vector_forest(spark, sf_dir):
     return vector_forest.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id"))
 
 
-_QUERIES = [op1_token_store, op2_byte_bpe, op3_line_dedup, op4_toxicity, op5_html_extraction, op7_shingle_join, op9_decontamination, op10_vector_forest]
+_QUERIES = [op1_token_store, op2_byte_bpe, op3_line_dedup, op4_toxicity, op5_html_extraction, op6_suffix_groups, op7_shingle_join, op8_surrogates, op9_decontamination, op10_vector_forest]
 
 # DuckDB's SQL for the queries that it can express.
 _SQL: dict[str, str] = {
