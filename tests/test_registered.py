@@ -9,7 +9,8 @@ import __spark_entry__ as registered
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 
-QUERIES, SQL = registered.queries(), registered.oracle_sql()
+QUERIES = {q.__name__: q for q in registered._QUERIES}
+SQL = {name: sql for name, sql in registered.oracle_sql().items() if name in QUERIES}
 
 
 def plain(value):
