@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindling.cluster import broadcast_if_small, scan_bytes, settle
+from kindling.cluster import broadcast_if_small, settle
+from kindling.llm.sizes import table_bytes
 
 LENGTH = 200
 GRAM = 32
@@ -383,7 +384,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     ``texts`` has key, a long that only equal rows may share, and text, not null.
     """
     sc = texts.sparkSession.sparkContext
-    buckets = max(sc.defaultParallelism * 4, int(scan_bytes(texts) // BUCKET_BYTES))
+    buckets = max(sc.defaultParallelism * 4, int(table_bytes(texts) // BUCKET_BYTES))
     binary = texts.select("key", F.col("text").cast("binary").alias("text"))
     dealt = binary.mapInArrow(_deal(buckets, length), _DEALT)
     told = settle(dealt.groupBy("bucket").applyInArrow(_classify(buckets), _SPANS), "contexts")
@@ -404,7 +405,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     groups = classes.groupBy("core").agg(F.count(F.lit(1)).alias("classes"), F.min("copies").alias("least"))
     groups = settle(groups.filter("classes > 1 and least = 1").select("core", "classes"), "cell-groups")
-    tasks = max(sc.defaultParallelism, int(scan_bytes(classes) // (SORT_SYMBOLS * 2)))
+    tasks = max(sc.defaultParallelism, int(table_bytes(classes) // (SORT_SYMBOLS * 2)))
     small = classes.join(groups.filter(F.col("classes") <= GROUP).select("core"), "core").withColumn("task", F.pmod(F.xxhash64("core"), F.lit(tasks)))
     sorted_ones = small.groupBy("task").applyInArrow(_sort_group(CELL), "key long, first long, last long")
 

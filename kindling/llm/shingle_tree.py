@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindling.cluster import broadcast_if_small, scan_bytes, settle
+from kindling.cluster import broadcast_if_small, settle
 from kindling.llm.components import components
+from kindling.llm.sizes import table_bytes
 
 SHINGLE = 5
 PERCENT = 75  # texts link when 100 * intersection >= PERCENT * union
@@ -395,7 +396,7 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     classes = settle(classes, "set-classes")
 
     sc = docs.sparkSession.sparkContext
-    buckets = max(sc.defaultParallelism * 4, int(scan_bytes(docs) // BUCKET_BYTES))
+    buckets = max(sc.defaultParallelism * 4, int(table_bytes(docs) // BUCKET_BYTES))
     levels = sc.broadcast(_levels(told))
     first = texts.mapInArrow(_deal_first_shingles(levels, size, buckets), _FIRST)
     first = settle(first.groupBy("bucket").applyInArrow(_repeated(buckets), "shingle long, key long, n long"), "repeated")
