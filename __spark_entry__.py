@@ -12,6 +12,7 @@ import sys
 from collections.abc import Callable
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from kindling.cluster import new_folder, ship, spread
 from kindling.functions import charset
 from kindling.functions import text as tx
 from kindling.functions import vectors as vx
-from kindling.functions.embedder import hashed_words
+from kindling.functions.embedder import Embedder, hashed_words
 from kindling.operators import ann, chunking, documents, embedding, fields, knn, quality, search, upsert
 from kindling.plans import ingest
 from kindling.plans import search as search_plans
@@ -45,6 +46,8 @@ RARE_QUERY = "this work is licensed under the gnu general public license"
 COMMON_QUERY = " LICENSE "
 K = 10
 CELLS = 16
+STREAM_FILES = 400  # files of one micro-batch
+LSH = ann.fit_lsh(64, bucket_length=0.5, tables=6)
 
 
 # --- tables -----------------------------------------------------------------
@@ -244,6 +247,29 @@ def embed_cached(spark, sf_dir):
     return out.select("doc_id", F.size(F.filter("embedding", lambda v: v > 0)).alias("n_slots"))
 
 
+def failed_embeddings(spark, sf_dir):
+    """Counts with a model that fails on texts with a certain word."""
+
+    def load():
+        plain = EMBEDDER.load()
+
+        def model(texts):
+            if any("license" in t.lower() for t in texts):
+                raise ValueError("this model cannot read licenses")
+            return plain(texts)
+
+        return model
+
+    return quality.ingest_counts(embedding.embed(_chunks(spark, sf_dir), Embedder("fails-on-licenses", load)))
+
+
+def masked_pool(spark, sf_dir):
+    """Means of the vectors of each last digit, without those of even labels."""
+    masked = _vectors(spark, sf_dir).select("embedding", (F.col("vec_id") % 10).alias("digit"), (F.col("label") % 2).alias("mask"))
+    pooled = embedding.mean_pool(masked, ["digit"], mask="mask")
+    return pooled.select("digit", F.posexplode("embedding").alias("slot", "value")).select("digit", "slot", _rounded("value"))
+
+
 def mean_pool(spark, sf_dir):
     pooled = embedding.mean_pool(_vectors(spark, sf_dir), ["label"])
     return pooled.select("label", F.posexplode("embedding").alias("slot", "value")).select("label", "slot", _rounded("value"))
@@ -259,7 +285,10 @@ def unique_check(spark, sf_dir):
 
 
 def unique_chunks(spark, sf_dir):
-    return quality.duplicate_keys(_chunks(spark, sf_dir), ["doc_id", "chunk_idx"])
+    """Keys that occur twice after the chunks of toxic documents were added again."""
+    toxic = _table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+    chunks = _chunks(spark, sf_dir)
+    return quality.duplicate_keys(chunks.unionByName(chunks.join(toxic, "doc_id", "left_semi")), ["doc_id", "chunk_idx"])
 
 
 def ingest_counts(spark, sf_dir):
@@ -289,11 +318,8 @@ def knn_l2(spark, sf_dir):
 
 
 def knn_metrics(spark, sf_dir):
-    parts = [
-        _hits(knn.knn(_vectors(spark, sf_dir), EMBEDDER.one(RARE_QUERY), K, metric), "vec_id").withColumn("metric", F.lit(metric))
-        for metric in sorted(vx.METRICS)
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    hits = knn.knn_by_metrics(_vectors(spark, sf_dir), EMBEDDER.one(RARE_QUERY), K, sorted(vx.METRICS))
+    return _hits(hits, "vec_id", "metric")
 
 
 def cosine_topk(spark, sf_dir):
@@ -308,9 +334,9 @@ def knn_multi(spark, sf_dir):
 
 
 def knn_multi_blocked(spark, sf_dir):
-    """The same, by the route taken when the queries are too many to send to each task."""
+    """The same, by the route taken when the queries are too many to send at once."""
     vectors = _vectors(spark, sf_dir)
-    return _hits(knn.knn_batch(vectors, _label_centres(vectors), K, query_bytes=0, block_rows=256), "vec_id")
+    return _hits(knn.knn_batch(vectors, _label_centres(vectors), K, query_bytes=1500), "vec_id")
 
 
 def semantic_batch(spark, sf_dir):
@@ -339,11 +365,13 @@ def append_vectors(spark, sf_dir):
 
 
 def _ivf(spark, sf_dir, probes):
+    """Cells around the label centres, so that SQL can tell which cells are probed."""
     vectors = _vectors(spark, sf_dir)
-    index = ann.train_cells(vectors, CELLS)
+    centres = _label_centres(vectors)
+    index = ann.Cells(np.array([r.embedding for r in centres.orderBy("query_id").collect()]))
     path = new_folder(spark, "cells")
     ann.write_cells(ann.assign_cells(vectors, index), path)
-    return _hits(ann.ivf_search(spark.read.parquet(path), index, _label_centres(vectors), K, probes), "vec_id")
+    return _hits(ann.ivf_search(spark.read.parquet(path), index, centres, K, probes), "vec_id")
 
 
 def ann_ivf(spark, sf_dir):
@@ -351,20 +379,27 @@ def ann_ivf(spark, sf_dir):
 
 
 def ann_ivf_exhaustive(spark, sf_dir):
-    """Probing every cell is exact."""
-    return _ivf(spark, sf_dir, CELLS)
+    """Probing every cell of a k-means index is exact."""
+    vectors = _vectors(spark, sf_dir)
+    index = ann.train_cells(vectors, CELLS)
+    path = new_folder(spark, "cells")
+    ann.write_cells(ann.assign_cells(vectors, index), path)
+    return _hits(ann.ivf_search(spark.read.parquet(path), index, _label_centres(vectors), K, CELLS), "vec_id")
+
+
+def _buckets(spark, sf_dir) -> DataFrame:
+    path = new_folder(spark, "buckets")
+    ann.write_buckets(ann.bucket_rows(_vectors(spark, sf_dir), LSH), path)
+    return spark.read.parquet(path)
 
 
 def ann_lsh(spark, sf_dir):
-    vectors = _vectors(spark, sf_dir)
-    model = ann.fit_lsh(vectors, bucket_length=2.0, tables=6)
-    return _hits(ann.lsh_search(vectors, model, EMBEDDER.one(RARE_QUERY), K), "vec_id")
+    return _hits(ann.lsh_search(_buckets(spark, sf_dir), LSH, EMBEDDER.one(RARE_QUERY), K), "vec_id")
 
 
 def ann_lsh_batch(spark, sf_dir):
-    vectors = _vectors(spark, sf_dir)
-    model = ann.fit_lsh(vectors, bucket_length=2.0, tables=6)
-    return _hits(ann.lsh_search_batch(ann.add_hashes(vectors, model), model, _label_centres(vectors), K), "vec_id")
+    centres = _label_centres(_vectors(spark, sf_dir))
+    return _hits(ann.lsh_search_batch(_buckets(spark, sf_dir), LSH, centres, K), "vec_id")
 
 
 # --- ledger and upserts -----------------------------------------------------
@@ -453,6 +488,47 @@ def ingest_logs(spark, sf_dir):
     return store.read_chunks(spark, root).select(_rel("doc_id").alias("rel_path"), "chunk_idx", "text")
 
 
+def mixed_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The log tree in several encodings by language, with other line ends for one source."""
+    root = new_folder(spark, "mixed")
+    text = F.when(F.col("source") == "src1", F.replace("text", F.lit("\n"), F.lit("\r"))).otherwise(F.replace("text", F.lit("\n"), F.lit("\r\n")))
+    content = (
+        F.when(F.col("lang") == "fr", F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE")))
+        .when(F.col("lang") == "es", F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8")))
+        .when(F.col("lang") == "de", F.encode(text, "ISO-8859-1"))
+        .otherwise(F.encode(text, "UTF-8"))
+    )
+    name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".log"))
+    fl.write_tree(_documents(spark, sf_dir).select(name.alias("rel_path"), content.alias("content")), root)
+    return root
+
+
+def _ingest_mixed(spark, sf_dir, max_file_bytes):
+    root = new_folder(spark, "store")
+    tree = mixed_tree(spark, sf_dir)
+    ingest.ingest_logs(spark, tree, root, EMBEDDER, fallback_charset="latin-1", max_file_bytes=max_file_bytes)
+    return store.read_chunks(spark, root).select(_rel("doc_id").alias("rel_path"), "chunk_idx", "text")
+
+
+def ingest_mixed_encodings(spark, sf_dir):
+    """Files in several encodings, each read as one row."""
+    return _ingest_mixed(spark, sf_dir, fl.MAX_FILE_BYTES)
+
+
+def ingest_mixed_encodings_split(spark, sf_dir):
+    """The same files, all taken as too large for one row."""
+    return _ingest_mixed(spark, sf_dir, 1)
+
+
+def truncate_store(spark, sf_dir):
+    """Ingest the log tree, empty the store, and ingest one file of each folder."""
+    root, tree = new_folder(spark, "store"), log_tree(spark, sf_dir)
+    ingest.ingest_logs(spark, tree, root, EMBEDDER)
+    store.truncate(spark, root)
+    ingest.ingest_logs(spark, tree, root, EMBEDDER, max_files_per_dir=1)
+    return store.read_chunks(spark, root).select(_rel("doc_id").alias("rel_path"), "chunk_idx", "text")
+
+
 def ingest_ledger(spark, sf_dir):
     root = new_folder(spark, "store")
     ingest.ingest_logs(spark, log_tree(spark, sf_dir), root, EMBEDDER)
@@ -477,9 +553,9 @@ def add_texts(spark, sf_dir):
 
 
 def stream_ingest_logs(spark, sf_dir):
-    """Ingest the log tree as a stream of what is there now."""
+    """Ingest the log tree as a stream of what is there now, in several micro-batches of larger tables."""
     root = new_folder(spark, "store")
-    query = stream_ingest(spark, log_tree(spark, sf_dir), root, EMBEDDER, new_folder(spark, "stream"), 1_000_000)
+    query = stream_ingest(spark, log_tree(spark, sf_dir), root, EMBEDDER, new_folder(spark, "stream"), STREAM_FILES)
     query.awaitTermination()
     return store.read_chunks(spark, root).select(_rel("doc_id").alias("rel_path"), "chunk_idx", "text")
 
@@ -499,6 +575,30 @@ def events_by_time_and_level(spark, sf_dir):
     return counts.select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "level", "n_lines")
 
 
+def key_value_fields(spark, sf_dir):
+    """Pairs of a line made from each document; the later of two equal keys counts."""
+    docs = _documents(spark, sf_dir)
+    line = F.concat_ws(" ", F.lit("id=0"), F.concat(F.lit("lang="), "lang"), F.lit("noise"), F.concat(F.lit("chars="), "n_chars"), F.concat(F.lit("id="), "doc_id"))
+    read = fields.key_value_fields(docs.select("doc_id", line.alias("text")))
+    return read.select("doc_id", *[F.try_element_at("fields", F.lit(k)).alias(f"{k}_value") for k in ("id", "lang", "chars")])
+
+
+def vm_lines(spark, sf_dir):
+    """Lines that name a machine of a list; ids are formed from hashes of document ids."""
+    digest = F.md5(F.col("doc_id").cast("string"))
+    parts = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    vm = F.concat_ws("-", *parts)
+    lines = _documents(spark, sf_dir).select("doc_id", F.concat(F.lit("vm "), vm, F.lit(" said "), F.lit("hello")).alias("text"))
+    toxic = _table(spark, sf_dir, "labels").filter("toxic = 1").select(vm.alias("vm_id"))
+    return fields.lines_of_vms(lines, toxic).select("doc_id", "vm_id")
+
+
+def regex_literal(spark, sf_dir):
+    """Chunks that hold a phrase full of pattern characters."""
+    found = _chunks(spark, sf_dir).filter(F.rlike("text", F.lit(tx.regex_literal(".*** "))))
+    return found.select("doc_id", "chunk_idx")
+
+
 # --- registry ---------------------------------------------------------------
 
 _QUERIES = [
@@ -511,6 +611,8 @@ _QUERIES = [
     append_vectors, ann_ivf, ann_ivf_exhaustive, ann_lsh, ann_lsh_batch,
     incremental_files, ledger_upsert, doc_upsert, doc_delete,
     scan_logs, first_per_directory, visit_files, ingest_logs, ingest_ledger, ingest_directory, add_texts,
+    ingest_mixed_encodings, ingest_mixed_encodings_split, truncate_store, failed_embeddings, masked_pool,
+    key_value_fields, vm_lines, regex_literal,
     stream_ingest_logs, event_fields, events_by_time_and_level,
 ]
 
@@ -530,7 +632,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import oracle_statements
 
-    found = oracle_statements.statements(EMBEDDER, RARE_QUERY, COMMON_QUERY, K)
+    found = oracle_statements.statements(EMBEDDER, RARE_QUERY, COMMON_QUERY, K, LSH)
     if llm_queries:
         found |= llm_queries.oracle_sql()
     return found

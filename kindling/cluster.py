@@ -84,8 +84,8 @@ def gather(scan: DataFrame) -> DataFrame:
     hold about ``TASK_BYTES`` is returned unchanged.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    enough = max(cores * 2, -(-scan_bytes(scan) // TASK_BYTES))
-    return scan.coalesce(enough) if enough < scan.rdd.getNumPartitions() else scan
+    # Asking for at least as many tasks as there are changes nothing and plans nothing.
+    return scan.coalesce(min(max(cores * 2, -(-scan_bytes(scan) // TASK_BYTES)), 1 << 20))
 
 
 def scan_bytes(scan: DataFrame) -> int:
@@ -108,6 +108,17 @@ def byte_size(df: DataFrame) -> int:
     return df.agg(F.sum(total.cast("long")).alias("n")).first().n or 0
 
 
+def is_plain_scan(df: DataFrame) -> bool:
+    """Whether a second pass over ``df`` only reads files or local rows again."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return not any(word in plan for word in ("Join", "Aggregate", "Python", "Pandas", "Arrow", "ScalaUDF", "Window", "Sort", "Generate"))
+
+
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only after measuring that the side is small."""
+    """Hint a broadcast only after measuring that the side is small.
+
+    A side that takes more than a scan is written down first, so it is computed once.
+    """
+    if not is_plain_scan(df):
+        df = settle(df, "side")
     return F.broadcast(df) if byte_size(df) <= max_bytes else df

@@ -25,14 +25,24 @@ def literal_vector(values: Sequence[float]) -> Column:
     return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")").cast("array<double>")
 
 
+WRONG_LENGTH = "vectors of different dimensions"
+
+
+def _of_length(vec: Column, length: Column | int, value: Column) -> Column:
+    """``value``, or an error where the vector is there and has another length."""
+    wrong = vec.isNotNull() & (F.size(vec) != length)
+    return F.when(wrong, F.raise_error(F.lit(WRONG_LENGTH)).cast("double")).otherwise(value)
+
+
 def _fold(vec: Column, other: Column | Sequence[float] | None, term) -> Column:
-    """Sum of ``term(x, y)`` over positions; ``other`` is a column or constants."""
+    """Sum of ``term(x, y)`` over positions; ``other`` is a column or constants of the same length."""
     if other is None:
         return F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + term(x.cast("double"), None))
+    length = F.size(other) if isinstance(other, Column) else len(other)
     if not isinstance(other, Column):
         other = literal_vector(other)
     pairs = F.zip_with(vec, other, lambda x, y: term(x.cast("double"), y.cast("double")))
-    return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
+    return _of_length(vec, length, F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x))
 
 
 def l2_squared(vec: Column | str, other) -> Column:
@@ -47,9 +57,8 @@ def l2_squared(vec: Column | str, other) -> Column:
 def _unrolled_l2(name: str, values: Sequence[float]) -> Column:
     """The sum written out. Each difference occurs twice, so code generation puts it into
     a method of its own, which keeps the main method small."""
-    vec = f"if(size(`{name}`) = {len(values)}, `{name}`, null)"
-    gaps = [f"(get({vec}, {i}) - {float(v)!r}D)" for i, v in enumerate(values)]
-    return F.expr(" + ".join(f"{g} * {g}" for g in gaps))
+    gaps = [f"(get(`{name}`, {i}) - {float(v)!r}D)" for i, v in enumerate(values)]
+    return _of_length(F.col(name), len(values), F.expr(" + ".join(f"{g} * {g}" for g in gaps)))
 
 
 def l1(vec: Column, other) -> Column:

@@ -14,18 +14,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from kindling.operators import knn
 
-# Number of cells, and training rows per cell.
+# Fixed value: number of cells.
 CELLS = 100
-TRAIN_ROWS_PER_CELL = 256
 
 
 @dataclass(frozen=True)
@@ -34,23 +31,22 @@ class Cells:
 
     centroids: np.ndarray
 
-    def nearest(self, vector: Sequence[float], n: int) -> list[int]:
-        gap = self.centroids - np.asarray(vector, dtype=np.float64)
-        return [int(i) for i in np.argsort((gap * gap).sum(axis=1), kind="stable")[:n]]
+    def nearest(self, vectors: np.ndarray, n: int) -> np.ndarray:
+        """The n nearest cells of every row, in ascending order of their numbers."""
+        n = min(n, len(self.centroids))
+        out = np.zeros((len(vectors), n), np.int64)
+        for at in range(0, len(vectors), 1024):
+            gaps = ((vectors[at : at + 1024, None, :] - self.centroids[None]) ** 2).sum(2)
+            # Of equal distances the lower number counts.
+            out[at : at + 1024] = np.sort(np.argsort(gaps, axis=1, kind="stable")[:, :n], axis=1)
+        return out
 
 
 def train_cells(
-    vectors: DataFrame, cells: int = CELLS, ids: Sequence[str] = ("vec_id",), vector: str = "embedding", seed: int = 42
+    vectors: DataFrame, cells: int = CELLS, vector: str = "embedding", seed: int = 42
 ) -> Cells:
-    """k-means centroids.
-
-    Centroids settle long before all rows are seen, so training reads a share of the
-    rows picked by a hash of their ids, about 256 per cell; all rows are indexed.
-    """
+    """k-means centroids of all vectors."""
     usable = vectors.filter(F.col(vector).isNotNull())
-    share = cells * TRAIN_ROWS_PER_CELL / max(vectors.count(), 1)
-    if share < 1:
-        usable = usable.filter(F.pmod(F.xxhash64(*ids), F.lit(1_000_000)) < int(share * 1_000_000))
     points = usable.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, featuresCol="features").fit(points)
     return Cells(np.array(model.clusterCenters()))
@@ -115,49 +111,32 @@ def ivf_search(
     ids = list(ids)
     data = assigned.filter(F.col(vector).isNotNull()).select(*ids, "cell", F.col(vector).alias("_v"))
     asked = queries.filter(F.col(vector).isNotNull()).select("query_id", F.col(vector).alias("_v"))
-    local = knn.collect_queries(asked, query_bytes)
-    if local is None:
-        probed = asked.withColumn("cell", F.explode(_probe_column(index, probes)(F.col("_v"))))
-        partial = knn._blocked(data, probed, k, metric, ids, knn.BLOCK_ROWS, on=["cell"])
-    else:
-        names, matrix = local
-        probe_lists = [index.nearest(q, probes) for q in matrix]
-        wanted = sorted({c for cells in probe_lists for c in cells})
-        member = {c: np.array([i for i, cells in enumerate(probe_lists) if c in cells]) for c in wanted}
-        partial = _scan_candidates(
-            data.filter(F.col("cell").isin(wanted)), ids, "cell", asked, names, matrix, k, metric, _by_cell(member)
-        )
-    return knn._ranked(partial, ids, metric, k).select("query_id", "rank", *ids, "distance")
-
-
-def _probe_column(index: Cells, probes: int):
-    @F.arrow_udf("array<int>")
-    def probe(column: pa.Array) -> pa.Array:
-        return pa.array([index.nearest(v, probes) for v in knn._matrix(column)], pa.list_(pa.int32()))
 
-    return probe
+    def search(data: DataFrame, names: pa.Array, matrix: np.ndarray) -> DataFrame:
+        member = _members(index.nearest(matrix, probes))
+        candidates = data.filter(F.col("cell").isin(sorted(member)))
+        partial = _scan_candidates(candidates, ids, "cell", asked, names, matrix, k, metric, _by_number(member))
+        return knn._ranked(partial, ids, metric, k).select("query_id", "rank", *ids, "distance")
 
+    return knn.by_slabs(data, asked, search, query_bytes)
 
-def _by_cell(member: dict[int, np.ndarray]):
-    """Candidate pairs of a batch: rows of a cell with the queries that probe it."""
 
-    def groups(column: pa.Array):
-        cells = column.to_numpy()
-        for c in np.unique(cells):
-            yield np.flatnonzero(cells == c), member[int(c)]
-
-    return groups
+def _members(numbers: np.ndarray) -> dict[int, np.ndarray]:
+    """For every number in a table of numbers, the rows that have it."""
+    flat, row = numbers.ravel(), np.repeat(np.arange(len(numbers)), numbers.shape[1] if numbers.ndim == 2 else 0)
+    order = np.argsort(flat, kind="stable")
+    cuts = np.flatnonzero(np.diff(flat[order])) + 1
+    return {int(flat[rows[0]]): row[rows] for rows in np.split(order, cuts) if len(rows)}
 
 
-def _by_hash(query_hashes: np.ndarray):
-    """Candidate pairs of a batch: rows that share a bucket with a query in any table."""
+def _by_number(member: dict[int, np.ndarray]):
+    """Candidate pairs of a batch: rows of a cell or bucket with the queries that want it."""
 
     def groups(column: pa.Array):
-        rows = knn._matrix(column)
-        for i, hashes in enumerate(query_hashes):
-            hit = np.flatnonzero((rows == hashes).any(axis=1))
-            if len(hit):
-                yield hit, np.array([i])
+        numbers = column.to_numpy()
+        for n in np.unique(numbers):
+            if int(n) in member:
+                yield np.flatnonzero(numbers == n), member[int(n)]
 
     return groups
 
@@ -184,47 +163,60 @@ def _scan_candidates(data, ids, label, asked, names, matrix, k, metric, groups)
     return knn.fewer_tasks(data, len(names) * k).mapInArrow(nearest, schema)
 
 
-def fit_lsh(
-    vectors: DataFrame, bucket_length: float, tables: int, vector: str = "embedding", seed: int = 42
-) -> BucketedRandomProjectionLSHModel:
-    """Random projections for squared-L2 search; longer buckets and more tables raise recall."""
-    features = array_to_vector(F.col(vector).cast("array<double>")).alias("features")
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    return lsh.fit(vectors.filter(F.col(vector).isNotNull()).select(features))
+@dataclass(frozen=True)
+class Projections:
+    """Directions by table; a vector's bucket is its projection cut into ``bucket_length``."""
+
+    directions: np.ndarray
+    bucket_length: float
+
+    def buckets(self, vectors: np.ndarray) -> np.ndarray:
+        return np.floor(vectors @ self.directions.T / self.bucket_length).astype(np.int64)
+
+
+def fit_lsh(dimensions: int, bucket_length: float, tables: int, seed: int = 42) -> Projections:
+    """Random unit directions for squared-L2 search; longer buckets and more tables raise recall."""
+    drawn = np.random.default_rng(seed).standard_normal((tables, dimensions))
+    return Projections(drawn / np.linalg.norm(drawn, axis=1, keepdims=True), bucket_length)
+
+
+def bucket_rows(vectors: DataFrame, model: Projections, vector: str = "embedding") -> DataFrame:
+    """One row per vector and table, with ``tab`` and ``bucket``; rows without a vector have none."""
+
+    @F.arrow_udf("array<long>")
+    def buckets(column: pa.Array) -> pa.Array:
+        return pa.array(list(model.buckets(knn._matrix(column))), pa.list_(pa.int64()))
+
+    usable = vectors.filter(F.col(vector).isNotNull())
+    return usable.select("*", F.posexplode(buckets(F.col(vector))).alias("tab", "bucket"))
+
+
+def write_buckets(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Store rows of ``bucket_rows`` in a folder per table and bucket; a large bucket becomes several files."""
+    rows.hint("rebalance", "tab", "bucket").write.mode(mode).partitionBy("tab", "bucket").parquet(path)
 
 
 def lsh_search(
-    vectors: DataFrame,
-    model: BucketedRandomProjectionLSHModel,
-    query: Sequence[float],
-    k: int,
-    ids: Sequence[str] = ("vec_id",),
-    vector: str = "embedding",
+    stored: DataFrame, model: Projections, query: Sequence[float], k: int, ids: Sequence[str] = ("vec_id",), vector: str = "embedding"
 ) -> DataFrame:
     """About the k nearest to one query: ``query_id, rank, <ids>, distance``."""
-    knn._check_k(k)
-    features = array_to_vector(F.col(vector).cast("array<double>")).alias("features")
-    data = vectors.filter(F.col(vector).isNotNull()).select(*ids, features)
-    near = model.approxNearestNeighbors(data, Vectors.dense([float(x) for x in query]), k, distCol="gap")
-    hits = near.select(F.lit(0).cast("long").alias("query_id"), *ids, (F.col("gap") * F.col("gap")).alias("distance"))
-    return knn._ranked(hits, list(ids), "l2", k).select("query_id", "rank", *ids, "distance")
+    schema = "query_id bigint, `" + vector + "` array<double>"
+    asked = stored.sparkSession.createDataFrame([(0, [float(x) for x in query])], schema)
+    return lsh_search_batch(stored, model, asked, k, "l2", ids, vector)
 
 
-def add_hashes(vectors: DataFrame, model: BucketedRandomProjectionLSHModel, vector: str = "embedding") -> DataFrame:
-    """Add ``hashes``, one bucket number per table, to be stored beside the vector."""
-    usable = vectors.filter(F.col(vector).isNotNull())
-    featured = usable.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
-    buckets = [
-        F.get(vector_to_array(F.get(F.col("hashes"), F.lit(i))), F.lit(0)) for i in range(model.getNumHashTables())
-    ]
-    return model.transform(featured).withColumn("hashes", F.array(*buckets)).drop("features")
+def _wanted(buckets: np.ndarray) -> Column:
+    """Rows of the tables' wanted buckets; on stored buckets, only their folders are read."""
+    parts = [(F.col("tab") == t) & F.col("bucket").isin(np.unique(buckets[:, t]).tolist()) for t in range(buckets.shape[1])]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out | part
+    return out
 
 
 def lsh_search_batch(
-    hashed: DataFrame,
-    model: BucketedRandomProjectionLSHModel,
+    stored: DataFrame,
+    model: Projections,
     queries: DataFrame,
     k: int,
     metric: str = "l2",
@@ -232,26 +224,28 @@ def lsh_search_batch(
     vector: str = "embedding",
     query_bytes: int = knn.QUERY_BYTES,
 ) -> DataFrame:
-    """About the k nearest for each query, over a table from ``add_hashes``."""
+    """About the k nearest for each query, among vectors that share a bucket with it in any table.
+
+    ``stored`` has the rows of ``bucket_rows``. A vector found through several tables
+    counts once.
+    """
     knn._check_k(k)
     knn._check_metric(metric)
-    ids = list(ids)
-    data = hashed.select(*ids, "hashes", F.col(vector).alias("_v"))
-    asked = add_hashes(queries.select("query_id", vector), model, vector).select(
-        "query_id", "hashes", F.col(vector).alias("_v")
-    )
-    local = knn.collect_queries(asked, query_bytes, extra=["hashes"])
-    if local is None:
-        # One row per query or vector and table; equal buckets meet in bounded blocks,
-        # and a vector found through several tables is kept once.
-        per_table = F.posexplode("hashes").alias("tab", "bucket")
-        left, right = data.select(*ids, "_v", per_table), asked.select("query_id", "_v", per_table)
-        partial = knn._blocked(left, right, k, metric, ids, knn.BLOCK_ROWS, on=["tab", "bucket"])
-        partial = partial.dropDuplicates(["query_id", *ids])
-    else:
-        names, matrix, hashes = local
-        partial = _scan_candidates(data, ids, "hashes", asked, names, matrix, k, metric, _by_hash(np.array(hashes)))
-    return knn._ranked(partial, ids, metric, k).select("query_id", "rank", *ids, "distance")
+    ids, tables = list(ids), len(model.directions)
+    data = stored.select(*ids, "tab", "bucket", F.col(vector).alias("_v"))
+    asked = queries.filter(F.col(vector).isNotNull()).select("query_id", F.col(vector).alias("_v"))
+
+    def search(data: DataFrame, names: pa.Array, matrix: np.ndarray) -> DataFrame:
+        # Bucket b of table t has number b * tables + t.
+        buckets = model.buckets(matrix) if len(matrix) else np.zeros((0, tables), np.int64)
+        member = _members(buckets * tables + np.arange(tables))
+        candidates = data.filter(_wanted(buckets)).select(*ids, "_v", (F.col("bucket").cast("long") * tables + F.col("tab")).alias("_n"))
+        # A vector comes once from each table at most.
+        partial = _scan_candidates(candidates, ids, "_n", asked, names, matrix, k * tables, metric, _by_number(member))
+        best = knn._ranked(partial.dropDuplicates(["query_id", *ids]), ids, metric, k)
+        return best.select("query_id", "rank", *ids, "distance")
+
+    return knn.by_slabs(data, asked, search, query_bytes)
 
 
 def recall(approximate: DataFrame, exact: DataFrame, ids: Sequence[str] = ("vec_id",)) -> DataFrame:

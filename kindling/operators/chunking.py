@@ -8,10 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from kindling.cluster import broadcast_if_small, gather
+from kindling.cluster import settle
 from kindling.functions import text as tx
+from kindling.sources import files as fl
+from kindling.sources import large
 
 # Window length and overlap in characters, sentence chunk size and
 # overlap in words, rows per batch.
@@ -21,12 +22,6 @@ SENTENCE_CHUNK_WORDS = 280
 SENTENCE_OVERLAP_WORDS = 30
 BATCH_ROWS = 600
 
-# Longest run of characters handled as one piece when a line is very long.
-_PIECE = 4096
-
-# Longest list of file names put into a scan's filter.
-_LISTED_FILES = 10_000
-
 
 def chunk_fixed(
     docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, keep_empty: bool = False
@@ -107,107 +102,31 @@ def chunk_sentences(
     return packed.select(*others, explode(chunk).alias("chunk_idx", "text"))
 
 
-def _of_files(lines: DataFrame, only: DataFrame) -> DataFrame:
-    """Lines of the named files. A list of bounded length is matched while listing, so
-    other files are not opened; a longer one is joined."""
-    named = [r.file_path for r in only.select("file_path").limit(_LISTED_FILES + 1).collect()]
-    if len(named) <= _LISTED_FILES:
-        return lines.filter(F.col("_metadata.file_path").isin(named))
-    paths = broadcast_if_small(only.select(F.col("file_path").alias("_path")).distinct())
-    return lines.join(paths, F.col("_metadata.file_path") == F.col("_path"), "left_semi")
-
-
 def chunk_large_files(
     spark: SparkSession,
     root: str,
-    glob: str = "*.log",
+    glob: str | None = "*.log",
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
-    only: DataFrame | None = None,
+    fallback_charset: str = "utf-8",
+    range_bytes: int = large.RANGE_BYTES,
 ) -> DataFrame:
-    """Character windows of UTF-8 files of any size: ``doc_id, chunk_idx, text``.
-
-    The same windows as ``chunk_fixed``, but a file is split over many tasks and is
-    never held whole. Each line learns its character offset in the file from sums
-    per file split, then hands its characters to the windows it touches. Groups are
-    bounded: one input split for the running sums, ``size`` characters for a window.
+    """Character windows of files of any size: ``doc_id, chunk_idx, text``.
 
-    ``only`` restricts the scan to the files in its column ``file_path``.
+    The same windows as ``chunk_fixed`` of the decoded files, but a file is never held whole,
+    and a UTF-8 file is read by many tasks. Only byte ranges and their lengths are shuffled.
     """
-    stride = size - overlap
-    if stride <= 0 or overlap < 0:
+    if size <= overlap or overlap < 0:
         raise ValueError("need 0 <= overlap < size")
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n")
-    lines = reader.text(root)
-    if only is not None:
-        lines = _of_files(lines, only)
-    scanned = gather(
-        lines.select(
-            F.col("_metadata.file_path").alias("doc_id"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.col("_metadata.file_size").alias("file_size"),
-            "value",
-        )
-    )
-    # Rows of one split are read in order by one task, so the ids order its lines.
-    raw = scanned.withColumn("line", F.monotonically_increasing_id())
-    has_return = F.contains("value", F.lit("\r"))
-    clean = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(
-        F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
-    )
-    closed = F.concat(F.when(has_return, F.regexp_replace(clean, "\r\\z", "")).otherwise(clean), F.lit("\n"))
-
-    # Characters before each split, counting every line as ended. Only the very last
-    # line of a file may not be, and nothing follows it. The reader drops line ends,
-    # so the byte total tells which files lack the last one.
-    by_file = W.partitionBy("doc_id")
-    before = by_file.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    splits = (
-        raw.groupBy("doc_id", "block")
-        .agg(
-            F.max("line").alias("last_line"),
-            F.sum(F.octet_length("value").cast("long") + 1).alias("bytes"),
-            F.sum(F.length(closed).cast("long")).alias("chars"),
-            F.first("file_size").alias("file_size"),
-        )
-        .select(
-            "doc_id",
-            "block",
-            F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("start"),
-            F.when(
-                (F.sum("bytes").over(by_file) > F.col("file_size")) & (F.col("block") == F.max("block").over(by_file)),
-                F.col("last_line"),
-            ).alias("open_line"),
-        )
-    )
-    body = F.when(F.col("line") == F.col("open_line"), clean).otherwise(closed)
-    body = F.when(has_return, F.regexp_replace(body, "\r", "\n")).otherwise(body)
-    cut = F.regexp_extract_all("body", F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
-    pieces = (
-        raw.join(splits, ["doc_id", "block"])
-        .select("doc_id", "block", "start", "line", body.alias("body"))
-        .select(
-            "doc_id",
-            "block",
-            "start",
-            "line",
-            F.posexplode(F.when(F.length("body") <= _PIECE, F.array("body")).otherwise(cut)).alias("part", "piece"),
-        )
-        .withColumn("chars", F.length("piece").cast("long"))
-        .filter(F.col("chars") > 0)
-    )
-    so_far = W.partitionBy("doc_id", "block").orderBy("line", "part").rowsBetween(W.unboundedPreceding, -1)
-    placed = pieces.withColumn("inner", F.coalesce(F.sum("chars").over(so_far), F.lit(0)))
-    at = F.col("start") + F.col("inner")
-    first = F.greatest(F.floor((at - size) / stride) + 1, F.lit(0))
-    last = F.floor((at + F.col("chars") - 1) / stride)
-    touched = placed.select("doc_id", at.alias("at"), "piece", F.explode(F.sequence(first, last)).alias("chunk_idx"))
-    skip = F.greatest(F.col("chunk_idx") * stride - F.col("at"), F.lit(0))
-    room = F.col("chunk_idx") * stride + size - F.col("at") - skip
-    fragment = F.substring("piece", (skip + 1).cast("int"), room.cast("int"))
-    ordered = F.array_sort(F.collect_list(F.struct((F.col("at") + skip).alias("at"), fragment.alias("s"))))
-    return (
-        touched.groupBy("doc_id", F.col("chunk_idx").cast("int").alias("chunk_idx"))
-        .agg(ordered.alias("parts"))
-        .select("doc_id", "chunk_idx", F.array_join(F.transform("parts", lambda p: p["s"]), "").alias("text"))
-    )
+    listing = fl.list_files(spark, root, glob)
+    told = inspected(listing, fallback_charset).select("file_path", "file_size", "charset")
+    return large.window_rows(large.ranges(told, range_bytes), size, overlap)
+
+
+def inspected(listing: DataFrame, fallback_charset: str = "utf-8") -> DataFrame:
+    """The listing with ``content_hash`` and ``charset``, from one pass over each file, written down."""
+    seen = fl.visit_files(listing, large.inspect(fallback_charset))
+    seen = seen.select(F.col("file_path").alias("_path"), F.split("result", " ").alias("_told"))
+    seen = settle(seen, "inspected")
+    joined = listing.join(seen, F.col("file_path") == F.col("_path"))
+    return joined.select(*listing.columns, F.get("_told", F.lit(0)).alias("content_hash"), F.get("_told", F.lit(1)).alias("charset"))

@@ -26,12 +26,13 @@ def text_hash(text: str = "text"):
 def cache_misses(rows: DataFrame, cache: DataFrame, embedder: Embedder) -> DataFrame:
     """Vectors of the distinct texts the cache lacks: ``model, text_hash, embedding``.
 
-    Copies of a text collapse in each task before anything is shuffled. Failed texts
-    are left out, so they are tried again.
+    Saved texts are left out before anything is shuffled, and copies collapse in each
+    task. Failed texts are left out, so they are tried again.
     """
-    texts = rows.filter(F.col("text").isNotNull()).select("text").distinct().withColumn("text_hash", text_hash())
+    texts = rows.filter(F.col("text").isNotNull()).select("text", text_hash().alias("text_hash"))
     known = cache.filter(F.col("model") == embedder.name)
-    missing = anti_join(texts, known, ["text_hash"])
+    # Only texts the cache lacks are shuffled.
+    missing = anti_join(texts, known, ["text_hash"]).dropDuplicates(["text_hash"])
     made = embed(missing, embedder).filter(F.col("embedding").isNotNull())
     return made.select(F.lit(embedder.name).alias("model"), "text_hash", "embedding")
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindling.functions.text import evaluate_once
 from kindling.operators.joins import semi_join
 
 # Usual level names, an ISO-like time, and the shape of a VM id.
@@ -26,8 +27,14 @@ def key_value_fields(rows: DataFrame, column: str = "text") -> DataFrame:
     """Add ``fields``: the ``key=value`` pairs of each line as a map; a later pair wins."""
     pairs = F.regexp_extract_all(column, F.lit("(\\w+=[^\\s,;]+)"), F.lit(1))
     entries = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.regexp_replace(p, "^\\w+=", "").alias("v")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["k"] == e["k"]))
-    return rows.withColumn("fields", F.map_from_entries(last))
+
+    def last_wins(backwards: Column) -> Column:
+        def first_places(keys: Column) -> Column:
+            return F.reverse(F.filter(backwards, lambda e, i: F.array_position(keys, e["k"]) == i + 1))
+
+        return evaluate_once(F.transform(backwards, lambda e: e["k"]), first_places)
+
+    return rows.withColumn("fields", F.map_from_entries(evaluate_once(F.reverse(entries), last_wins)))
 
 
 def time_and_level(lines: DataFrame, levels: Sequence[str] = LEVELS, column: str = "text") -> DataFrame:

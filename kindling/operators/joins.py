@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindling.cluster import BROADCAST_BYTES, broadcast_if_small, byte_size
+from kindling.cluster import BROADCAST_BYTES, broadcast_if_small, byte_size, is_plain_scan, settle
 
 # A key is hot when it holds more than one row in this many; there are at most as
 # many hot keys, so a table of them is always small.
@@ -31,6 +31,8 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, max_bytes: int = BROADCA
     and receive the few matching table rows by broadcast, and only the others are
     shuffled, so no task gets a hot key's rows.
     """
+    if not is_plain_scan(table):
+        table = settle(table, "table")
     if byte_size(table) <= max_bytes:
         return rows.join(F.broadcast(table), key, "left")
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

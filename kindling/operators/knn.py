@@ -20,12 +20,11 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
 
+from kindling.cluster import broadcast_if_small, is_plain_scan, new_folder, settle
 from kindling.functions import vectors as vx
 
-# A batch whose vectors exceed this many bytes is joined in blocks instead of
-# being sent to every task.
+# A batch whose vectors exceed this many bytes is sent to the tasks slab by slab.
 QUERY_BYTES = 32 << 20
-BLOCK_ROWS = 1 << 16
 
 # Partial results of all tasks together should stay near this many rows.
 PARTIAL_ROWS = 200_000_000
@@ -65,6 +64,7 @@ def knn(
     else:
         data = usable.select(*ids, F.col(vector).alias("_v"))
         best = scan_topk(data, ids, T.LongType(), pa.array([query_id], pa.int64()), np.array([query]), k, metric)
+        best = best.orderBy(vx.nearest_first(metric, F.col("distance")), *ids).limit(k)
     return _ranked(best, ids, metric, k).select("query_id", "rank", *ids, "distance")
 
 
@@ -76,25 +76,79 @@ def knn_batch(
     ids: Sequence[str] = ("vec_id",),
     vector: str = "embedding",
     query_bytes: int = QUERY_BYTES,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """k nearest vectors for each row ``query_id, <vector>`` of ``queries``.
 
-    Queries within ``query_bytes`` travel to the tasks that scan the corpus. A
-    larger batch is matched block against block, with the same result.
+    Queries within ``query_bytes`` travel to the tasks that scan the corpus. A larger
+    batch is cut into slabs of that size by a hash of the query id; each slab is one scan
+    of the corpus, whose result is written down at once. Neither side is copied.
     """
     _check_k(k)
     _check_metric(metric)
     ids = list(ids)
     data = corpus.filter(F.col(vector).isNotNull()).select(*ids, F.col(vector).alias("_v"))
     asked = queries.filter(F.col(vector).isNotNull()).select("query_id", F.col(vector).alias("_v"))
-    local = collect_queries(asked, query_bytes)
-    if local is None:
-        partial = _blocked(data, asked, k, metric, ids, block_rows)
-    else:
-        names, matrix = local
-        partial = scan_topk(data, ids, asked.schema["query_id"].dataType, names, matrix, k, metric)
-    return _ranked(partial, ids, metric, k).select("query_id", "rank", *ids, "distance")
+    kind = asked.schema["query_id"].dataType
+
+    def search(data: DataFrame, names: pa.Array, matrix: np.ndarray) -> DataFrame:
+        found = _ranked(scan_topk(data, ids, kind, names, matrix, k, metric), ids, metric, k)
+        return found.select("query_id", "rank", *ids, "distance")
+
+    return by_slabs(data, asked, search, query_bytes)
+
+
+def by_slabs(data: DataFrame, asked: DataFrame, search, query_bytes: int, extra: Sequence[str] = ()) -> DataFrame:
+    """``search(data, ids, matrix, *extra)`` for all queries, in one go or slab by slab.
+
+    Queries are written down first, and so is the corpus if it is searched more than
+    once and is more than a scan: a model behind either runs once per row.
+    """
+    asked = settle(asked, "queries")
+    size = asked.agg(F.sum(F.size("_v").cast("long") * 8 + 64).alias("n")).first().n or 0
+    slabs = -(-size // query_bytes) if query_bytes else 3
+    if slabs <= 1:
+        return search(data, *_collected(asked, extra))
+    if not is_plain_scan(data):
+        data = settle(data, "corpus")
+    path = new_folder(data.sparkSession, "hits")
+    schema = None
+    for slab in range(slabs):
+        own = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(slabs)) == slab)
+        found = search(data, *_collected(own, extra))
+        found.write.mode("append").parquet(path)
+        schema = found.schema
+    return data.sparkSession.read.schema(schema).parquet(path)
+
+
+def knn_by_metrics(
+    corpus: DataFrame, query: Sequence[float], k: int, metrics: Sequence[str], ids: Sequence[str] = ("vec_id",), vector: str = "embedding"
+) -> DataFrame:
+    """k nearest vectors to one query by each metric, in one scan: ``metric, rank, <ids>, distance``."""
+    _check_k(k)
+    for metric in metrics:
+        _check_metric(metric)
+    ids, matrix, name = list(ids), np.array([[float(v) for v in query]]), pa.array([0], pa.int64())
+    data = corpus.filter(F.col(vector).isNotNull()).select(*ids, F.col(vector).alias("_v"))
+    schema = T.StructType([T.StructField("metric", T.StringType()), *topk_schema(data, ids, T.LongType()).fields])
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields[1:]])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, pa.Table] = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            keys, rows = table.select(ids), _matrix(table.column("_v"))
+            for metric in metrics:
+                found = [t.cast(arrow) for t in block_topk(keys, rows, name, matrix, k, metric)]
+                if found:
+                    best[metric] = keep_nearest(pa.concat_tables([*([best[metric]] if metric in best else []), *found]), ids, k, metric)
+        for metric, table in best.items():
+            yield from table.add_column(0, "metric", pa.array([metric] * len(table))).combine_chunks().to_batches()
+
+    partial = data.mapInArrow(nearest, schema)
+    nearer = F.when(F.col("metric").isin(sorted(vx.DESCENDING)), -F.col("distance")).otherwise(F.col("distance"))
+    order = W.partitionBy("metric").orderBy(nearer.asc_nulls_last(), *ids)
+    ranked = partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("metric", "query_id", "rank", *ids, "distance")
 
 
 def _check_k(k: int) -> None:
@@ -107,11 +161,8 @@ def _check_metric(metric: str) -> None:
         raise ValueError(f"unknown metric {metric!r}; choose from {sorted(vx.METRICS)}")
 
 
-def collect_queries(asked: DataFrame, max_bytes: int, extra: Sequence[str] = ()):
-    """Query ids and matrix (and extra columns) when they fit ``max_bytes``, else None."""
-    size = asked.agg(F.sum(F.size("_v").cast("long") * 8 + 64).alias("n")).first().n or 0
-    if size > max_bytes:
-        return None
+def _collected(asked: DataFrame, extra: Sequence[str] = ()) -> tuple:
+    """Query ids, matrix and extra columns of one slab."""
     table = asked.select("query_id", "_v", *extra).toArrow()
     names = table.column("query_id").combine_chunks()
     matrix = _matrix(table.column("_v").combine_chunks())
@@ -127,7 +178,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
         return flat.reshape(0, 0)
     lengths = np.diff(column.offsets.to_numpy())
     if (lengths != lengths[0]).any():
-        raise ValueError("vectors of different dimensions")
+        raise ValueError(vx.WRONG_LENGTH)
     return flat.reshape(len(column), int(lengths[0]))
 
 
@@ -182,7 +233,7 @@ def block_topk(
     if not len(rows) or not len(queries):
         return
     if rows.shape[1] != queries.shape[1]:
-        raise ValueError("queries and corpus have different dimensions")
+        raise ValueError(vx.WRONG_LENGTH)
     for lo in range(0, len(queries), _SLAB):
         slab = queries[lo : lo + _SLAB]
         keys, slack = _rough_keys(metric, rows, slab)
@@ -220,9 +271,8 @@ def fewer_tasks(data: DataFrame, rows_per_task: int, total: int = PARTIAL_ROWS)
     could return more than it read. At least two tasks per core remain.
     """
     allowed = max(2 * data.sparkSession.sparkContext.defaultParallelism, total // max(rows_per_task, 1))
-    if rows_per_task < _FEW_ROWS or data.rdd.getNumPartitions() <= allowed:
-        return data
-    return data.coalesce(allowed)
+    # Asking for at least as many tasks as there are changes nothing.
+    return data if rows_per_task < _FEW_ROWS else data.coalesce(allowed)
 
 
 def scan_topk(
@@ -257,41 +307,6 @@ def keep_nearest(table: pa.Table, ids: Sequence[str], k: int, metric: str) -> pa
     return table.filter(pa.array(place < k))
 
 
-def _blocked(
-    data: DataFrame, asked: DataFrame, k: int, metric: str, ids: list[str], block_rows: int, on: Sequence[str] = ()
-) -> DataFrame:
-    """Match blocks of queries against blocks of corpus rows.
-
-    Rows are dealt to blocks by a hash of their ids, so block sizes are even whatever
-    the data looks like. Each pair of blocks is one group that emits only its k
-    nearest per query. With ``on``, only rows that agree on those columns meet.
-    """
-    on = list(on)
-    schema = topk_schema(data, ids, asked.schema["query_id"].dataType)
-    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
-
-    def largest(df: DataFrame) -> int:
-        counted = df.groupBy(*on).count() if on else df.agg(F.count(F.lit(1)).alias("count"))
-        return counted.agg(F.max("count").alias("n")).first().n or 1
-
-    n_data = -(-largest(data) // block_rows)
-    n_asked = -(-largest(asked) // block_rows)
-    left = data.select("*", F.pmod(F.xxhash64(*ids), F.lit(n_data)).cast("int").alias("_db"))
-    left = left.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
-    right = asked.select("*", F.pmod(F.xxhash64("query_id"), F.lit(n_asked)).cast("int").alias("_qb"))
-    right = right.withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(n_data - 1))))
-    keys = [*on, "_db", "_qb"]
-
-    def nearest(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        names = queries.column("query_id").combine_chunks()
-        found = list(
-            block_topk(rows.select(ids), _matrix(rows.column("_v")), names, _matrix(queries.column("_v")), k, metric)
-        )
-        return pa.concat_tables([t.cast(arrow) for t in found]) if found else arrow.empty_table()
-
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(nearest, schema)
-
-
 def cosine_topk(
     corpus: DataFrame, query: Sequence[float], k: int, ids: Sequence[str] = ("vec_id",), vector: str = "embedding"
 ) -> DataFrame:
@@ -309,6 +324,4 @@ def fetch_records(hits: DataFrame, records: DataFrame, keys: Sequence[str]) -> D
 
     Hits hold at most k rows per query; they are broadcast only if measured small.
     """
-    from kindling.cluster import broadcast_if_small
-
     return records.join(broadcast_if_small(hits), list(keys))

@@ -14,7 +14,7 @@ from kindling.functions.embedder import Embedder
 from kindling.functions.text import normalize_newlines
 from kindling.operators import chunking, documents, embedding, quality, upsert
 from kindling.sources import files as fl
-from kindling.sources import store
+from kindling.sources import large, store
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -43,45 +43,75 @@ def pending_chunks(
     return apply_steps(log_documents(new, fallback_charset, author=author), steps)
 
 
-def publish_files(files: DataFrame, root: str, steps: Sequence[Step]) -> int:
-    """Process those files the ledger lacks and publish them as a new version."""
-    spark = files.sparkSession
-    return store.write_version(spark, root, pending_chunks(files, store.read_ledger(spark, root), steps))
+# How files too large for one row are cut: from rows ``file_path, file_size, charset`` to chunks.
+CutLarge = Callable[[DataFrame], DataFrame]
+
+
+def publish_listed(
+    files: DataFrame, listing: DataFrame, root: str, steps: Sequence[Step], embed_step: Step, cut_large: CutLarge,
+    fallback_charset: str = "utf-8", author: str = "unknown", max_file_bytes: int = fl.MAX_FILE_BYTES,
+) -> int:
+    """Process those files the ledger lacks and publish them as a new version.
+
+    ``files`` are those of at most ``max_file_bytes``, with contents; larger ones of ``listing``
+    are read in pieces, with the same result. ``embed_step`` is what follows the cutting.
+    """
+    spark = listing.sparkSession
+    ledger = store.read_ledger(spark, root)
+    rows = pending_chunks(files, ledger, [*steps, embed_step], fallback_charset, author)
+    above = listing.filter(F.col("file_size") > max_file_bytes)
+    if not above.isEmpty():
+        names = schemas.STORED_CHUNKS.fieldNames()
+        split = pending_large_chunks(above, ledger, cut_large, embed_step, fallback_charset, author)
+        rows = rows.select(*names).unionByName(split.select(*names))
+    return store.write_version(spark, root, rows)
 
 
 def pending_large_chunks(
-    spark: SparkSession, logs_dir: str, large: DataFrame, ledger: DataFrame, embedder: Embedder, author: str
+    listing: DataFrame, ledger: DataFrame, cut_large: CutLarge, embed_step: Step, fallback_charset: str, author: str
 ) -> DataFrame:
     """Chunk rows of those listed files the ledger lacks, for files too large for one row.
 
-    They must be UTF-8. Each is hashed as a stream by one task and chunked by many.
+    One pass over each file tells its hash and encoding; the next ones read it in pieces.
     """
-    hashed = fl.visit_files(large, fl.streamed_sha256).withColumnRenamed("result", "content_hash")
-    # Hashing reads whole files, so its outcome is written down before it is reused.
-    new = settle(upsert.pending(hashed, ledger).join(large, "file_path"), "large")
+    new = settle(upsert.pending(chunking.inspected(listing, fallback_charset), ledger), "large")
     named = documents.with_metadata(new, F.col("file_name"), author=author)
     entries = named.select(F.col("file_path").alias("doc_id"), "content_hash", "file_size", "metadata")
-    chunks = chunking.chunk_large_files(spark, logs_dir, only=new)
-    return embedding.embed(chunks, embedder).join(broadcast_if_small(entries), "doc_id")
+    chunks = cut_large(new.select("file_path", "file_size", "charset"))
+    return chunks.transform(embed_step).join(broadcast_if_small(entries), "doc_id")
 
 
-def fixed_steps(embedder: Embedder, size: int = chunking.CHUNK_SIZE, overlap: int = chunking.CHUNK_OVERLAP) -> list[Step]:
-    return [
-        lambda docs: chunking.chunk_fixed(docs, size, overlap, keep_empty=True),
+def publish_fixed(files: DataFrame, listing: DataFrame, root: str, embedder: Embedder, **options) -> int:
+    """Character windows and their vectors."""
+    size, overlap = chunking.CHUNK_SIZE, chunking.CHUNK_OVERLAP
+    return publish_listed(
+        files, listing, root,
+        [lambda docs: chunking.chunk_fixed(docs, size, overlap, keep_empty=True)],
         lambda chunks: embedding.embed(chunks, embedder),
-    ]
+        lambda told: large.window_rows(large.ranges(told), size, overlap, keep_empty=True),
+        **options,
+    )
 
 
-def sentence_steps(embedder: Embedder, cache_path: str | None = None) -> list[Step]:
+def publish_sentences(files: DataFrame, listing: DataFrame, root: str, embedder: Embedder, cache_path: str | None, **options) -> int:
     """Sentence chunks and their vectors.
 
     The cache lookup reads the chunks several times, so they are written down first
     instead of reading and decoding the files for each pass.
     """
-    chunk: Step = lambda docs: chunking.chunk_sentences(docs, keep_empty=True)
-    if cache_path is None:
-        return [chunk, lambda chunks: embedding.embed(chunks, embedder)]
-    return [chunk, lambda chunks: embedding.embed_cached(settle(chunks, "sentences"), embedder, cache_path)]
+
+    def embed(chunks: DataFrame) -> DataFrame:
+        if cache_path is None:
+            return embedding.embed(chunks, embedder)
+        return embedding.embed_cached(settle(chunks, "sentences"), embedder, cache_path)
+
+    return publish_listed(
+        files, listing, root,
+        [lambda docs: chunking.chunk_sentences(docs, keep_empty=True)],
+        embed,
+        lambda told: large.sentence_rows(told, chunking.SENTENCE_CHUNK_WORDS, chunking.SENTENCE_OVERLAP_WORDS),
+        **options,
+    )
 
 
 def ingest_logs(
@@ -98,33 +128,37 @@ def ingest_logs(
 
     Unchanged files are skipped, changed ones replaced. Returns the counts of the
     version written. ``max_files_per_dir=1`` takes one file per folder. Files above
-    ``max_file_bytes`` are split over tasks.
+    ``max_file_bytes`` are read in pieces, with the same result.
     """
-    ledger = store.read_ledger(spark, root)
     files = fl.scan_files(spark, logs_dir, max_files_per_dir=max_files_per_dir, max_bytes=max_file_bytes)
-    rows = pending_chunks(files, ledger, fixed_steps(embedder), fallback_charset, author)
-
     listing = fl.list_files(spark, logs_dir)
     if max_files_per_dir is not None:
         listing = fl.first_per_directory(listing, max_files_per_dir)
-    large = listing.filter(F.col("file_size") > max_file_bytes)
-    if not large.isEmpty():
-        names = schemas.STORED_CHUNKS.fieldNames()
-        split = pending_large_chunks(spark, logs_dir, large, ledger, embedder, author)
-        rows = rows.select(*names).unionByName(split.select(*names))
-    return version_counts(spark, root, store.write_version(spark, root, rows))
+    version = publish_fixed(
+        files, listing, root, embedder, fallback_charset=fallback_charset, author=author, max_file_bytes=max_file_bytes
+    )
+    return version_counts(spark, root, version)
 
 
 def ingest_directory(
-    spark: SparkSession, directory: str, root: str, embedder: Embedder, cache_path: str | None = None
+    spark: SparkSession,
+    directory: str,
+    root: str,
+    embedder: Embedder,
+    cache_path: str | None = None,
+    fallback_charset: str = "utf-8",
+    max_file_bytes: int = fl.MAX_FILE_BYTES,
 ) -> DataFrame:
     """Ingest every file below ``directory`` in sentence chunks, reusing saved vectors.
 
     Unchanged files are skipped and changed ones replaced. Returns the counts of the
     version written.
     """
-    files = fl.scan_files(spark, directory, glob=None)
-    version = publish_files(files, root, sentence_steps(embedder, cache_path))
+    files = fl.scan_files(spark, directory, glob=None, max_bytes=max_file_bytes)
+    listing = fl.list_files(spark, directory, glob=None)
+    version = publish_sentences(
+        files, listing, root, embedder, cache_path, fallback_charset=fallback_charset, max_file_bytes=max_file_bytes
+    )
     return version_counts(spark, root, version)
 
 

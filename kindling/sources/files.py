@@ -17,7 +17,6 @@ from pyspark.sql import Window as W
 
 from kindling import schemas
 from kindling.cluster import gather
-from kindling.operators.joins import semi_join
 
 LOG_GLOB = "*.log"
 
@@ -73,24 +72,37 @@ def scan_files(
 
     With ``max_bytes`` larger files are left out and not opened; the caller must
     handle them. Without it Spark stops with an error at a file of 2 GB or more.
+    With ``max_files_per_dir`` files are chosen from the listing and only those opened.
     """
+    if max_files_per_dir is not None:
+        picked = first_per_directory(list_files(spark, root, glob), max_files_per_dir)
+        return read_contents(picked if max_bytes is None else picked.filter(F.col("file_size") <= max_bytes))
     raw = _reader(spark.read, glob).load(root)
     if max_bytes is not None:
         raw = raw.filter(F.col("length") <= max_bytes)
-    files = gather(_columns(raw, content=True))
-    if max_files_per_dir is None:
-        return files
-    picked = first_per_directory(list_files(spark, root, glob), max_files_per_dir)
-    return semi_join(files, picked, ["file_path"])
+    return gather(_columns(raw, content=True))
 
 
-def stream_files(spark: SparkSession, root: str, glob: str | None = LOG_GLOB, max_files_per_trigger: int = 1000) -> DataFrame:
-    """The same rows as a stream; every file that appears below ``root`` is seen once.
+def read_contents(listing: DataFrame) -> DataFrame:
+    """The listed files with their bytes in ``content``, opened by the tasks that hold the names."""
 
-    Spark stops with an error at a file of 2 GB or more; those are for the batch job.
-    """
+    @F.arrow_udf("binary")
+    def content(paths: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in paths:
+            out = []
+            for path in batch.to_pylist():
+                system, inner = open_filesystem(path)
+                with system.open_input_stream(inner) as stream:
+                    out.append(stream.read())
+            yield pa.array(out, pa.binary())
+
+    return listing.withColumn("content", content("file_path"))
+
+
+def stream_files(spark: SparkSession, root: str, glob: str | None = LOG_GLOB, max_files_per_trigger: int = 1000) -> DataFrame:
+    """The listing as a stream; every file that appears below ``root`` is seen once. Contents stay unread."""
     reader = _reader(spark.readStream, glob).option("maxFilesPerTrigger", max_files_per_trigger)
-    return _columns(reader.schema(schemas.FILES).load(root), content=True)
+    return _columns(reader.schema(schemas.FILES).load(root), content=False)
 
 
 def content_hash(files: DataFrame) -> DataFrame:

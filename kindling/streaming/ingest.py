@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kindling.functions.embedder import Embedder
@@ -18,6 +19,8 @@ def stream_ingest(
     checkpoint: str,
     max_files_per_trigger: int = 1000,
     available_now: bool = True,
+    fallback_charset: str = "utf-8",
+    max_file_bytes: int = fl.MAX_FILE_BYTES,
 ) -> StreamingQuery:
     """Feed new ``.log`` files below ``logs_dir`` into the store at ``root``.
 
@@ -27,7 +30,8 @@ def stream_ingest(
     """
 
     def publish(batch: DataFrame, _batch_id: int) -> None:
-        ingest.publish_files(batch, root, ingest.fixed_steps(embedder))
+        small = fl.read_contents(batch.filter(F.col("file_size") <= max_file_bytes))
+        ingest.publish_fixed(small, batch, root, embedder, fallback_charset=fallback_charset, max_file_bytes=max_file_bytes)
 
     writer = (
         fl.stream_files(spark, logs_dir, max_files_per_trigger=max_files_per_trigger)

@@ -87,7 +87,7 @@ def _metric(metric: str, v: str, q: str) -> str:
     return f"{_sum(v, q, '{x} * {y}')} / nullif({lengths}, 0)"
 
 
-def statements(embedder, rare: str, common: str, k: int) -> dict[str, str]:
+def statements(embedder, rare: str, common: str, k: int, lsh) -> dict[str, str]:
     vector = {text: _list(embedder.one(text)) for text in (rare, common, "the and of the")}
     chunks = "WITH " + CHUNKS.format(source="documents")
     chunk_vectors = chunks + "," + EMBED.format(name="emb", ids="doc_id, chunk_idx", source="chunks")
@@ -118,6 +118,21 @@ def statements(embedder, rare: str, common: str, k: int) -> dict[str, str]:
               FROM scored QUALIFY rank <= {k}
             )"""
 
+    def in_buckets(asked: str) -> str:
+        own = "list_transform({directions}, lambda w: CAST(floor(list_dot_product({v}::DOUBLE[], w) / {length}) AS BIGINT))"
+        directions = "[" + ", ".join(_list(w) for w in lsh.directions) + "]"
+        buckets = lambda v: own.format(directions=directions, v=v, length=repr(float(lsh.bucket_length)))
+        return f"""WITH {CENTRES},
+            asked AS (SELECT query_id, q, {buckets("q")} AS b FROM {asked}),
+            held AS (SELECT vec_id, embedding, {buckets("embedding")} AS b FROM embeddings),
+            near AS (
+              SELECT query_id, vec_id, {_metric("l2", "embedding", "q")} AS d FROM held, asked
+              WHERE list_bool_or(list_transform(list_zip(held.b, asked.b), lambda p: p[1] = p[2]))
+            )
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INTEGER) AS rank, vec_id,
+              round(d, 6) AS distance
+            FROM near QUALIFY rank <= {k}"""
+
     german = hybrid(
         rare,
         "WITH "
@@ -211,7 +226,29 @@ def statements(embedder, rare: str, common: str, k: int) -> dict[str, str]:
             SELECT CAST(min(len(embedding)) AS INTEGER) AS min_dim, CAST(max(len(embedding)) AS INTEGER) AS max_dim,
               count(*) AS n_vectors FROM embeddings""",
         "unique_check": "SELECT sha256(text) AS text_hash, count(*) AS n_rows FROM documents GROUP BY 1 HAVING count(*) > 1",
-        "unique_chunks": f"{chunks} SELECT doc_id, chunk_idx, count(*) AS n_rows FROM chunks GROUP BY 1, 2 HAVING count(*) > 1",
+        "unique_chunks": f"""{chunks}
+            SELECT doc_id, chunk_idx, CAST(2 AS BIGINT) AS n_rows FROM chunks
+            WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
+        "failed_embeddings": f"""{chunks}
+            SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks,
+              count(*) FILTER (WHERE contains(lower(text), 'license')) AS failed FROM chunks""",
+        "masked_pool": """
+            SELECT digit, CAST(slot AS INTEGER) AS slot, round(avg(x), 6) AS value
+            FROM (SELECT vec_id % 10 AS digit, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS slot
+                  FROM embeddings WHERE label % 2 <> 0)
+            GROUP BY digit, slot""",
+        "key_value_fields": """
+            SELECT doc_id, CAST(doc_id AS VARCHAR) AS id_value, lang AS lang_value, CAST(n_chars AS VARCHAR) AS chars_value FROM documents""",
+        "vm_lines": """
+            SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS vm_id
+            FROM (SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))""",
+        "regex_literal": f"{chunks} SELECT doc_id, chunk_idx FROM chunks WHERE contains(text, '.*** ')",
+        "ingest_mixed_encodings": all_chunks_of_files,
+        "ingest_mixed_encodings_split": all_chunks_of_files,
+        "truncate_store": f"""{chunks}
+            SELECT {REL_PATH} AS rel_path, chunk_idx, c.text FROM chunks c
+            JOIN (SELECT doc_id, source FROM documents WHERE text <> ''
+                  QUALIFY row_number() OVER (PARTITION BY source ORDER BY source || '/' || doc_id || '.log') = 1) USING (doc_id)""",
         "ingest_counts": f"""{chunks}
             SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks, CAST(0 AS BIGINT) AS failed FROM chunks""",
         "vector_shapes": f"""
@@ -244,6 +281,23 @@ def statements(embedder, rare: str, common: str, k: int) -> dict[str, str]:
             )
             {nearest("l2", vector[rare], "more")}""",
         "ann_ivf_exhaustive": to_centres,
+        "ann_ivf": f"""WITH {CENTRES},
+            homes AS (
+              SELECT vec_id, embedding, label AS cell
+              FROM (SELECT e.vec_id, e.embedding, c.label, {_metric("l2", "e.embedding", "c.q")} AS d FROM embeddings e, centres c)
+              QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, label) = 1
+            ),
+            probes AS (
+              SELECT query_id, q, cell
+              FROM (SELECT a.label AS query_id, a.q, b.label AS cell, {_metric("l2", "a.q", "b.q")} AS d FROM centres a, centres b)
+              QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, cell) <= 4
+            )
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INTEGER) AS rank, vec_id,
+              round(d, 6) AS distance
+            FROM (SELECT query_id, vec_id, {_metric("l2", "embedding", "q")} AS d FROM homes JOIN probes USING (cell))
+            QUALIFY rank <= {k}""",
+        "ann_lsh": in_buckets(f"(SELECT CAST(0 AS BIGINT) AS query_id, {vector[rare]} AS q)"),
+        "ann_lsh_batch": in_buckets("(SELECT label AS query_id, q FROM centres)"),
         "incremental_files": f"WITH {ledger} SELECT * FROM pending",
         "ledger_upsert": f"""WITH {ledger}
             SELECT file_path, content_hash, file_size, CAST(86400 AS BIGINT) AS processed_sec, 'processed' AS status FROM pending

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kindling.operators import chunking
+from kindling.sources import large
 
 
 def windows(text, size, overlap):
@@ -109,16 +110,8 @@ def test_spans_cover_everything_in_order(counts, size, overlap):
     assert all(sum(counts[a:b]) <= size for a, b in spans)
 
 
-@pytest.fixture
-def small_splits(spark):
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
-    yield
-    spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    spark.conf.unset("spark.sql.files.openCostInBytes")
-
-
-def test_large_files_give_the_same_chunks(spark, tmp_path, small_splits):
+@pytest.mark.parametrize("range_bytes", [1000, 1 << 20])
+def test_large_files_give_the_same_chunks(spark, tmp_path, range_bytes):
     rng = random.Random(3)
     bodies = [
         b"",
@@ -130,16 +123,43 @@ def test_large_files_give_the_same_chunks(spark, tmp_path, small_splits):
         b"bad \xff byte\nnext",
         b"\xff",
         b"last is bad\n\xff",
+        b"\xef\xbb\xbfmarked \xef\xbf\xbd and bad \xff",
+        b"\r" * 5000,
+        ("plain words with \u00e9 " * 900).encode(),
         ("x" * 20000 + "é" * 3000).encode(),
         "\n".join("中" * rng.randint(0, 300) + "b" for _ in range(200)).encode(),
         "".join(rng.choice(["a", "\n", "\r", "\r\n", "\U0001f600"]) for _ in range(9000)).encode(),
     ]
     for i, body in enumerate(bodies):
         (tmp_path / f"{i}.log").write_bytes(body)
-    got = chunks_of(chunking.chunk_large_files(spark, str(tmp_path)))
+    got = chunks_of(chunking.chunk_large_files(spark, str(tmp_path), range_bytes=range_bytes))
     expected = {}
     for i, body in enumerate(bodies):
-        text = body.decode(errors="ignore").replace("\r\n", "\n").replace("\r", "\n")
+        text = body.removeprefix(b"\xef\xbb\xbf").decode(errors="ignore").replace("\r\n", "\n").replace("\r", "\n")
         if text:
             expected[f"file:{tmp_path}/{i}.log"] = windows(text, 300, 20)
     assert got == expected
+
+
+def test_pieces_of_any_size_read_the_same(monkeypatch, tmp_path):
+    rng = random.Random(5)
+    for charset in ("utf-8", "utf-16-le", "latin-1", "shift_jis"):
+        text = "".join(rng.choice(["a", "\r", "\n", "\r\n", "z z"]) for _ in range(400))
+        (tmp_path / "f").write_bytes(text.encode(charset))
+        for size in (1, 2, 3, 7, 5000):
+            monkeypatch.setattr(large, "PIECE_BYTES", size)
+            got = "".join(large._texts(str(tmp_path / "f"), charset, 0))
+            assert got == text.replace("\r\n", "\n").replace("\r", "\n")
+
+
+def test_streamed_sentences_as_the_column_form(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["word ", "end. ", "stop!\n", "no?", " ", "x" * 30 + " "]) for _ in range(rng.randint(0, 400))) for _ in range(30)]
+    texts += ["", " \n", "one", "a. b", " lead. trail. "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = chunking.chunk_sentences(docs, 12, 4).collect()
+    for i, text in enumerate(texts):
+        want = [r.text for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.chunk_idx)]
+        for cut in (1, 7, 1000):
+            pieces = iter([text[k : k + cut] for k in range(0, len(text), cut)])
+            assert list(large._sentence_chunks(large._units(pieces, 12), 12, 4)) == want, (i, cut)

@@ -69,7 +69,7 @@ def test_batch_matches_brute_force(corpus, questions, metric):
 def test_blocked_route_matches_brute_force(corpus, questions, metric):
     rows, df = corpus
     asked, queries = questions
-    check(knn.knn_batch(df, queries, 20, metric, query_bytes=0, block_rows=100), rows, asked, 20, metric)
+    check(knn.knn_batch(df, queries, 20, metric, query_bytes=200), rows, asked, 20, metric)
 
 
 @pytest.mark.parametrize("metric", sorted(vx.METRICS))
@@ -163,21 +163,76 @@ def test_cell_index(cells, spark, tmp_path):
     assert "PartitionFilters: [cell" in plan
 
 
+def test_all_rows_are_trained_on(spark):
+    rows = [(i, [0.0]) for i in range(3000)] + [(9000, [1000.0])]
+    index = ann.train_cells(spark.createDataFrame(rows, SCHEMA), cells=2)
+    assert sorted(index.centroids.ravel().tolist()) == [0.0, 1000.0]
+
+
+@pytest.mark.parametrize("dim", [8, 128, 129])
+def test_wrong_lengths_are_an_error_everywhere(spark, dim):
+    rows = [(1, [1.0] * dim, "a"), (2, [1.0] * (dim - 1), "b"), (3, None, "c")]
+    df = spark.createDataFrame(rows, f"{SCHEMA}, text string").withColumn("chunk_idx", F.lit(0)).withColumnRenamed("vec_id", "doc_id")
+    asked = spark.createDataFrame([(0, [1.0] * dim)], "query_id bigint, embedding array<float>")
+    from kindling.operators.search import hybrid_search
+
+    searches = [knn.knn(df, [1.0] * dim, 2, m, ids=["doc_id"]) for m in ("l2", "cosine")]
+    searches += [knn.knn_batch(df, asked, 2, ids=["doc_id"]), hybrid_search(df, "zzz", [1.0] * dim, 2)]
+    for found in searches:
+        with pytest.raises(Exception, match=vx.WRONG_LENGTH):
+            found.collect()
+
+
+def test_metrics_in_one_scan(corpus):
+    rows, df = corpus
+    query = np.array([1, -2, 0.5, 0, 3, 1], np.float32)
+    got = knn.knn_by_metrics(df, query, 15, sorted(vx.METRICS))
+    for metric in vx.METRICS:
+        check(got.filter(F.col("metric") == metric), rows, [(0, query)], 15, metric)
+
+
+def test_every_text_reaches_the_model_once(spark, tmp_path):
+    from kindling.functions.embedder import Embedder
+    from kindling.operators.embedding import embed
+
+    calls = str(tmp_path / "calls")
+
+    def load():
+        def run(texts):
+            with open(calls, "a") as f:
+                f.writelines(t + "\n" for t in texts)
+            return np.array([[len(t), ord(t[-1])] for t in texts], float)
+
+        return run
+
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "vec_id bigint, text string").repartition(4)
+    asked = texts.filter("vec_id < 7").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("query "), "text").alias("text"))
+    model = Embedder("counting-once", load)
+    hits = knn.knn_batch(embed(texts, model), embed(asked, model), 3, query_bytes=200)
+    assert hits.count() == 21
+    seen = open(calls).read().splitlines()
+    assert len(seen) == len(set(seen)) == 67
+
+
 def test_cell_of_missing_vector(cells, spark):
     index = ann.Cells(np.eye(2))
     got = ann.assign_cells(spark.createDataFrame([(1, [0.0, 1.0]), (2, None)], SCHEMA), index)
     assert {r.vec_id: r.cell for r in got.collect()} == {1: 1, 2: None}
 
 
-def test_hash_index(cells):
+def test_hash_index(cells, spark, tmp_path):
     df, queries, exact = cells
-    model = ann.fit_lsh(df, bucket_length=4.0, tables=8)
-    hashed = ann.add_hashes(df, model)
-    near = ann.lsh_search_batch(hashed, model, queries, 10)
+    model = ann.fit_lsh(16, bucket_length=4.0, tables=8)
+    ann.write_buckets(ann.bucket_rows(df, model), str(tmp_path / "buckets"))
+    stored = spark.read.parquet(str(tmp_path / "buckets"))
+    assert stored.count() == 8 * df.count()
+    near = ann.lsh_search_batch(stored, model, queries, 10)
     assert ann.recall(near, exact).agg(F.avg("recall")).first()[0] >= 0.9
-    assert same(ann.lsh_search_batch(hashed, model, queries, 10, query_bytes=0), near)
+    assert same(ann.lsh_search_batch(stored, model, queries, 10, query_bytes=300), near)
+    plan = stored.filter(ann._wanted(model.buckets(np.zeros((1, 16)))))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
     first = queries.filter("query_id = 1").first()
-    single = ann.lsh_search(df, model, first.embedding, 10).collect()
+    single = ann.lsh_search(stored, model, first.embedding, 10).collect()
     found = {r.vec_id for r in exact.filter("query_id = 1").collect()}
     assert len(found & {r.vec_id for r in single}) >= 8
 

@@ -96,6 +96,27 @@ def test_large_files_take_the_split_route(spark, log_tree, tmp_path):
     assert quality.ingest_counts(store.read_chunks(spark, root)).first().failed == 0
 
 
+@pytest.mark.parametrize("fallback", ["utf-8", "latin-1"])
+def test_size_does_not_change_what_is_stored(spark, log_tree, tmp_path, fallback):
+    (log_tree / "a/latin.log").write_bytes("caf\u00e9 au lait\n".encode("latin-1"))
+    (log_tree / "a/bad.log").write_bytes(b"\xff\xfe\xfd"[2:] * 3)
+    (log_tree / "a/mark.log").write_bytes(b"\xef\xbb\xbfabc")
+    (log_tree / "a/kept.log").write_bytes(b"\xef\xbf\xbd beside \xff")
+    (log_tree / "a/returns.log").write_bytes(b"one. two\rthree\r\rfour" * 200)
+    stored = []
+    for limit in (1, 1 << 30):
+        for kind, ingested in (("logs", ingest.ingest_logs), ("all", ingest.ingest_directory)):
+            root = str(tmp_path / f"{kind}{limit}")
+            ingested(spark, str(log_tree), root, EMBEDDER, fallback_charset=fallback, max_file_bytes=limit)
+            ledger = {(r.file_path, r.content_hash, r.file_size) for r in store.read_ledger(spark, root).collect()}
+            stored.append((snapshot(spark, root), ledger))
+        root = str(tmp_path / f"stream{limit}")
+        stream_ingest(spark, str(log_tree), root, EMBEDDER, f"{root}-checkpoint", 3, fallback_charset=fallback, max_file_bytes=limit).awaitTermination()
+        stored.append((snapshot(spark, root), None))
+    assert stored[0] == stored[3] and stored[1] == stored[4] and stored[2] == stored[5]
+    assert stored[2][0] == stored[0][0]
+
+
 def test_unfinished_version_is_invisible(spark, log_tree, tmp_path, monkeypatch):
     root = str(tmp_path / "store")
     ingest.ingest_logs(spark, str(log_tree), root, EMBEDDER)
@@ -164,9 +185,9 @@ def test_directory_ingest_reuses_vectors(spark, log_tree, tmp_path):
 
 def test_texts_and_cosine(spark, tmp_path):
     path = str(tmp_path / "texts")
-    texts = spark.createDataFrame([("1", "This is a test"), ("2", "Another test"), ("3", "Another test 2"), ("4", "...")], "id string, text string")
+    texts = spark.createDataFrame([("1", "disk nearly full"), ("2", "login refused"), ("3", "login refused twice"), ("4", "...")], "id string, text string")
     ingest.add_texts(texts, path, EMBEDDER)
-    got = plans.similar_texts(spark, path, "another test", EMBEDDER, 4).orderBy("rank").collect()
+    got = plans.similar_texts(spark, path, "Login refused", EMBEDDER, 4).orderBy("rank").collect()
     assert [r.id for r in got][:1] == ["2"] and abs(got[0].similarity - 1) < 1e-6
     assert got[-1].id == "4" and got[-1].similarity is None
 
@@ -223,18 +244,18 @@ def test_shared_folder_follows_the_session(spark):
 
 def test_fields(spark):
     lines = [
-        "2017-05-16 00:00:04.500 2931 INFO nova [req] [instance: 544fd51c-4edc-4780-baae-ba1d80a0acfc] ok a=1 b=x=y a=2",
-        "2017-05-16T00:59:59 ERROR 544fd51c-4edc-4780-baae-ba1d80a0acfc ae651dff-c7ad-43d6-ac96-bbcd820ccca8",
+        "2031-02-03 00:00:04.500 77 INFO host [0a1b2c3d-0000-4000-8000-00000000abcd] ok a=1 b=x=y a=2",
+        "2031-02-03T00:59:59 ERROR 0a1b2c3d-0000-4000-8000-00000000abcd 11111111-2222-4333-8444-555555555555",
         "no time INFORMATION here",
-        "2017-13-45 00:00:00 WARN bad date",
+        "2031-13-45 00:00:00 WARN bad date",
     ]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "id int, text string")
     got = {r.id: (None if r.logged_at is None else str(r.logged_at), r.level) for r in fields.time_and_level(df).collect()}
-    assert got == {0: ("2017-05-16 00:00:04", "INFO"), 1: ("2017-05-16 00:59:59", "ERROR"), 2: (None, None), 3: (None, "WARN")}
+    assert got == {0: ("2031-02-03 00:00:04", "INFO"), 1: ("2031-02-03 00:59:59", "ERROR"), 2: (None, None), 3: (None, "WARN")}
     counted = {(str(r.hour), r.level): r.n_lines for r in fields.count_by_time_and_level(df).collect()}
-    assert counted[("2017-05-16 00:00:00", "INFO")] == 1 and sum(counted.values()) == 4
+    assert counted[("2031-02-03 00:00:00", "INFO")] == 1 and sum(counted.values()) == 4
     assert fields.key_value_fields(df).filter("id = 0").first().fields == {"a": "2", "b": "x=y"}
-    vms = spark.createDataFrame([("544fd51c-4edc-4780-baae-ba1d80a0acfc",)], "vm_id string")
+    vms = spark.createDataFrame([("0a1b2c3d-0000-4000-8000-00000000abcd",)], "vm_id string")
     assert sorted(r.id for r in fields.lines_of_vms(df, vms).collect()) == [0, 1]
     js = spark.createDataFrame([('{"k": 3, "s": "t"}',), ("broken",)], "j string")
     assert [(r.k, r.s) for r in fields.json_fields(js, "j", {"k": "int", "s": "string"}).collect()] == [(3, "t"), (None, None)]

@@ -41,10 +41,11 @@ def test_unrolled_and_folded_sums_are_identical(spark):
     rng = np.random.default_rng(0)
     query = rng.normal(size=100).tolist()
     df = spark.createDataFrame([(rng.normal(size=100).tolist(),) for _ in range(50)], "a array<double>")
-    both = df.select(
-        vx.l2_squared("a", query).alias("x"), vx.l2_squared(F.col("a"), query).alias("y"), vx.l2_squared("a", query[:50]).alias("z")
-    ).collect()
-    assert all(r.x == r.y and r.z is None for r in both)
+    both = df.select(vx.l2_squared("a", query).alias("x"), vx.l2_squared(F.col("a"), query).alias("y")).collect()
+    assert all(r.x == r.y for r in both)
+    for vec in ("a", F.col("a")):
+        with pytest.raises(Exception, match=vx.WRONG_LENGTH):
+            df.select(vx.l2_squared(vec, query[:50])).collect()
 
 
 def test_unknown_metric():
