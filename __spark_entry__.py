@@ -203,6 +203,16 @@ def filtered_search(spark, sf_dir):
     return hits.withColumn("distance", _rounded("distance"))
 
 
+def hybrid_batch(spark, sf_dir):
+    """Hybrid search for every benchmark text and for two phrases that occur, in one scan."""
+    chunks = embedding.embed(_chunks(spark, sf_dir), EMBEDDER)
+    asked = _table(spark, sf_dir, "benchmark").select("item_id", "text")
+    phrases = spark.createDataFrame([(-1, RARE_QUERY), (-2, COMMON_QUERY)], "item_id long, text string")
+    asked = embedding.embed(asked.unionByName(phrases), EMBEDDER)
+    hits = search.hybrid_search_batch(chunks, asked.select(F.col("item_id").alias("query_id"), "text", F.lit(K).alias("k"), "embedding"))
+    return hits.withColumn("distance", _rounded("distance"))
+
+
 def prompt_context(spark, sf_dir):
     return documents.prompt_context(_hybrid(spark, sf_dir, RARE_QUERY))
 
@@ -612,7 +622,7 @@ _QUERIES = [
     incremental_files, ledger_upsert, doc_upsert, doc_delete,
     scan_logs, first_per_directory, visit_files, ingest_logs, ingest_ledger, ingest_directory, add_texts,
     ingest_mixed_encodings, ingest_mixed_encodings_split, truncate_store, failed_embeddings, masked_pool,
-    key_value_fields, vm_lines, regex_literal,
+    key_value_fields, vm_lines, regex_literal, hybrid_batch,
     stream_ingest_logs, event_fields, events_by_time_and_level,
 ]
 

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kindling.functions import vectors as vx
 from kindling.functions.text import phrase_match
+from kindling.operators import knn
 from kindling.operators.knn import _check_k
 
 # Scores of the two kinds of hit.
@@ -73,6 +79,82 @@ def hybrid_search(
     )
 
 
+def hybrid_search_batch(
+    chunks: DataFrame,
+    queries: DataFrame,
+    position: Sequence[str] = POSITION,
+    vector: str = "embedding",
+    query_bytes: int = knn.QUERY_BYTES,
+) -> DataFrame:
+    """``hybrid_search`` for every row ``query_id, text, k, <vector>`` of ``queries``, in one scan.
+
+    A task keeps, per query, its first k phrase hits and its k nearest other chunks. Queries
+    without a text or vector have no hits; those beyond ``query_bytes`` are taken slab by slab.
+    """
+    position = list(position)
+    data = chunks.select(*position, "text", F.lower("text").alias("_lower"), F.col(vector).alias("_v"))
+    asked = queries.filter(F.col(vector).isNotNull() & F.col("text").isNotNull() & (F.col("k") > 0))
+    asked = asked.select("query_id", F.col(vector).alias("_v"), F.lower(F.trim("text")).alias("phrase"), F.col("k").cast("long").alias("k"))
+    kind = asked.schema["query_id"].dataType
+    fields = [T.StructField("query_id", kind), T.StructField("_k", T.LongType()), *[data.schema[c] for c in position]]
+    fields += [data.schema["text"], T.StructField("is_exact", T.BooleanType()), T.StructField("distance", T.DoubleType())]
+    schema = T.StructType(fields)
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in fields])
+    by_place = [(c, "ascending") for c in position]
+
+    def search(data: DataFrame, names: pa.Array, matrix: np.ndarray, phrases: list[str], ks: list[int]) -> DataFrame:
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[tuple[int, bool], pa.Table] = {}
+
+            def keep(j: int, exact: bool, rows: pa.Table, distances: np.ndarray) -> None:
+                rows = rows.append_column("distance", pa.array(distances, pa.float64(), from_pandas=True))
+                if (j, exact) in best:
+                    rows = pa.concat_tables([best[j, exact], rows])
+                keys = by_place if exact else [("distance", "ascending"), *by_place]
+                best[j, exact] = rows.take(pc.sort_indices(rows, sort_keys=keys, null_placement="at_end")[: ks[j]])
+
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                plain, texts = table.select([*position, "text"]), table.column("_lower").combine_chunks()
+                present = table.column("_v").is_valid().to_numpy()
+                spots = np.flatnonzero(present)
+                rows = knn._matrix(table.column("_v").filter(pa.array(present)))
+                if len(rows) and len(matrix) and rows.shape[1] != matrix.shape[1]:
+                    raise ValueError(vx.WRONG_LENGTH)
+                distance = np.full(table.num_rows, np.nan)
+                for j, phrase in enumerate(phrases):
+                    hit = pc.fill_null(pc.match_substring(texts, phrase), False).to_numpy(zero_copy_only=False)
+                    if len(rows):
+                        gaps = ((rows - matrix[j]) ** 2).sum(1)
+                        distance[spots] = gaps
+                    if hit.any():
+                        found = np.flatnonzero(hit)
+                        exact = distance[found]
+                        own = np.isin(found, spots)
+                        exact[own] = knn._exact("l2", rows[np.searchsorted(spots, found[own])], matrix[j])
+                        keep(j, True, plain.take(pa.array(found)), exact)
+                    rest = np.flatnonzero(present & ~hit)
+                    if len(rest) > ks[j]:
+                        # Rounding can reorder only what is this close to the k-th.
+                        edge = np.partition(distance[rest], ks[j] - 1)[ks[j] - 1]
+                        rest = rest[distance[rest] <= edge + 1e-9 * (1 + abs(edge))]
+                    if len(rest):
+                        keep(j, False, plain.take(pa.array(rest)), knn._exact("l2", rows[np.searchsorted(spots, rest)], matrix[j]))
+            for (j, exact), rows in best.items():
+                n = len(rows)
+                columns = [pa.array([names[j].as_py()] * n, names.type), pa.array([ks[j]] * n), *(rows.column(c) for c in [*position, "text"])]
+                out = pa.Table.from_arrays([*columns, pa.array([exact] * n), rows.column("distance")], names=arrow.names)
+                yield from out.cast(arrow).combine_chunks().to_batches()
+
+        order = [F.col("is_exact").desc(), F.when(~F.col("is_exact"), F.col("distance")).asc_nulls_last(), *[F.col(c) for c in position]]
+        found = knn.fewer_tasks(data, 2 * sum(ks)).mapInArrow(find, schema)
+        found = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= F.col("_k"))
+        score = F.when(F.col("is_exact"), EXACT_SCORE).otherwise(SEMANTIC_SCORE)
+        return found.select("query_id", "rank", *position, "text", score.alias("score"), "distance")
+
+    return knn.by_slabs(data, asked, search, query_bytes, extra=["phrase", "k"])
+
+
 def first_source_wins(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``first``, then those of ``second`` whose key ``first`` does not hold."""
     from kindling.operators.joins import anti_join

@@ -203,6 +203,17 @@ def statements(embedder, rare: str, common: str, k: int, lsh) -> dict[str, str]:
             UNION ALL
             SELECT doc_id, chunk_idx, CAST(0.5 AS DOUBLE) FROM near
             WHERE (doc_id, chunk_idx) NOT IN (SELECT (doc_id, chunk_idx) FROM exact)""",
+        "hybrid_batch": f"""{chunk_vectors},
+            {EMBED.format(name="asked", ids="item_id", source=f"(SELECT item_id, text FROM benchmark UNION ALL SELECT -1, '{rare}' UNION ALL SELECT -2, '{common}')")},
+            scored AS (
+              SELECT item_id AS query_id, doc_id, chunk_idx, e.text, contains(lower(e.text), lower(trim(a.text))) AS hit,
+                {_metric("l2", "e.v", "a.v")} AS d
+              FROM emb e, asked a
+            )
+            SELECT query_id, CAST(row_number() OVER (
+                PARTITION BY query_id ORDER BY hit DESC, CASE WHEN hit THEN NULL ELSE d END, doc_id, chunk_idx) AS INTEGER) AS rank,
+              doc_id, chunk_idx, text, CASE WHEN hit THEN CAST(1 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS score, round(d, 6) AS distance
+            FROM scored QUALIFY rank <= {k}""",
         "filtered_search": f"{german} {hits}",
         "prompt_context": f"""{hybrid(rare)}
             SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM hits GROUP BY query_id""",
