@@ -230,7 +230,7 @@ class WordEncoder:
     takes for white space go to the tokenizer whole. ``memory`` words are remembered.
     """
 
-    def __init__(self, path: str, memory: int = 500_000) -> None:
+    def __init__(self, path: str, memory: int = 600_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -243,6 +243,8 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
 
     _ODD = re.compile("[\x1c-\x1f\x85]")
+    # Marks that never join the letters before them to one pre-token.
+    _MARKS = ".,!?;:%&$#*|"
 
     def _ids(self, words: list[str]) -> list[bytes]:
         encoded = self.whole.encode_batch_fast(words, add_special_tokens=False)
@@ -260,15 +262,26 @@ class WordEncoder:
             words = self._folded(text).split()
             found = list(map(self.known.get, words))
             if None in found:
-                new = list({w for w, b in zip(words, found, strict=True) if b is None})
-                fresh = dict(zip(new, self._ids(new), strict=True))
-                found = [fresh[w] if b is None else b for w, b in zip(words, found, strict=True)]
-                if len(self.known) + len(fresh) > self.memory:
-                    self.known.clear()
-                self.known |= {w: b for w, b in fresh.items() if len(w) < 100}
+                new = self._learn({w for w, b in zip(words, found, strict=True) if b is None})
+                found = [new[w] if b is None else b for w, b in zip(words, found, strict=True)]
             out.append(b"".join(found))
         return out
 
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words not known yet: those of the letters and those of the marks after them."""
+        parts = {}
+        for w in words:
+            letters = w.rstrip(self._MARKS)
+            parts[w] = (letters, w[len(letters) :]) if letters != w and letters.isalpha() else (w,)
+        known = self.known
+        new = list({p for own in parts.values() for p in own if p not in known})
+        fresh = dict(zip(new, self._ids(new), strict=True))
+        out = {w: b"".join([known[p] if p in known else fresh[p] for p in own]) for w, own in parts.items()}
+        if len(known) + len(fresh) + len(out) > self.memory:
+            known.clear()
+        known |= {w: b for w, b in (fresh | out).items() if len(w) < 100}
+        return out
+
     @staticmethod
     def _folded(text: str) -> str:
         """Lower case, so that more words are equal; the tokenizer does the same to each character."""
