@@ -58,7 +58,12 @@ def read_stored(spark: SparkSession, root: str) -> DataFrame:
     """
     version = last_version(spark, root)
     chunks = _table(spark, root, "chunks", schemas.STORED_CHUNKS).filter(F.col("version") <= version)
-    stale = _table(spark, root, "stale", schemas.STALE).filter(F.col("version") <= version)
+    return without_stale(spark, root, chunks)
+
+
+def without_stale(spark: SparkSession, root: str, chunks: DataFrame) -> DataFrame:
+    """Rows of ``doc_id, version`` and more, less those that a later version replaced or deleted."""
+    stale = _table(spark, root, "stale", schemas.STALE).filter(F.col("version") <= last_version(spark, root))
     if stale.isEmpty():
         return chunks
     cut = stale.groupBy("doc_id").agg(F.max("version").alias("since"))

@@ -144,6 +144,29 @@ def test_search_of_a_store(spark, log_tree, tmp_path):
     assert [h.text for h in only] == ["one\ntwo\nthree end\n"]
 
 
+def test_search_through_an_index(spark, log_tree, tmp_path):
+    root = str(tmp_path / "store")
+    for i in range(30):
+        (log_tree / f"a/more{i}.log").write_bytes(f"event {i} in zone {i % 4} of plant {i % 7}\n".encode())
+    ingest.ingest_logs(spark, str(log_tree), root, EMBEDDER)
+    plans.build_index(spark, root, cells=4)
+
+    def same(query):
+        full = plans.search_logs(spark, root, query, EMBEDDER, 5).collect()
+        found = plans.search_logs(spark, root, query, EMBEDDER, 5, probes=4).collect()
+        assert [tuple(r) for r in sorted(found, key=lambda r: r.rank)] == [tuple(r) for r in sorted(full, key=lambda r: r.rank)]
+
+    same("zone 3 of plant")
+    same("event 7 plant")
+    (log_tree / "a/more3.log").write_bytes(b"replaced, other words\n")
+    (log_tree / "a/late.log").write_bytes(b"zone 3 of plant 3, later\n")
+    ingest.ingest_logs(spark, str(log_tree), root, EMBEDDER)
+    same("zone 3 of plant")
+    same("event 3 plant")
+    with pytest.raises(ValueError):
+        plans.search_logs(spark, root, "x", EMBEDDER, where=F.lit(True), probes=2)
+
+
 def test_stream_then_batch(spark, log_tree, tmp_path):
     root, checkpoint = str(tmp_path / "store"), str(tmp_path / "checkpoint")
 
