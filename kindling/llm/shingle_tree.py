@@ -201,8 +201,11 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
-def link_locally(sets: list[np.ndarray], points: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect what is similar: verified pairs, none inside a component that is already joined."""
+def link_locally(sets: list[np.ndarray], points: list[np.ndarray], sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what is similar: verified pairs, none inside a component that is already joined.
+
+    With ``sides`` only pairs of different sides are looked at.
+    """
     root = list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -217,7 +220,7 @@ def link_locally(sets: list[np.ndarray], points: list[np.ndarray]) -> list[tuple
     out = []
     for i in range(len(sets)):
         for j in tree.candidates(grid[i], len(sets[i])).tolist():
-            if j != i:
+            if j < i and (sides is None or sides[i] != sides[j]):
                 a, b = find(i), find(j)
                 if a != b and _linked(sets[i], sets[j]):
                     root[max(a, b)] = min(a, b)
@@ -347,22 +350,12 @@ def _link_group(group: pa.Table) -> pa.Table:
     keys = group["key"].to_numpy()
     keys, first = np.unique(keys, return_index=True)
     sets = [np.frombuffer(group["own"][int(i)].as_py(), np.uint64) for i in first]
-    found = link_locally(sets, [point_of(s) for s in sets])
+    across = group["low"][0] != group["high"][0]
+    found = link_locally(sets, [point_of(s) for s in sets], group["side"].to_numpy()[first] if across else None)
     a, b = ([int(keys[pair[k]]) for pair in found] for k in range(2))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for i, (x, y) in enumerate(zip(batch.column("own_a"), batch.column("own_b"), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if _linked(x, y):
-                keep.append(i)
-        take = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], ["a", "b"])
-
-
 # --- the join ------------------------------------------------------------------------
 
 
@@ -407,11 +400,7 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     sets = texts.join(broadcast_if_small(wanted), "key", "left_semi").mapInArrow(_points(size), "key long, own binary")
     sets = settle(sets.dropDuplicates(), "sets")
 
-    links = _links_of_leaders(first, sets)
-    found = components(links, "a", "b")
-    rest = _links_between(first, sets, found)
-    if rest.limit(1).count():
-        found = components(links.unionByName(rest), "a", "b")
+    found = components(_links_of_leaders(first, sets), "a", "b")
 
     named = classes.join(found, classes["key"] == found["node"], "left")
     named = settle(named.select("digest", F.coalesce("component", "key").alias("component_id")), "named")
@@ -422,32 +411,23 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
 
 
 def _links_of_leaders(first: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links within the groups of texts that share a shingle with a leader of about their size."""
+    """Links within the groups of texts that share a shingle with a leader of about their size.
+
+    Two similar texts share a first shingle, whose leader has both in its group. A group of
+    several blocks is compared by pairs of blocks, each in a task of its own.
+    """
     own = _size_class(F.col("n"))
     # Sizes that fit differ by one class at most.
     spread = first.withColumn("of", F.explode(F.array(own, own + 1)))
     leaders = settle(spread.groupBy("shingle", "of").agg(F.min("key").alias("leader")), "leaders")
     pairs = settle(spread.join(leaders, ["shingle", "of"]).filter("key != leader").select("leader", "key").distinct(), "candidates")
-    counts = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    counts = pairs.groupBy("leader").agg(F.ceil((F.count(F.lit(1)) + 1) / BLOCK).cast("int").alias("blocks"))
     counts = settle(counts, "group-sizes")
-    members = pairs.join(counts, "leader").select("leader", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"), "key")
-    leading = counts.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("leader").alias("key"))
-    grouped = members.unionByName(leading).join(sets, "key")
-    return settle(grouped.groupBy("leader", "block").applyInArrow(_link_group, "a long, b long"), "leader-links")
-
-
-def _links_between(first: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
-    """Links between different components: pairs that share enough first shingles, verified."""
-    named = first.join(found, first["key"] == found["node"], "left")
-    named = settle(named.select("shingle", "key", "n", F.coalesce("component", "key").alias("component")), "first-named")
-    mixed = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("shingle")
-    named = settle(named.join(settle(mixed, "mixed"), "shingle", "left_semi"), "mixed-shingles")
-    a = named.select("shingle", F.col("key").alias("a"), F.col("n").alias("n"), F.col("component").alias("ca"))
-    b = named.select("shingle", F.col("key").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
-    fits = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
-    pairs = a.join(b, "shingle").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits)
-    shared = pairs.groupBy("a", "b", F.least("n", "m").alias("least")).agg(F.count(F.lit(1)).alias("c"))
-    shared = settle(shared.filter(F.col("c") >= F.floor(F.col("least") / 10) + 1).select("a", "b"), "pairs")
-    with_a = shared.join(sets.select(F.col("key").alias("a"), F.col("own").alias("own_a")), "a")
-    both = with_a.join(sets.select(F.col("key").alias("b"), F.col("own").alias("own_b")), "b")
-    return settle(both.select("a", "b", "own_a", "own_b").mapInArrow(_verify_pairs, "a long, b long"), "more-links")
+    members = pairs.join(counts, "leader").unionByName(counts.select("leader", F.col("leader").alias("key"), "blocks"))
+    block = F.pmod(F.xxhash64("key"), "blocks").cast("int")
+    others = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(block, k).alias("low"), F.greatest(block, k).alias("high"))
+    )
+    dealt = members.select("leader", "key", block.alias("side"), F.explode(others).alias("at"))
+    grouped = dealt.select("leader", "key", "side", "at.low", "at.high").join(sets, "key")
+    return settle(grouped.groupBy("leader", "low", "high").applyInArrow(_link_group, "a long, b long"), "leader-links")
