@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 TRAINING_ROWS = 20_000
 
 # Words whose restored form and evidence a worker remembers.
-MEMORY = 400_000
+MEMORY = 100_000
 
 # --- fixed values: what a character may stand for -----------------------------
 
