@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Encoded words that a worker remembers; the memory is emptied when full.
-MEMORY = 250_000
+MEMORY = 500_000
 
 # A word of the lower bitmap holds 256 ranks.
 _BIT = [1 << i for i in range(256)]
