@@ -227,7 +227,7 @@ class WordEncoder:
 
     Holds for tokenizers whose pre-tokens end at white space and that drop white space: a
     text's ids are then those of its words. Texts with control characters that only Python
-    takes for white space go to the tokenizer whole. ``memory`` words are remembered.
+    takes for white space, or that hold an added token in any case, go to the tokenizer whole. ``memory`` words are remembered.
     """
 
     def __init__(self, path: str, memory: int = 600_000) -> None:
@@ -237,12 +237,13 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        # Added tokens are looked for in the whole text, before it is folded.
+        added = sorted({t.content for t in self.whole.get_added_tokens_decoder().values()}, key=len, reverse=True)
+        self._odd = re.compile("|".join(["[\x1c-\x1f\x85]", *map(re.escape, added)]), re.IGNORECASE)
         self.known: dict[str, bytes] = {}
         self.memory = memory
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
 
-    _ODD = re.compile("[\x1c-\x1f\x85]")
     # Marks that never join the letters before them to one pre-token.
     _MARKS = ".,!?;:%&$#*|"
 
@@ -256,7 +257,7 @@ class WordEncoder:
             if not text:
                 out.append(b"")
                 continue
-            if self._ODD.search(text):
+            if self._odd.search(text):
                 out += self._ids([text])
                 continue
             words = self._folded(text).split()

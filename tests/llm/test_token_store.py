@@ -61,6 +61,16 @@ def test_words_as_the_library():
         assert np.frombuffer(got, encoder.dtype).tolist() == one.ids, repr(text)
 
 
+def test_added_tokens_as_loaded():
+    encoder, tokenizer = ts.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    assert tokenizer.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [3306, 49407, 1002]
+    parts = ["hello", " ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|", "|>", "World", ".", "É", "endoftext", "\n", "|"]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(2000)]
+    for text, got in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(got, encoder.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_store(spark):
     long_text = " ".join(f"w{i % 977} x" for i in range(60_000))  # reaches over several blocks
     rows = [(5, "five words are in here", 1), (3, None, 1), (4, "", 1), (9, long_text, 1), (-2, "minus", 1), (5, "five again", 1), (None, "no id", 1)]
