@@ -20,10 +20,17 @@ from kindling.functions.text import evaluate_once
 
 FEMALE, MALE, ANY = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|госпожа|Κυρία", "Mr|Herr|Monsieur|Señor|Sr|господин|Κύριος", "Dr|Prof"
 _NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
+# A secret's value ends at the quote that closes it, or else at white space, less the punctuation there.
+_CLOSING = r"[.,;:!?\"')\]}>]"
+_BEHIND_KEY = r"(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}%s)"
+_SECRET = (
+    rf"(?:{_BEHIND_KEY % chr(34)}(?=[^\"\r\n]*[\p{{L}}\p{{N}}])[^\s\"][^\"\r\n]{{5,}}(?=\")"
+    rf"|{_BEHIND_KEY % chr(39)}(?=[^'\r\n]*[\p{{L}}\p{{N}}])[^\s'][^'\r\n]{{5,}}(?=')"
+    rf"|{_BEHIND_KEY % '[\"\']?'}(?=[^\s\p{{Z}}]*[\p{{L}}\p{{N}}])[^\s\p{{Z}}\"'][^\s\p{{Z}}]{{4,}}(?!{_CLOSING})[^\s\p{{Z}}])"
+)
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?<=(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_+/.~-]{5,199}[A-Za-z0-9_+/~=-]",
-    "access": r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,60}|sk-[A-Za-z0-9]{20,60})(?![A-Za-z0-9])",
+    "access": r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{19,}[A-Za-z0-9])(?![A-Za-z0-9])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
@@ -31,6 +38,9 @@ PATTERNS = {
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
     "name": rf"(?:{FEMALE}|{MALE}|{ANY})\.?[  ]{_NAME}(?:[  ]{_NAME})?(?![\p{{L}}])",
 }
+# Types that may hold spaces: a value of these is no secret that ends at its first space.
+_SPACED = "|".join(PATTERNS[k] for k in ("iban", "phone", "card", "name"))
+PATTERNS = {"secret": rf"(?<=[=:]\s{{0,3}}[\"']?)(?!(?:{_SPACED}){_CLOSING}*(?:\s|\z)){_SECRET}", **PATTERNS}
 # One pattern of all types; an entity never starts inside a word or number.
 ENTITY = r"(?<![\p{L}\p{N}_])(?:" + "|".join(PATTERNS.values()) + ")"
 
@@ -47,54 +57,71 @@ ENDINGS = {
 }
 # -----------------------------------------------------------------------------------
 
+# Draws of a value that keep its length. Later ones come from a wider space: an address of octets
+# of any length, else one more syllable, letter or digit for every further draw.
+WIDEN_AFTER = 6
+# Draws after which the run fails: wider spaces are never full by then.
+LAST_DRAW = 64
+
 
 def _kind(value: Column) -> Column:
     """The type of a matched entity: the first of the patterns, in their order, that fits it whole."""
-    secret = r"[A-Za-z0-9_+/.~-]{5,199}[A-Za-z0-9_+/~=-]"
-    out = F.lit("name")
+    out = F.when(value.rlike(_NAME_PARTS), "name").otherwise("secret")
     for kind in reversed([k for k in PATTERNS if k not in ("name", "secret")]):
         out = F.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), kind).otherwise(out)
-    plain = value.rlike(f"^{secret}$") & (out == "name")
-    return F.when(plain, "secret").otherwise(out)
+    return out
 
 
 def _bytes(seed: Column, length: Column) -> Column:
-    """Hex digits of a digest of ``seed``, at least two for each of ``length`` characters."""
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(length / 32).cast("int")), lambda k: F.sha2(F.concat(seed, k.cast("string")), 256))
-    return F.array_join(blocks, "")
+    """Digests of ``seed`` in hex, each of 32 bytes, with at least one byte for each of ``length`` characters."""
+    return F.transform(F.sequence(F.lit(0), F.ceil(length / 32).cast("int")), lambda k: F.sha2(F.concat(seed, k.cast("string")), 256))
 
 
-def _draw(digest: Column, i: Column, n: int) -> Column:
-    """A number below n from the i-th byte of a digest."""
-    return (F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("int") % n).cast("int")
+def _draw(digest: Column, i: Column, n: int | Column) -> Column:
+    """A number below n from the i-th byte of digests."""
+    block = F.get(digest, F.floor(i / 32).cast("int"))
+    return (F.conv(F.substring(block, i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("int") % n).cast("int")
 
 
-def _pick(choices: str, at: Column) -> Column:
-    return F.substring(F.lit(choices), at + 1, F.lit(1))
+def _pick(choices: Column, at: Column) -> Column:
+    return F.substring(choices, at + 1, F.lit(1))
 
 
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+_CYRILLIC, _GREEK = "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 
 
 def _reshape(value: Column, seed: Column) -> Column:
-    """Each letter and digit replaced by one of its own kind; lower hex strings stay hex."""
+    """Each letter and digit replaced by one of its own kind; lower hex strings stay hex.
+
+    Letters of other scripts than Latin, Cyrillic and Greek become Latin ones.
+    """
     is_hex = value.rlike("^[0-9a-f]*$") & value.rlike("[0-9]") & value.rlike("[a-f]")
 
-    def with_digest(digest: Column) -> Column:
-        def char(i: Column) -> Column:
-            c = F.substring(value, i + 1, F.lit(1))
-            return (
-                F.when(is_hex, _pick("0123456789abcdef", _draw(digest, i, 16)))
-                .when(c.rlike("[0-9]"), _pick(_DIGITS, _draw(digest, i, 10)))
-                .when(c.rlike("[a-z]"), _pick(_LOWER, _draw(digest, i, 26)))
-                .when(c.rlike("[A-Z]"), _pick(_LOWER.upper(), _draw(digest, i, 26)))
-                .otherwise(c)
+    def with_digest(known: Column) -> Column:
+        digest = known["digest"]
+
+        def char(c: Column, i: Column) -> Column:
+            def cased(choices: str) -> Column:
+                return F.when(c.rlike(r"\p{Lu}"), choices.upper()).otherwise(choices)
+
+            choices = (
+                F.when(known["is_hex"], "0123456789abcdef")
+                .when(c.rlike("[a-z]"), _LOWER)
+                .when(c.rlike("[A-Z]"), _LOWER.upper())
+                .when(c.rlike(r"\p{N}"), _DIGITS)
+                .when(c.rlike(r"[\x00-\x7f]"), "")
+                .when(c.rlike(r"\p{IsCyrillic}"), cased(_CYRILLIC))
+                .when(c.rlike(r"\p{IsGreek}"), cased(_GREEK))
+                .when(c.rlike(r"\p{L}"), cased(_LOWER))
+                .otherwise("")
             )
+            return evaluate_once(choices, lambda own: F.when(own == "", c).otherwise(_pick(own, _draw(digest, i, F.length(own)))))
 
-        places = F.sequence(F.lit(0), F.length(value) - 1)
-        return F.when(F.length(value) > 0, F.array_join(F.transform(places, char), "")).otherwise(value)
+        return F.array_join(F.transform(F.split(value, ""), char), "")
 
-    return evaluate_once(_bytes(seed, F.length(value)), with_digest)
+    known = F.struct(_bytes(seed, F.length(value)).alias("digest"), is_hex.alias("is_hex"))
+    return F.when(F.length(value) > 0, evaluate_once(known, with_digest)).otherwise(value)
 
 
 def _luhn(payload: Column) -> Column:
@@ -114,11 +141,13 @@ def _iban_check(country: Column, account: Column) -> Column:
     return F.lpad((98 - rest).cast("string"), 2, "0")
 
 
-def _made_up_name(value: Column, seed: Column, role: Column) -> Column:
+def _made_up_name(value: Column, seed: Column, role: Column, extra: Column) -> Column:
     def with_digest(digest: Column) -> Column:
         def one(script: str) -> Column:
             syllables = F.array(*[F.lit(s) for s in SYLLABLES[script]])
             stem = F.concat(*[F.get(syllables, _draw(digest, F.lit(k), len(SYLLABLES[script]))) for k in range(3)])
+            more = F.transform(F.sequence(F.lit(1), extra), lambda k: F.get(syllables, _draw(digest, k + 4, len(SYLLABLES[script]))))
+            stem = F.when(extra > 0, F.concat(stem, F.array_join(more, ""))).otherwise(stem)
             longer = F.concat(stem, F.get(syllables, _draw(digest, F.lit(3), len(SYLLABLES[script]))))
             ending = F.lit("")
             for name, choices in ENDINGS[script].items():
@@ -128,49 +157,58 @@ def _made_up_name(value: Column, seed: Column, role: Column) -> Column:
         name = F.when(value.rlike(r"\p{IsCyrillic}"), one("cyrillic")).when(value.rlike(r"\p{IsGreek}"), one("greek")).otherwise(one("latin"))
         return F.when(value == F.upper(value), F.upper(name)).otherwise(F.initcap(name))
 
-    return evaluate_once(_bytes(seed, F.lit(8)), with_digest)
+    return evaluate_once(_bytes(seed, extra + 8), with_digest)
 
 
 def _surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     """The replacement of one part: ``kind`` is a type, or for parts of names their role."""
 
     def seed(of: Column, label: Column) -> Column:
+        # A digest stands for a long value, which would be hashed anew for every 32 of its characters.
+        of = F.when(F.length(of) > 256, F.sha2(of, 256)).otherwise(of)
         return F.concat_ws("\u0001", F.lit(key), label, of, attempt.cast("string"))
 
     own = seed(value, kind)
+    extra = F.greatest(attempt - (WIDEN_AFTER - 1), F.lit(0))
+
+    def longer(part: Column) -> Column:
+        """A part with its last letter or digit repeated ``extra`` times."""
+        last = F.regexp_extract(part, r"([A-Za-z0-9])[^A-Za-z0-9]*$", 1)
+        return F.when(extra > 0, F.concat(part, F.repeat(F.when(last == "", "a").otherwise(last), extra))).otherwise(part)
+
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     tail = F.regexp_extract(domain, r"(?i)((?:(?:^|\.)example)?\.[a-z]+)$", 1)
     head = F.length(domain) - F.length(tail)
     host = F.substring(domain, F.lit(1), head)
     # A domain keeps its surrogate in all addresses, whatever else is drawn again.
     new_host = _reshape(host, F.concat_ws("\u0001", F.lit(key), F.lit("domain"), F.lower(domain)))
-    email = F.concat(_reshape(local, own), F.lit("@"), new_host, tail)
+    email = F.concat(_reshape(longer(local), own), F.lit("@"), new_host, tail)
 
     def octets(digest: Column) -> Column:
         def octet(o: Column, i: Column) -> Column:
             two = _draw(digest, i * 2, 256) * 256 + _draw(digest, i * 2 + 1, 256)
-            return F.when(F.length(o) == 1, two % 9 + 1).when(F.length(o) == 2, two % 90 + 10).otherwise(two % 155 + 100).cast("string")
+            return F.when(extra > 0, two % 256).when(F.length(o) == 1, two % 9 + 1).when(F.length(o) == 2, two % 90 + 10).otherwise(two % 155 + 100).cast("string")
 
         return F.array_join(F.transform(F.split(value, r"\."), octet), ".")
 
     ip = evaluate_once(_bytes(own, F.lit(32)), octets)
     country_code = F.regexp_extract(value, r"^(\+\d{1,3}(?=[ .(-])|)", 1)
-    phone = F.concat(country_code, _reshape(F.substring(value, F.length(country_code) + 1, F.length(value)), own))
+    phone = F.concat(country_code, _reshape(longer(F.substring(value, F.length(country_code) + 1, F.length(value))), own))
 
     payload = F.substring(value, F.lit(1), F.length(value) - 1)
     valid = _luhn(payload) == F.substring(value, F.length(value), F.lit(1))
-    new_payload = F.concat(F.substring(payload, 1, 1), _reshape(F.substring(payload, F.lit(2), F.length(payload)), own))
-    card = F.when(valid, evaluate_once(new_payload, lambda p: F.concat(p, _luhn(p)))).otherwise(_reshape(value, own))
+    new_payload = F.concat(F.substring(payload, 1, 1), _reshape(longer(F.substring(payload, F.lit(2), F.length(payload))), own))
+    card = F.when(valid, evaluate_once(new_payload, lambda p: F.concat(p, _luhn(p)))).otherwise(_reshape(longer(value), own))
 
     country, account = F.substring(value, 1, 2), F.substring(value, F.lit(5), F.length(value))
-    iban = evaluate_once(_reshape(account, own), lambda a: F.concat(country, _iban_check(country, a), a))
+    iban = evaluate_once(_reshape(longer(account), own), lambda a: F.concat(country, _iban_check(country, a), a))
 
-    prefix = F.regexp_extract(value, r"^(AKIA|ASIA|gh[pousr]_|sk-)", 1)
-    access = F.concat(prefix, _reshape(F.substring(value, F.length(prefix) + 1, F.length(value)), own))
+    prefix = F.regexp_extract(value, r"^(AKIA|ASIA|gh[pousr]_|sk-(?:proj-)?)", 1)
+    access = F.concat(prefix, _reshape(longer(F.substring(value, F.length(prefix) + 1, F.length(value))), own))
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card)
-        .when(kind == "iban", iban).when(kind == "access", access).when(kind.isin("secret", "ssn"), _reshape(value, own))
-        .otherwise(_made_up_name(value, own, kind))
+        .when(kind == "iban", iban).when(kind == "access", access).when(kind.isin("secret", "ssn"), _reshape(longer(value), own))
+        .otherwise(_made_up_name(value, own, kind, extra))
     )
 
 
@@ -217,7 +255,7 @@ def _settled_draws(key: str, parts: DataFrame) -> DataFrame:
     draws = parts.select("kind", "value", F.lit(0).alias("attempt"))
     draws = settle(draws.withColumn("surrogate", _surrogate(key, F.col("kind"), F.col("value"), F.col("attempt"))), "draws")
     values = draws.select(F.col("value").alias("surrogate")).distinct()
-    while True:
+    for _ in range(LAST_DRAW):
         # Of several parts with one surrogate, the least keeps it. A value in the table is never a surrogate.
         several = draws.groupBy("surrogate").agg(F.min(F.struct("kind", "value")).alias("keeps"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         twice = draws.join(several, "surrogate").filter(F.struct("kind", "value") != F.col("keeps")).select("kind", "value", "attempt")
@@ -228,6 +266,7 @@ def _settled_draws(key: str, parts: DataFrame) -> DataFrame:
         later = again.select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
         later = later.withColumn("surrogate", _surrogate(key, F.col("kind"), F.col("value"), F.col("attempt")))
         draws = settle(draws.join(again, ["kind", "value"], "left_anti").unionByName(later), "draws")
+    raise RuntimeError(f"no free surrogates after {LAST_DRAW} draws")
 
 
 def replace_personal_data(docs: DataFrame, secret: str, key: str = "doc_id", text_col: str = "text") -> DataFrame:

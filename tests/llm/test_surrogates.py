@@ -71,3 +71,46 @@ def test_empty_table_and_no_python_in_the_plan(spark):
     out = su.replace_personal_data(spark.createDataFrame([], "doc_id long, text string"), "k")
     assert out.count() == 0
     assert "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_secrets_are_taken_whole(spark):
+    import random
+
+    rng = random.Random(4)
+    long = ["".join(rng.choice("abcXYZ019._-") for _ in range(n - 1)) + "k" for n in (199, 201, 300, 1000, 20_000)]
+    values = [*long, "Tr0ub4dor&3xyz", "P@ss1234", "$tart9!x#end", "pässwörd99", "bob@x.org!23", "пароль77"]
+    leads = ["password=", "PASSWORD=", "API_KEY = ", "Token: ", "pwd: ", '"secret": "', "Api-Key='"]
+    closed = [(lead, v, lead[-1] if lead[-1] in "\"'" else "") for lead in leads for v in values]
+    keys = ["sk-proj-" + "aB3_x-" * 25 + "Zz9", "sk-" + "k9Q" * 40, "sk-ab12-cd34-ef56-gh78-ij90", "ghp_" + "a1B" * 30]
+    rows = [f"a {lead}{v}{close} z" for lead, v, close in closed] + [f"see {k}." for k in keys]
+    rows += ['token: "two words here" x', "secret: Mr. John Smith", "token=abc123x, token = abc123x"]
+    got = [(text, n) for _, text, n in sorted(run(spark, list(enumerate(rows))))]
+    for (text, n), (lead, old, close) in zip(got, closed):
+        assert n == 1 and text.startswith(f"a {lead}") and text.endswith(f"{close} z")
+        new = text[2 + len(lead) : len(text) - 2 - len(close)]
+        assert len(new) == len(old) and old[-3:] != new[-3:]
+        assert not any(new[at : at + 12] == old[at : at + 12] for at in range(len(old) - 11))
+    for (text, n), k in zip(got[len(closed) :], keys):
+        assert n == 1 and k[-12:] not in text and text[4:-1].startswith(k[:3]) and len(text) == len(k) + 5
+    assert "words" not in got[-3][0] and "Smith" not in got[-2][0] and [n for _, n in got[-3:]] == [1, 1, 2]
+    assert len(set(got[-1][0].replace(",", "").replace(" = ", "=").split())) == 1
+
+
+def test_full_formats_get_a_wider_space(spark):
+    # All addresses of single digits: no surrogate of that length is left.
+    values = [f"{a}.{b}.{c}.{d}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)]
+    new = [text.removeprefix("from ") for _, text, _ in run(spark, [(i, f"from {v}") for i, v in enumerate(values)])]
+    assert len(set(new)) == len(values) == 6561 and not set(new) & set(values)
+    assert all(len(p := v.split(".")) == 4 and all(0 <= int(x) <= 255 for x in p) for v in new)
+
+
+def test_wider_draws(spark):
+    kinds = {"ssn": "123-45-6789", "secret": "abc-12", "email": "a@x.org", "female": "Anna", "card": "4111 1111 1111 1111", "iban": "DE89 3704 0044 0532 0130 00"}
+    rows = [(k, v, a) for k, v in kinds.items() for a in (0, su.WIDEN_AFTER - 1, su.WIDEN_AFTER, su.WIDEN_AFTER + 2)]
+    df = spark.createDataFrame(rows, "kind string, value string, attempt int").coalesce(1)
+    got = {(r[0], r[1]): r[2] for r in df.select("kind", "attempt", su._surrogate("k", df["kind"], df["value"], df["attempt"])).collect()}
+    for k, v in kinds.items():
+        more = [len(got[k, su.WIDEN_AFTER + i]) - len(v) for i in (0, 2)]
+        assert more == [1, 3] if k != "female" else more[1] - more[0] >= 3
+        assert k == "female" or len(got[k, 0]) == len(got[k, su.WIDEN_AFTER - 1]) == len(v)
+    assert luhn(got["card", su.WIDEN_AFTER])
