@@ -2,9 +2,14 @@
 
 Markup is stripped into lines, one per block element. Every line has a weight: the
 length of its text, or zero where its markup says that it is not part of an article.
-The weights are summed over sliding windows of lines; a window sum that rises from
-zero is a surge point, one that falls back to zero is a dive point, and the text
+The weights are summed over sliding windows of lines; a window sum that rises above a
+threshold is a surge point, one that falls back to it is a dive point, and the text
 between a surge and its dive is kept.
+
+Where a page has an article or main element, its markup says what is main text: lines
+outside weigh nothing and the threshold is zero. Elsewhere text in links weighs nothing,
+empty lines are left out of the windows and the threshold is a share of the page's
+largest window sum, so that short lines away from running text are dropped.
 """
 
 from __future__ import annotations
@@ -19,6 +24,10 @@ from pyspark.sql import functions as F
 
 # Lines whose weights are summed for one point of the distribution.
 WINDOW = 3
+# The threshold of pages without article or main: this share of the largest window sum, and at most so many characters.
+SHARE, MOST = 0.25, 60
+# Names of classes and ids are overruled where they leave less than this share of a page's text.
+OVERRULED = 0.1
 
 # --- fixed values: names of HTML and of common page furniture ---------------
 
@@ -47,31 +56,43 @@ FURNITURE_WORDS = frozenset(
     " notice notices pagination pager popup promo promos promotion related replies reply share sharing sidebar side-bar"
     " skip skip-link social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+# What class names of furniture begin with.
+FURNITURE_PREFIXES = tuple(
+    "ad- ads- advert- breadcrumb- comment- comments- consent- cookie- footer- gdpr- nav- newsletter- pagination- related- share- sponsored-".split()
+)
+# Names of elements whose articles are not the page's own.
+HOLDS_OTHERS = frozenset("comment comments comment-list disqus related replies".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Elements that the start of another block closes when their end tag is left out.
 _CLOSES_PARAGRAPH = BLOCKS
 # ---------------------------------------------------------------------------
 
 
-def _is_furniture(tag: str, attributes: str) -> bool:
+# Why a line is furniture, from weak to strong: an element with such a name, one whose articles are not the page's own, its tags.
+NAMED, OTHERS, TAGGED = 1, 2, 3
+
+
+def _furniture(tag: str, attributes: str) -> int:
     if tag in FURNITURE_TAGS:
-        return True
-    if not attributes or tag in ("html", "body", "main"):
-        return False
+        return TAGGED
+    if not attributes or tag in ("html", "body", "main", "article"):
+        return 0
+    found = 0
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "aria-label"):
-            words = value.replace("_", "-").split()
-            if any(w in FURNITURE_WORDS or not FURNITURE_WORDS.isdisjoint(w.split("-")) for w in words):
-                return True
+            for w in value.replace("_", "-").split():
+                if w in FURNITURE_WORDS or w.startswith(FURNITURE_PREFIXES):
+                    found = max(found, OTHERS if w in HOLDS_OTHERS else NAMED)
         elif name == "role":
             if value in FURNITURE_ROLES:
-                return True
+                return TAGGED
         elif name == "style":
             if "display:none" in value.replace(" ", ""):
-                return True
+                return TAGGED
         elif name == "hidden" or value == "true":
-            return True
-    return False
+            return TAGGED
+    return found
 
 
 def lines_of(page: str) -> list[tuple[str, bool, bool]]:
@@ -80,39 +101,57 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     Character references are decoded and white space becomes single spaces. Blocks
     without text are empty lines, so that they separate what stands around them.
     """
-    out: list[tuple[str, bool, bool]] = []
+    return [(text, dull > 0, inside) for text, dull, inside, _, _ in blocks_of(page)]
+
+
+def blocks_of(page: str) -> list[tuple[str, int, bool, int, bool]]:
+    """The lines of ``lines_of`` with why they are furniture, the length of their text outside links, and whether they are headings.
+
+    A name of an element that contains an article or main says nothing about that article.
+    """
+    out: list[tuple[str, int, bool, int, bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
-    dull = inside = False
+    linked: list[str] = []
+    stack: list[tuple[str, int, bool]] = []
+    dull, inside, link = 0, False, False
     where = 0
 
     def end_line() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
+        in_links = len(" ".join(html.unescape("".join(linked)).split())) if linked else 0
         parts.clear()
-        out.append((text, dull, inside))
+        linked.clear()
+        out.append((text, dull, inside, max(len(text) - in_links, 0), bool(stack) and any(x[0] in HEADINGS for x in stack[-2:])))
+
+    def add(text: str) -> None:
+        parts.append(text)
+        if link:
+            linked.append(text)
 
     def leave(depth: int) -> None:
         nonlocal dull, inside
         del stack[depth:]
-        dull, inside = stack[-1][1:] if stack else (False, False)
+        dull, inside = stack[-1][1:] if stack else (0, False)
 
     for m in _TAG.finditer(page):
         if m.start() > where:
-            parts.append(page[where : m.start()])
+            add(page[where : m.start()])
         where = m.end()
         tag = m[3]
         if tag is None:
             if m[1]:
-                parts.append(" ")
+                add(" ")
             continue
         tag = tag.lower()
         if tag not in BLOCKS:
+            if tag == "a":
+                link = not m[2]
             if tag == "br":
-                parts.append("\n")
-            elif not m[2] and tag not in VOID and _is_furniture(tag, m[4]):
+                add("\n")
+            elif not m[2] and tag not in VOID and (own := _furniture(tag, m[4])):
                 end_line()
-                stack.append((tag, True, inside))
-                dull = True
+                dull = max(dull, own)
+                stack.append((tag, dull, inside))
             elif m[2]:
                 for depth in range(len(stack) - 1, -1, -1):
                     if stack[depth][0] in BLOCKS:
@@ -134,21 +173,25 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
                 depth -= 1
             if depth and stack[depth - 1][0] == "p" or depth and tag == "li" and stack[depth - 1][0] == "li":
                 leave(depth - 1)
-            dull = dull or _is_furniture(tag, m[4]) and not (inside and tag == "header")
-            inside = inside or tag in ("article", "main")
+            if tag in ("article", "main"):
+                if not inside and dull == NAMED:
+                    dull = 0
+                inside = True
+            if not (inside and tag == "header"):
+                dull = max(dull, _furniture(tag, m[4]))
             stack.append((tag, dull, inside))
     if where < len(page):
-        parts.append(page[where:])
+        add(page[where:])
     end_line()
     return out
 
 
-def surges(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
+def surges(weights: list[int], window: int = WINDOW, threshold: float = 0) -> list[tuple[int, int]]:
     """Half-open line ranges between each surge point and its dive point.
 
-    The window of line i holds lines i to i + window - 1. A surge is a line of
-    positive weight after a window sum of zero, or at the top; the dive is the line
-    from which a whole window has no weight.
+    The window of line i holds lines i to i + window - 1. A surge is a line that weighs more
+    than its part of the threshold, where the window sum is above the threshold; the dive is
+    the line from which a whole window is not.
     """
     found = []
     n = len(weights)
@@ -156,9 +199,9 @@ def surges(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
     start = None
     for i in range(n):
         if start is None:
-            if weights[i] > 0:
+            if total > threshold and weights[i] > threshold / window:
                 start = i
-        elif total == 0:
+        elif total <= threshold:
             found.append((start, i))
             start = None
         total += (weights[i + window] if i + window < n else 0) - weights[i]
@@ -168,18 +211,30 @@ def surges(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
 
 
 def main_text(page: str | None) -> str:
-    """The kept blocks of a page, joined by an empty line; empty for null or empty pages.
-
-    Where a page has an article or main element, lines outside of it weigh nothing.
-    """
+    """The kept blocks of a page, joined by an empty line; empty for null or empty pages."""
     if not page:
         return ""
-    lines = lines_of(page)
-    marked = any(inside and text and not dull for text, dull, inside in lines)
-    weights = [0 if dull or marked and not inside else len(text) for text, dull, inside in lines]
-    kept = []
-    for begin, end in surges(weights):
-        kept += [lines[i][0] for i in range(begin, end) if weights[i]]
+    lines = [x for x in blocks_of(page) if x[0]]
+
+    def mass(limit: int, within: bool) -> int:
+        return sum(len(text) for text, dull, inside, _, _ in lines if dull < limit and inside >= within)
+
+    marked = mass(TAGGED, True) > 0
+    limit = NAMED
+    if mass(NAMED, marked) <= (0 if marked else OVERRULED * mass(TAGGED, False)):
+        limit = TAGGED  # names are overruled
+    if marked:
+        return "\n\n".join(text for text, dull, inside, _, _ in lines if inside and dull < limit)
+    lines = [x for x in lines if x[1] < limit]
+    weights = [x[3] for x in lines]
+    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+    threshold = min(SHARE * max(sums, default=0), MOST)
+    kept, last = [], 0
+    for begin, end in surges(weights, WINDOW, threshold):
+        while begin > last and lines[begin - 1][4]:  # headings belong to the text after them
+            begin -= 1
+        kept += [lines[i][0] for i in range(begin, end)]
+        last = end
     return "\n\n".join(kept)
 
 

@@ -43,6 +43,33 @@ def test_very_long_page():
     assert main_text(page).count("\n\n") == 19_999
 
 
+LONG = "A paragraph of running text that goes on for a while, as those of articles do on most pages."
+
+
+def test_window_sums_decide_without_names():
+    menu = "<table>" + "".join(f"<tr><td>{w}</td></tr>" for w in ("Home", "About us", "Contact", "Jobs")) + "</table>"
+    links = "<div>" + "".join(f"<div><a href=x>A long headline of another page number {i}</a></div>" for i in range(6)) + "</div>"
+    footer = "<div>Imprint</div><div>Terms</div><div>Privacy</div><div>2024</div>"
+    text = f"<div><h1>Title</h1><div>{LONG}</div><div>Short.</div><div>{LONG} <a href=y>link</a></div></div>"
+    assert main_text(f"<body>{menu}{links}{text}{links}{footer}</body>") == f"Title\n\n{LONG}\n\nShort.\n\n{LONG} link"
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='site has-sidebar'><article><p>{LONG}</p></article></div>",
+    f"<div id='page' class='with-comments'><p>{LONG}</p></div>",
+    f"<article class='post category-social widget'><p>{LONG}</p></article>",
+    f"<div class='sidebar'><main><p>{LONG}</p></main></div>",
+    f"<div class='widget'><p>{LONG}</p></div>",
+    f"<article><p>{LONG}</p></article><section id=comments><article class=comment><p>{LONG} {LONG}</p></article></section>",
+])
+def test_names_of_wrappers(page):
+    assert main_text(page) == LONG
+
+
+def test_heading_in_an_article_stays():
+    assert main_text(f"<article><div class='entry-header'><h1>Title</h1></div><p>{LONG}</p></article>") == f"Title\n\n{LONG}"
+
+
 def test_table(spark):
     rows = [(1, "u", "<article><p>x</p></article>", "old"), (2, None, None, "old"), (None, "v", "", None), (1, "u", "<article><p>x</p></article>", "old")]
     out = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
