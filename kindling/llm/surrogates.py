@@ -6,6 +6,11 @@ stay letters of their case, digits digits, separators stand where they stood, ca
 and account numbers keep their check digits right, names keep script and gender. No two values
 share a surrogate and no surrogate is a value that occurs: such collisions are found over the
 whole table and drawn again.
+
+A name is found behind one of the titles below; its parts are then replaced wherever they stand
+in the same text as whole words of that spelling. Not found are names without a title in
+their text, mentions in other spellings (capitals), tokens without one of the key names or
+prefixes, and values behind a key name of fewer than 6 characters or of symbols alone.
 """
 
 from __future__ import annotations
@@ -42,6 +47,7 @@ PATTERNS = {
 _SPACED = "|".join(PATTERNS[k] for k in ("iban", "phone", "card", "name"))
 PATTERNS = {"secret": rf"(?<=[=:]\s{{0,3}}[\"']?)(?!(?:{_SPACED}){_CLOSING}*(?:\s|\z)){_SECRET}", **PATTERNS}
 # One pattern of all types; an entity never starts inside a word or number.
+_TITLED = r"(?<![\p{L}\p{N}_])" + PATTERNS["name"]
 ENTITY = r"(?<![\p{L}\p{N}_])(?:" + "|".join(PATTERNS.values()) + ")"
 
 # Syllables of made-up names by script, and endings by gender.
@@ -160,15 +166,15 @@ def _made_up_name(value: Column, seed: Column, role: Column, extra: Column) -> C
     return evaluate_once(_bytes(seed, extra + 8), with_digest)
 
 
-def _surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
-    """The replacement of one part: ``kind`` is a type, or for parts of names their role."""
+def _seed(key: str, label: Column, of: Column, attempt: Column) -> Column:
+    # A digest stands for a long value, which would be hashed anew for every 32 of its characters.
+    of = F.when(F.length(of) > 256, F.sha2(of, 256)).otherwise(of)
+    return F.concat_ws("\u0001", F.lit(key), label, of, attempt.cast("string"))
 
-    def seed(of: Column, label: Column) -> Column:
-        # A digest stands for a long value, which would be hashed anew for every 32 of its characters.
-        of = F.when(F.length(of) > 256, F.sha2(of, 256)).otherwise(of)
-        return F.concat_ws("\u0001", F.lit(key), label, of, attempt.cast("string"))
 
-    own = seed(value, kind)
+def _surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
+    """The replacement of one part: ``kind`` is a type, or for parts of names their role."""
+    own = _seed(key, kind, value, attempt)
     extra = F.greatest(attempt - (WIDEN_AFTER - 1), F.lit(0))
 
     def longer(part: Column) -> Column:
@@ -232,8 +238,26 @@ def _entities(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
 
 
+def _names(text: Column) -> Column:
+    """The parts of all names found in a text, in its order."""
+    return F.flatten(F.transform(F.filter(_entities(text), lambda e: e.rlike(_NAME_PARTS)), _parts))
+
+
+def _bare(names: Column) -> Column:
+    """The pattern of whole words that are one of ``names``, longer ones before their beginnings."""
+    words = F.array_join(F.reverse(F.array_sort(F.array_distinct(names["value"]))), "|")
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?:"), words, F.lit(r")(?![\p{L}\p{N}_])"))
+
+
+def _n_bare(text: Column) -> Column:
+    """How many words outside of entities mention a name that is found in the text."""
+    found = F.struct(_bare(_names(text)).alias("bare"), F.split(text, ENTITY, -1).alias("gaps"))
+    count = evaluate_once(found, lambda f: F.aggregate(f["gaps"], F.lit(0), lambda n, g: n + F.size(F.regexp_extract_all(g, f["bare"], F.lit(0)))))
+    return F.when(text.rlike(_TITLED), count).otherwise(0)
+
+
 def _rewritten(key: str, text: Column, redrawn: Column | None) -> Column:
-    """The text with every entity replaced; ``redrawn`` maps kind and value to a later draw."""
+    """The text with every entity and bare mention replaced; ``redrawn`` maps kind and value to a later draw."""
 
     def replacement(entity: Column) -> Column:
         def part(p: Column) -> Column:
@@ -243,8 +267,25 @@ def _rewritten(key: str, text: Column, redrawn: Column | None) -> Column:
         title, gap = F.regexp_extract(entity, _NAME_PARTS, 1), F.regexp_extract(entity, _NAME_PARTS, 3)
         return F.concat(title, F.call_function("array_join", F.transform(_parts(entity), part), gap))
 
+    def name(p: Column) -> Column:
+        first = _made_up_name(p["value"], _seed(key, p["kind"], p["value"], F.lit(0)), p["kind"], F.lit(0))
+        return first if redrawn is None else F.coalesce(F.try_element_at(redrawn, F.concat_ws("\u0001", p["kind"], p["value"])), first)
+
+    def mentions(names: Column) -> Column:
+        """What a gap of the text becomes needs: the names, their surrogates and their pattern."""
+        return F.struct(names["value"].alias("of"), F.transform(names, name).alias("new"), _bare(names).alias("bare"))
+
+    def with_mentions(gap: Column, known: Column) -> Column:
+        words = F.regexp_extract_all(gap, known["bare"], F.lit(0))
+        new = F.transform(words, lambda w: F.get(known["new"], F.array_position(known["of"], w).cast("int") - 1))
+        around = F.split(gap, known["bare"], -1)
+        return evaluate_once(new, lambda found: F.array_join(F.transform(around, lambda g, i: F.concat(g, F.coalesce(F.get(found, i), F.lit("")))), ""))
+
     def joined(new: Column) -> Column:
         gaps = F.split(text, ENTITY, -1)
+        known = evaluate_once(_names(text), mentions)
+        replaced = evaluate_once(known, lambda k: F.transform(gaps, lambda g: with_mentions(g, k)))
+        gaps = F.when(text.rlike(_TITLED), replaced).otherwise(gaps)
         return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(new, i), F.lit("")))), "")
 
     return evaluate_once(F.transform(_entities(text), replacement), joined)
@@ -291,7 +332,7 @@ def replace_personal_data(docs: DataFrame, secret: str, key: str = "doc_id", tex
         docs = docs.join(broadcast_if_small(changed), docs[key] == changed["__of"], "left").drop("__of")
         later = F.col("__later")
     n = F.coalesce(F.size(F.when(text.isNotNull(), _entities(text))), F.lit(0))
-    counted = docs.withColumn("__n", F.when(text.isNull(), 0).otherwise(n))
+    counted = docs.withColumn("__n", F.when(text.isNull(), 0).otherwise(n + _n_bare(text)))
     new = F.when(F.col("__n") > 0, _rewritten(secret, text, later)).otherwise(text)
     columns = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in own]
     return counted.select(*columns, F.col("__n").alias("n_entities"))

@@ -114,3 +114,11 @@ def test_wider_draws(spark):
         assert more == [1, 3] if k != "female" else more[1] - more[0] >= 3
         assert k == "female" or len(got[k, 0]) == len(got[k, su.WIDEN_AFTER - 1]) == len(v)
     assert luhn(got["card", su.WIDEN_AFTER])
+
+
+def test_bare_mentions_follow_the_name(spark):
+    text = "Smith came. Mr. John Smith met Mrs. Anna O'Brien. Smith's friend John, (O'Brien) and Smithson; smith. Anna!"
+    (_, new, n), (_, other, _) = sorted(run(spark, [(1, text), (2, "Anna Smith alone and Smith")]))
+    first, last, anna, brien = re.search(r"Mr\. (\w+) (\w+) met Mrs\. (\w+) (\w+)\.", new).groups()
+    assert new == f"{last} came. Mr. {first} {last} met Mrs. {anna} {brien}. {last}'s friend {first}, ({brien}) and Smithson; smith. {anna}!"
+    assert n == 7 and other == "Anna Smith alone and Smith"
