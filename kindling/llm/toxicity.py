@@ -39,6 +39,8 @@ MARKS = frozenset("*.-_~^'`\"#%&,;:/\\+=|!$@​‌‍­")
 
 # Prices, in nats: a letter for a look-alike, a mark or space dropped, a repeated letter dropped.
 SWAP, DROP_MARK, DROP_REPEAT, KEEP_ODD = 0.5, 0.3, 0.4, 12.0
+# A mark or space read as the end of a word, where letters are set apart.
+BREAK = 0.3
 
 # --- the character language model ----------------------------------------------
 
@@ -89,14 +91,15 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return -np.log((counts + 4 * smooth[None]) / (counts.sum(2, keepdims=True) + 4))
 
 
-def restore(word: str, costs: list) -> str:
+def restore(word: str, costs: list, breaks: bool = False) -> str:
     """The cheapest reading of a word's lattice, by Viterbi over the last two letters.
 
     ``costs[a][b][c]`` are the language model's. Characters without any reading as a letter
-    stay outside of the lattice: a word with none that can be read comes back unchanged.
+    stay outside of the lattice: a word with none that can be read comes back unchanged. With ``breaks``, marks and
+    spaces may end a word, and several words come back with spaces between.
     """
-    # Per state (two letters before): cost and letters so far.
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # Per state (two letters before): cost and letters so far, each with those before it.
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     last = ""
     for ch in word:
         options: list[tuple[float, str]] = []
@@ -105,33 +108,45 @@ def restore(word: str, costs: list) -> str:
             options.append((0.0, ch))
             if ch == last:
                 options.append((DROP_REPEAT, ""))
+            last = ch
         else:
             options += [(SWAP, x) for x in LOOKALIKES.get(ch, "")]
-            options.append((DROP_MARK if ch in MARKS or ch.isspace() else KEEP_ODD, ""))
-        last = ch
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+            mark = ch in MARKS or ch.isspace()
+            options.append((DROP_MARK if mark else KEEP_ODD, ""))
+            if breaks and mark:
+                options.append((BREAK, " "))
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, text) in states.items():
             for price, x in options:
                 if x:
                     c = int(_SYMBOL[ord(x)]) if ord(x) < len(_SYMBOL) else 0
-                    state, total, longer = (b, c), cost + price + costs[a][b][c], text + x
+                    state, total, longer = (b, c), cost + price + costs[a][b][c], (text, x)
                 else:
                     state, total, longer = (a, b), cost + price, text
                 known = new.get(state)
                 if known is None or total < known[0]:
                     new[state] = (total, longer)
         states = new
-    ends = [(cost + costs[a][b][0], text) for (a, b), (cost, text) in states.items()]
-    return min(ends)[1] or word
+    node = min(((cost + costs[a][b][0], text) for (a, b), (cost, text) in states.items()), key=lambda end: end[0])[1]
+    letters = []
+    while node:
+        node, x = node
+        letters.append(x)
+    return "".join(reversed(letters)).strip() or word
 
 
 # --- words and their evidence ---------------------------------------------------
 
-# Single letters set apart by one space or mark each: at least four of them.
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~|/,]{1,2}[^\W_]){3,}(?![^\W_])")
+# Single letters or look-alikes set apart by one or two spaces or marks each: at least three of them.
+_LETTER = r"[^\W_]|[@$!€£¡§]"
+_SPACED = re.compile(rf"(?<![^\W_])(?:{_LETTER})(?:[ .\-_*~|/,]{{1,2}}(?:{_LETTER})){{2,}}(?![^\W_])")
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 _ODD = re.compile(r"[^\W\d_].*[\d@$!|+(<\[{€£¡§*.\-_~^#%&/\\​‌‍­].*[^\W\d_]|(.)\1\1|[\d@$!|+€£¡§][^\W\d_]|[^\W\d_][\d@$€£]")
 _EDGES = "\"'.,;:!?()[]{}<>«»„“”‘’*%$&#|-–—…"
+# Edges that stand for no letter, and look-alikes at an edge of a word.
+_OUTSIDE = "\"'.,;:?)]}>«»„“”‘’%&#-–—…"
+_PAIRS = ("()", "[]", "{}", "<>", "**", "||")
+_EDGE_ALIKE = re.compile(r"[$!|(\[{<*]+[^\W_]|[^\W_][$!|*]+\Z")
 
 PREFIXES = (4, 5, 6)
 FORMS = 4
@@ -151,25 +166,32 @@ class Reader:
 
     def _readings(self, token: str) -> tuple[str, ...]:
         core = token.strip(_EDGES)
-        plain = () if not core else (core,)
-        if not core or _PLAIN.match(core) and not re.search(r"(.)\1\1", core):
-            return plain
-        if len(core) <= 40 and _ODD.search(core):
-            restored = restore(token.strip("\"',;:?()") if len(token) <= 40 else core, self.costs)
-            return (restored, *(p for p in re.split(r"[\W\d_]+", core) if p))
-        return tuple(p for p in re.split(r"[\W\d_]+", core) if p)
+        if not core:
+            return ()
+        pieces = (core,) if _PLAIN.match(core) else tuple(p for p in re.split(r"[\W\d_]+", core) if p)
+        whole = token.strip(_OUTSIDE)
+        for first, last in _PAIRS:
+            if token.lstrip("\"'„“«").startswith(first) and last in token[1:]:
+                whole = whole.strip(first + last)
+        if _EDGE_ALIKE.match(whole) or _EDGE_ALIKE.search(whole, max(0, len(core) - 1)) or _ODD.search(core):
+            return (restore(whole, self.costs), *pieces)
+        return pieces
+
+    def _spaced(self, run: str) -> tuple[str, ...]:
+        """A run of single letters as one word and as several."""
+        return (restore(run, self.costs), *restore(run, self.costs, breaks=True).split())
 
     def words(self, text: str) -> set[str]:
         """All different words of a text, lower case, as read through the noisy channel."""
         text = text.lower()
         tokens = set(text.split())
         for m in _SPACED.finditer(text):
-            tokens.add(m[0].replace(" ", "."))
+            tokens.add(" " + m[0])
         known, out = self.known, set()
         found = map(known.get, tokens)
         for token, words in zip(tokens, found, strict=True):
             if words is None:
-                words = self._readings(token)
+                words = self._spaced(token[1:]) if token[0] == " " else self._readings(token)
                 if len(known) >= MEMORY:
                     known.clear()
                 if len(token) < 100:

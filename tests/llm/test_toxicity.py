@@ -37,6 +37,18 @@ def test_hidden_words_are_read(trained):
     assert tx.restore("house", costs) == "house"
 
 
+def test_hidden_words_are_read_in_texts(trained):
+    reader = tx.Reader(trained[2].costs)
+    long = "idi" + "o" * 60 + "t"
+    texts = {"a $cum,": "scum", "(m0r0n)": "moron", "the (scum": None, "$cum!": "scum", f"x {long} y": "idiot", "idi*t": "idiot", "*idiot*": "idiot"}
+    texts |= {" ".join("scum") + " walks": "scum", "$ c u m": "scum", "i d i o t  m o r o n": "idiot", "b a n k s i d i o t": "idiot"}
+    texts |= {"i.d.i.o.t-m.o.r.o.n": "moron", ".".join("i" * 30 + "diot"): "idiot"}
+    for text, word in texts.items():
+        assert word is None or word in reader.words(text), (text, reader.words(text))
+    assert reader.words("a house") == {"a", "house"}
+    assert len(tx.restore("x1" * 2_000, trained[2].costs.tolist())) >= 2_000
+
+
 def test_held_out_rows(trained, spark):
     rows, docs, model = trained
     out = tx.score(docs, model).withColumn("held", tx.held_out(F.col("doc_id"))).collect()
