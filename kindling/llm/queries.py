@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindling.cluster import new_folder, ship, spread
-from kindling.llm import byte_bpe, html_text, line_windows, repeats, shingle_tree, string_tiling, surrogates, token_store, toxicity, vector_forest
+from kindling.llm import byte_bpe, html_text, line_windows, quality_rules, repeats, shingle_tree, string_tiling, surrogates, token_store, toxicity, vector_forest
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -84,7 +84,14 @@ def op10_vector_forest(spark, sf_dir):
     return vector_forest.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id"))
 
 
-_QUERIES = [op1_token_store, op2_byte_bpe, op3_line_dedup, op4_toxicity, op5_html_extraction, op6_suffix_groups, op7_shingle_join, op8_surrogates, op9_decontamination, op10_vector_forest]
+def op12_quality_rules(spark, sf_dir):
+    """Every document's counts and whether it stays by the table of thresholds."""
+    found = quality_rules.apply_rules(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return found.select("doc_id", *(f"quality.{c}" for c in counts))
+
+
+_QUERIES = [op1_token_store, op2_byte_bpe, op3_line_dedup, op4_toxicity, op5_html_extraction, op6_suffix_groups, op7_shingle_join, op8_surrogates, op9_decontamination, op10_vector_forest, op12_quality_rules]
 
 # DuckDB's SQL for the queries that it can express.
 _SQL: dict[str, str] = {
@@ -106,6 +113,54 @@ _SQL: dict[str, str] = {
             sha256(coalesce(k.kept, '')) AS kept_sha256
         FROM d LEFT JOIN k ON d.doc_id = k.doc_id
     """,
+    "op12_quality_rules": r"""
+        WITH d AS (
+            SELECT doc_id, lang, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls,
+                regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents
+        ),
+        w AS (SELECT doc_id, lang, unnest(ws) AS w, unnest(generate_series(1, len(ws))) AS i FROM d),
+        s AS (
+            SELECT doc_id, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o
+                || ' ' || lead(w, 4) OVER o || ' ' || lead(w, 5) OVER o || ' ' || lead(w, 6) OVER o || ' ' || lead(w, 7) OVER o AS g
+            FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+        ),
+        m AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM s WHERE g IS NOT NULL),
+        r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM m, range(8) t(k) WHERE m.n > 1 GROUP BY doc_id),
+        stops(lang, listed) AS (VALUES
+            ('de', ['auch', 'auf', 'das', 'dem', 'den', 'der', 'des', 'die', 'ein', 'eine', 'für', 'im', 'in', 'ist', 'mit', 'nicht', 'sich', 'und', 'von', 'zu']),
+            ('en', ['a', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'have', 'in', 'is', 'of', 'on', 'or', 'that', 'the', 'to', 'was', 'with']),
+            ('es', ['al', 'con', 'de', 'del', 'el', 'en', 'es', 'la', 'las', 'los', 'no', 'para', 'por', 'que', 'se', 'su', 'un', 'una', 'y']),
+            ('fr', ['au', 'avec', 'dans', 'de', 'des', 'du', 'en', 'est', 'et', 'la', 'le', 'les', 'par', 'pas', 'pour', 'que', 'qui', 'sur', 'un', 'une'])
+        ),
+        c AS (
+            SELECT doc_id, count(*) AS n, sum(length(w)) AS chars, count_if(regexp_matches(w, '\p{L}')) AS letters,
+                count_if(list_contains(listed, lower(rtrim(w, '.,;:!?')))) AS stop
+            FROM w LEFT JOIN stops USING (lang) GROUP BY doc_id
+        ),
+        l AS (SELECT doc_id, unnest(ls) AS x FROM d),
+        n AS (
+            SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT x) AS dup,
+                count_if(regexp_matches(x, '^[\x20\x09]*[-*•●▪‣◦][\x20\x09]')) AS bullets,
+                count_if(regexp_matches(x, '(…|\.\.\.)[\x20\x09-\x0D]*\z')) AS dots
+            FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id
+        ),
+        f AS (
+            SELECT d.doc_id, d.lang, coalesce(c.n, 0) AS n_words, coalesce(c.chars, 0)::BIGINT AS word_chars,
+                len(regexp_extract_all(d.t, '[#*$%&|<>]')) AS n_symbols, coalesce(n.dup, 0) AS n_dup_lines,
+                coalesce(r.n, 0) AS n_repeat_words, coalesce(c.letters, 0) AS letters, coalesce(c.stop, 0) AS stop,
+                coalesce(n.n, 0) AS lines, coalesce(n.bullets, 0) AS bullets, coalesce(n.dots, 0) AS dots
+            FROM d LEFT JOIN c USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id)
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+            n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+            n_words >= 20 AND 100 * n_repeat_words <= 30 * n_words
+                AND 100 * word_chars BETWEEN 200 * n_words AND 1200 * n_words AND 100 * n_symbols <= 10 * n_words
+                AND 100 * letters >= 80 * n_words
+                AND (lang IS NULL OR lang NOT IN ('de', 'en', 'es', 'fr') OR 100 * stop >= 2 * n_words)
+                AND 100 * n_dup_lines <= 30 * lines AND 100 * bullets <= 90 * lines AND 100 * dots <= 30 * lines AS kept
+        FROM f
+    """,
 }
 
 

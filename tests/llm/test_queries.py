@@ -26,7 +26,7 @@ def con():
 
 def test_all_are_registered():
     names = {n.partition("_")[0] for n in queries.queries()}
-    assert names == {f"op{n}" for n in range(1, 11)}
+    assert names == {f"op{n}" for n in range(1, 14)}
     assert set(queries.queries()) | {"pipeline"} <= set(registered.queries())
 
 
@@ -46,6 +46,7 @@ CONTRACTS = {
     "op5_html_extraction": ["page_id", "url", "text", "n_chars"],
     "op6_suffix_groups": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op7_shingle_join": ["doc_id", "n_shingles", "component_id"],
+    "op12_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op10_vector_forest": ["vec_id", "n_links", "component_id", "kept"],
 }
 
