@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindling.cluster import new_folder, ship, spread
-from kindling.llm import byte_bpe, html_text, line_windows, quality_rules, repeats, shingle_tree, string_tiling, surrogates, token_store, toxicity, vector_forest
+from kindling.llm import byte_bpe, html_text, line_windows, quality_rules, repeats, shingle_tree, string_tiling, surrogates, token_store, toxicity, vector_forest, whitening
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -84,6 +84,24 @@ def op10_vector_forest(spark, sf_dir):
     return vector_forest.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id"))
 
 
+def op11_vector_whitening(spark, sf_dir):
+    """Every vector's whitened components, one row for each."""
+    vectors = table(spark, sf_dir, "embeddings", "vec_id").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    error = whitening.identity_error(vectors, model)
+    out = whitening.transform(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("k", "whitened"))
+    explained = F.array(*map(F.lit, model.explained.tolist())).cast("array<double>")
+    return out.select(
+        "vec_id",
+        (F.col("k") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        F.col("deviation").cast("long").alias("deviation"),
+        "whitened",
+        F.get(explained, F.col("k")).alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
+
+
 def op12_quality_rules(spark, sf_dir):
     """Every document's counts and whether it stays by the table of thresholds."""
     found = quality_rules.apply_rules(documents(spark, sf_dir).select("doc_id", "text", "lang"))
@@ -91,7 +109,7 @@ def op12_quality_rules(spark, sf_dir):
     return found.select("doc_id", *(f"quality.{c}" for c in counts))
 
 
-_QUERIES = [op1_token_store, op2_byte_bpe, op3_line_dedup, op4_toxicity, op5_html_extraction, op6_suffix_groups, op7_shingle_join, op8_surrogates, op9_decontamination, op10_vector_forest, op12_quality_rules]
+_QUERIES = [op1_token_store, op2_byte_bpe, op3_line_dedup, op4_toxicity, op5_html_extraction, op6_suffix_groups, op7_shingle_join, op8_surrogates, op9_decontamination, op10_vector_forest, op11_vector_whitening, op12_quality_rules]
 
 # DuckDB's SQL for the queries that it can express.
 _SQL: dict[str, str] = {
