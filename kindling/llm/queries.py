@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindling.cluster import new_folder, ship, spread
-from kindling.llm import byte_bpe, html_text, line_windows, quality_rules, repeats, shingle_tree, string_tiling, surrogates, token_store, toxicity, vector_forest, whitening
+from kindling.llm import byte_bpe, html_text, line_windows, phrase_graph, quality_rules, repeats, shingle_tree, string_tiling, surrogates, token_store, toxicity, vector_forest, whitening
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -109,7 +109,12 @@ def op12_quality_rules(spark, sf_dir):
     return found.select("doc_id", *(f"quality.{c}" for c in counts))
 
 
-_QUERIES = [op1_token_store, op2_byte_bpe, op3_line_dedup, op4_toxicity, op5_html_extraction, op6_suffix_groups, op7_shingle_join, op8_surrogates, op9_decontamination, op10_vector_forest, op11_vector_whitening, op12_quality_rules]
+def op13_phrase_graph(spark, sf_dir):
+    """Each language's best phrases."""
+    return phrase_graph.collocations(documents(spark, sf_dir))
+
+
+_QUERIES = [op1_token_store, op2_byte_bpe, op3_line_dedup, op4_toxicity, op5_html_extraction, op6_suffix_groups, op7_shingle_join, op8_surrogates, op9_decontamination, op10_vector_forest, op11_vector_whitening, op12_quality_rules, op13_phrase_graph]
 
 # DuckDB's SQL for the queries that it can express.
 _SQL: dict[str, str] = {
@@ -179,6 +184,42 @@ _SQL: dict[str, str] = {
                 AND 100 * n_dup_lines <= 30 * lines AND 100 * bullets <= 90 * lines AND 100 * dots <= 30 * lines AS kept
         FROM f
     """,
+    "op13_phrase_graph": r"""
+        WITH d AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps
+            FROM documents
+        ),
+        e AS (SELECT lang, unnest(ps) AS p FROM d),
+        q AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM e),
+        s AS (SELECT lang, id, unnest(ws) AS w1, unnest(generate_series(1, len(ws))) AS i FROM q),
+        g AS (
+            SELECT lang, w1, w1 || ' ' || lead(w1, 1) OVER o AS w2, w1 || ' ' || lead(w1, 1) OVER o || ' ' || lead(w1, 2) OVER o AS w3,
+                w1 || ' ' || lead(w1, 1) OVER o || ' ' || lead(w1, 2) OVER o || ' ' || lead(w1, 3) OVER o AS w4,
+                w1 || ' ' || lead(w1, 1) OVER o || ' ' || lead(w1, 2) OVER o || ' ' || lead(w1, 3) OVER o || ' ' || lead(w1, 4) OVER o AS w5
+            FROM s WINDOW o AS (PARTITION BY id ORDER BY i)
+        ),
+        f AS (
+            SELECT lang, p, count(*) AS a
+            FROM (SELECT lang, unnest([w1, w2, w3, w4, w5]) AS p FROM g) WHERE p IS NOT NULL GROUP BY ALL HAVING count(*) >= 100
+        ),
+        t AS (SELECT lang, count(*) AS n FROM s GROUP BY lang),
+        c AS (SELECT lang, p, a, string_split(p, ' ') AS ws FROM f WHERE contains(p, ' ')),
+        inner_parts AS (
+            SELECT lang, array_to_string(ws[i:i + k - 1], ' ') AS p, max(a) AS longer
+            FROM c, range(1, 5) x(i), range(2, 5) y(k) WHERE k < len(ws) AND i + k - 1 <= len(ws) GROUP BY ALL
+        ),
+        kept AS (SELECT c.* FROM c LEFT JOIN inner_parts USING (lang, p) WHERE longer IS NULL OR 100 * longer < 100 * a),
+        cuts AS (
+            SELECT kept.lang, kept.p, kept.a, k, l.a AS l, r.a AS r, n, (1000::HUGEINT * kept.a * n) // (l.a::HUGEINT * r.a) AS score
+            FROM kept, range(1, 5) x(k), f l, f r, t
+            WHERE k < len(ws) AND l.lang = kept.lang AND l.p = array_to_string(ws[1:k], ' ')
+                AND r.lang = kept.lang AND r.p = array_to_string(ws[k + 1:], ' ') AND t.lang = kept.lang
+        ),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(p)) AS rank, p AS phrase, a, l, r, n, score::BIGINT AS score
+        FROM best QUALIFY rank <= 2000
+    """,
 }
 
 
