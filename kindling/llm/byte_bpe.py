@@ -12,8 +12,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import string
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,19 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Encoded words that a worker remembers; the memory is emptied when full.
-MEMORY = 500_000
+from kindling.llm.worker_memory import Recent, remembered
+
+# Encoded words that a worker remembers, at about 200 bytes each.
+MEMORY = 600_000
+# Characters of texts that are encoded together, and different pieces merged in one queue.
+ROWS, CHARACTERS = 256, 6_000_000
+PIECES = 200_000
+# Beside it no part has a pair: keys with it are negative.
+NO_PART = -(1 << 42)
+# Marks that the shortcut for plain words looks for behind them.
+_MARKS = ".,;:!?%&$#*|"
+# Letters up to here are letters in every version of Unicode.
+_LAST_LATIN = "\u024f"
 
 # A word of the lower bitmap holds 256 ranks.
 _BIT = [1 << i for i in range(256)]
@@ -52,24 +63,38 @@ class Encoder:
         self.tokens: list[bytes] = [b""] * self.size
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.pieces: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
-        self.first_units: dict[str, bytes] = {}
+        # The rank of two neighbours' union, by their own ranks: every way to cut a token in two tokens.
+        self.pairs: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left * self.size + right] = rank
+        keys = np.array([*self.pairs, np.iinfo(np.int64).max], np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], np.array([*self.pairs.values(), self.size], np.int64)[order]
+        self.single = [ranks.get(bytes([b])) for b in range(256)]
+        self.singles = np.array([NO_PART if r is None else r for r in self.single], np.int64)
+        # Words after one space, and whole pieces of the pattern.
+        self.units, self.pieces = Recent(MEMORY * 2 // 3), Recent(MEMORY // 3)
+        # Whether the pattern takes a space with Latin letters as one piece and marks behind as another.
+        sample = " " + string.ascii_letters
+        self.plain_words = self.pattern.findall(sample) == [sample] and self.pattern.findall(f" a{_MARKS}") == [" a", _MARKS]
 
     def merge(self, piece: bytes) -> list[int]:
         """Token ids of one pre-token."""
-        rank_of = self.ranks.get
-        whole = rank_of(piece)
+        whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
         if not n:
             return []
-        parts = [piece[i : i + 1] for i in range(n)]
+        size, rank_of = self.size, self.pairs.get
+        parts = [self.single[b] for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         # The rank under which a position's pair waits, if it can be merged.
-        waiting = [rank_of(piece[i : i + 2]) for i in range(n)]
-        waiting[-1] = None
+        waiting = [rank_of(a * size + b) for a, b in zip(parts, parts[1:])]
+        waiting.append(None)
         buckets, bitmap, bit = self.buckets, self.bitmap, _BIT
         live, top = 0, 0
         for i, rank in enumerate(waiting):
@@ -97,36 +122,42 @@ class Encoder:
                 if waiting[i] != rank:
                     continue  # stale: merged away, or its pair has changed
                 j = after[i]
-                joined = parts[i] = parts[i] + parts[j]
+                # Ids are ranks: the merged part is the rank itself.
+                parts[i] = rank
                 live -= 1 if waiting[j] is None else 2
-                waiting[i] = waiting[j] = None
+                waiting[j] = None
                 k = after[i] = after[j]
-                h = before[i]
-                changed = []
+                least = size
                 if k < n:
                     before[k] = i
-                    new = rank_of(joined + parts[k])
+                    new = waiting[i] = rank_of(rank * size + parts[k])
                     if new is not None:
-                        waiting[i] = new
                         live += 1
-                        changed.append((new, i))
+                        least = new
+                        if new in buckets:
+                            buckets[new].append(i)
+                        else:
+                            buckets[new] = [i]
+                            bitmap[new >> 8] |= bit[new & 255]
+                            top |= 1 << (new >> 8)
+                else:
+                    waiting[i] = None
+                h = before[i]
                 if h >= 0:
                     if waiting[h] is not None:
                         live -= 1
-                    new = waiting[h] = rank_of(parts[h] + joined)
+                    new = waiting[h] = rank_of(parts[h] * size + rank)
                     if new is not None:
                         live += 1
-                        changed.append((new, h))
-                early = False
-                for new, p in changed:
-                    early = early or new <= rank
-                    if new in buckets:
-                        buckets[new].append(p)
-                    else:
-                        buckets[new] = [p]
-                        bitmap[new >> 8] |= bit[new & 255]
-                        top |= 1 << (new >> 8)
-                if early:  # a lower rank, or this rank again, has to come next
+                        if new < least:
+                            least = new
+                        if new in buckets:
+                            buckets[new].append(h)
+                        else:
+                            buckets[new] = [h]
+                            bitmap[new >> 8] |= bit[new & 255]
+                            top |= 1 << (new >> 8)
+                if least <= rank:  # a lower rank, or this rank again, has to come next
                     rest = [p for p in positions[at + 1 :] if waiting[p] == rank]
                     if rest:
                         buckets.setdefault(rank, []).extend(rest)
@@ -138,59 +169,220 @@ class Encoder:
         buckets.clear()
         out, i = [], 0
         while i < n:
-            out.append(self.ranks[parts[i]])
+            out.append(parts[i])
             i = after[i]
         return out
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = np.array(self.merge(piece.encode()), self.dtype).tobytes()
-            if len(self.pieces) >= MEMORY:
-                self.pieces.clear()
-            if len(piece) < 100:
-                self.pieces[piece] = found
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each two neighbours' union; the size of the table where they have none."""
+        keys = left * self.size + right
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], self.size)
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of many pre-tokens as bytes, in one rank queue over all of their lists.
+
+        A rank's whole bucket is merged at once. Pre-tokens in which a merge makes a pair of the
+        same or a lower rank need the order within a bucket; those are merged one by one.
+        """
+        known = self.ranks
+        out = [known.get(p) for p in pieces]
+        out = [b"" if r is None else np.array([r], self.dtype).tobytes() for r in out]
+        open_pieces = [i for i, p in enumerate(pieces) if p and not out[i]]
+        if not open_pieces:
+            return out
+        ends = np.cumsum([len(pieces[i]) for i in open_pieces])
+        n, size = int(ends[-1]), self.size
+        # Place n stands for no neighbour; no pair holds its part.
+        parts = np.append(self.singles[np.frombuffer(b"".join([pieces[i] for i in open_pieces]), np.uint8)], NO_PART)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[ends - 1], before[0], before[ends[:-1]] = n, n, n
+        waiting = self._ranks_of(parts, parts[after.clip(max=n)])
+        waiting[n] = size
+        alive = np.ones(n + 1, bool)
+        buckets: dict[int, list[np.ndarray]] = {}
+        bitmap, bit, top = self.bitmap, _BIT, 0
+        redo: list[np.ndarray] = []
+
+        def push(places: np.ndarray, ranks: np.ndarray) -> None:
+            nonlocal top
+            order = np.argsort(ranks, kind="stable")
+            ranks, places = ranks[order], places[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            start = 0
+            for stop in [*cuts.tolist(), len(ranks)]:
+                rank = int(ranks[start])
+                if rank in buckets:
+                    buckets[rank].append(places[start:stop])
+                else:
+                    buckets[rank] = [places[start:stop]]
+                    bitmap[rank >> 8] |= bit[rank & 255]
+                    top |= 1 << (rank >> 8)
+                start = stop
+
+        first_places = np.flatnonzero(waiting < size)
+        if len(first_places):
+            push(first_places, waiting[first_places])
+        while top:
+            lowest = top & -top
+            word = lowest.bit_length() - 1
+            bits = bitmap[word]
+            first = bits & -bits
+            rank = (word << 8) + first.bit_length() - 1
+            bitmap[word] = bits = bits ^ first
+            if not bits:
+                top ^= lowest
+            held = buckets.pop(rank)
+            i = held[0] if len(held) == 1 else np.concatenate(held)
+            i = i[waiting[i] == rank]  # the others are stale
+            if not len(i):
+                continue
+            j = after[i]
+            overlap = waiting[j] == rank
+            if overlap.any():
+                # Of pairs that share parts, every second one from the left is merged.
+                i = np.unique(i)
+                linked = np.append(False, after[i[:-1]] == i[1:])
+                run_start = np.maximum.accumulate(np.where(linked, 0, np.arange(len(i))))
+                i = i[(np.arange(len(i)) - run_start) % 2 == 0]
+                j = after[i]
+            k = after[j]
+            # What a pair to the right would be before its other part is merged, too.
+            early = self._ranks_of(np.full(len(i), rank), parts[k]) <= rank
+            parts[i] = rank
+            alive[j] = False
+            waiting[j] = size
+            after[i] = k
+            before[k] = i
+            before[n] = n
+            h = before[i]
+            right, left = self._ranks_of(parts[i], parts[k]), self._ranks_of(parts[h], parts[i])
+            waiting[i] = right
+            waiting[h] = left
+            waiting[n] = size
+            early |= (right <= rank) | (left <= rank)
+            if early.any():
+                redo.append(i[early])
+            places, ranks = np.concatenate([i, h]), np.concatenate([right, left])
+            some = ranks < size
+            if some.any():
+                push(places[some], ranks[some])
+        ids = parts[:n][alive[:n]].astype(self.dtype).tobytes()
+        stops = (np.cumsum(alive[:n])[ends - 1] * self.dtype.itemsize).tolist()
+        start = 0
+        for i, stop in zip(open_pieces, stops, strict=True):
+            out[i], start = ids[start:stop], stop
+        if redo:
+            for at in np.unique(np.searchsorted(ends, np.concatenate(redo), "right")).tolist():
+                out[open_pieces[at]] = np.array(self.merge(pieces[open_pieces[at]]), self.dtype).tobytes()
+        return out
+
+    def _learn_pieces(self, pieces: set[str]) -> dict[str, bytes]:
+        found = {p: self.pieces.get(p) for p in pieces}
+        new = [p for p, ids in found.items() if ids is None]
+        for at in range(0, len(new), PIECES):
+            some = new[at : at + PIECES]
+            for p, ids in zip(some, self.merge_all([p.encode() for p in some]), strict=True):
+                found[p] = ids
+                if len(p) < 100:
+                    self.pieces.put(p, ids)
         return found
 
-    def _new_unit(self, unit: str, memory: dict[str, bytes], key: str) -> bytes:
-        found = b"".join([self._piece(p) for p in self.pattern.findall(unit)])
-        if len(memory) >= MEMORY:
-            memory.clear()
-        if len(key) < 100:
-            memory[key] = found
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of a space and a word, for words that the recent units do not hold."""
+        found, plain, marked, others = {}, [], [], {}
+        older = self.units.before.get
+        for word in words:
+            ids = older(word)
+            if ids is not None:
+                found[word] = ids
+                continue
+            letters = word.rstrip(_MARKS)
+            if self.plain_words and letters.isalpha() and max(letters) <= _LAST_LATIN:
+                plain.append(letters)
+                if letters != word:
+                    marked.append(word)
+            else:
+                others[word] = self.pattern.findall(f" {word}")
+        ids_of = self._learn_pieces({p for own in others.values() for p in own}.union([w[len(w.rstrip(_MARKS)) :] for w in marked]))
+        for word, own in others.items():
+            found[word] = b"".join([ids_of[p] for p in own])
+        known = self.units.get
+        letters_of = {w: known(w) for w in set(plain)}
+        new = [w for w, ids in letters_of.items() if ids is None]
+        for at in range(0, len(new), PIECES):
+            some = new[at : at + PIECES]
+            letters_of.update(zip(some, self.merge_all([f" {w}".encode() for w in some]), strict=True))
+        found |= letters_of
+        for word in marked:
+            letters = word.rstrip(_MARKS)
+            found[word] = letters_of[letters] + ids_of[word[len(letters) :]]
+        self.units.put_all({w: ids for w, ids in found.items() if len(w) < 100})
         return found
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian integers of ``dtype``.
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts as little-endian integers of ``dtype``.
 
         No match of the pattern reaches beyond the units a text is cut into here. Without
         runs of white space these are its words, each with the space before it.
         """
-        if not text:
-            return b""
-        first = self.first_units
-        if _RUN.search(text):
-            known = map(first.get, units := _UNIT.findall(text))
-            return b"".join([b if b is not None else self._new_unit(u, first, u) for b, u in zip(known, units, strict=True)])
-        words = text.split(" ")
-        head = first.get(words[0])
-        if head is None:
-            head = self._new_unit(words[0], first, words[0])
-        memory = self.units
-        found = list(map(memory.get, words))
-        found[0] = head
-        if None in found:
-            found = [b if b is not None else self._new_unit(f" {w}", memory, w) for b, w in zip(found, words, strict=True)]
-        return b"".join(found)
+        cut: list[tuple[list[str], list, dict[int, list[str]]]] = []
+        missing: set[str] = set()
+        pieces: set[str] = set()
+        known = self.units.now.get
+        for text in texts:
+            # Places of units that are not a word behind one space, with the pieces of each.
+            others: dict[int, list[str]] = {}
+            if _RUN.search(text):
+                units = _UNIT.findall(text)
+                for place, unit in enumerate(units):
+                    if unit[0] == " " and len(unit) > 1 and unit[1] > " ":
+                        units[place] = unit[1:]
+                    else:
+                        others[place] = self.pattern.findall(unit)
+            else:
+                units = text.split(" ")
+                others[0] = self.pattern.findall(units[0])
+            ids = list(map(known, units))
+            for place, own in others.items():
+                pieces.update(own)
+                ids[place] = b""
+            if None in ids:
+                missing.update([w for w, b in zip(units, ids, strict=True) if b is None])
+            cut.append((units, ids, others))
+        ids_of, new = self._learn_pieces(pieces), self._learn(missing)
+        out = []
+        for units, ids, others in cut:
+            if None in ids:
+                ids = [new[w] if b is None else b for w, b in zip(units, ids, strict=True)]
+            for place, own in others.items():
+                ids[place] = b"".join([ids_of[p] for p in own])
+            out.append(b"".join(ids))
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(read_ranks(path), pattern)
+    return remembered(("byte_bpe", path, pattern), lambda: Encoder(read_ranks(path), pattern))
+
 
+def _texts(column: pa.Array) -> Iterator[list[str]]:
+    """Texts in lists of about ``CHARACTERS``; null is empty."""
+    held, size = [], 0
+    for at in range(0, len(column), ROWS):
+        for text in column.slice(at, ROWS).to_pylist():
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= CHARACTERS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def encode(text: Column, ranks_path: str, pattern: str) -> Column:
@@ -200,10 +392,8 @@ def encode(text: Column, ranks_path: str, pattern: str) -> Column:
     def ids(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(ranks_path, pattern)
         for batch in column:
-            yield pa.array(
-                [np.frombuffer(encoder.encode(t), encoder.dtype).astype("<u4").tobytes() if t else b"" for t in batch.to_pylist()],
-                pa.binary(),
-            )
+            found = [ids for some in _texts(batch) for ids in encoder.encode_all(some)]
+            yield pa.array([np.frombuffer(b, encoder.dtype).astype("<u4").tobytes() for b in found], pa.binary())
 
     return ids(text)
 
@@ -238,8 +428,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_i
         encoder = _encoder(ranks_path, pattern)
         for batch in batches:
             n, ids_digest, text_digest = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = np.frombuffer(encoder.encode(text or ""), encoder.dtype)
+            for found in (ids for some in _texts(batch.column(1)) for ids in encoder.encode_all(some)):
+                ids = np.frombuffer(found, encoder.dtype)
                 n.append(len(ids))
                 ids_digest.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 text_digest.append(hashlib.sha256(encoder.decode(ids)).hexdigest())

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindling.cluster import scan_bytes
+from kindling.llm.worker_memory import Recent, remembered
 
 LANES = 64
 BLOCK = 1 << 16
@@ -238,10 +238,11 @@ class WordEncoder:
 
         self.whole = Tokenizer.from_file(path)
         # Added tokens are looked for in the whole text, before it is folded.
-        added = sorted({t.content for t in self.whole.get_added_tokens_decoder().values()}, key=len, reverse=True)
-        self._odd = re.compile("|".join(["[\x1c-\x1f\x85]", *map(re.escape, added)]), re.IGNORECASE)
-        self.known: dict[str, bytes] = {}
-        self.memory = memory
+        self._added = sorted({t.content.lower() for t in self.whole.get_added_tokens_decoder().values()})
+        # A mark that every added token begins with, if there is one, is looked for first.
+        starts = {t[:2] for t in self._added}
+        self._start = starts.pop() if len(starts) == 1 and not any(c.isalpha() for c in min(starts)) else ""
+        self.known = Recent(memory)
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
 
     # Marks that never join the letters before them to one pre-token.
@@ -257,43 +258,56 @@ class WordEncoder:
             if not text:
                 out.append(b"")
                 continue
-            if self._odd.search(text):
+            if self._is_odd(text):
                 out += self._ids([text])
                 continue
             words = self._folded(text).split()
-            found = list(map(self.known.get, words))
+            found = list(map(self.known.now.get, words))
             if None in found:
                 new = self._learn({w for w, b in zip(words, found, strict=True) if b is None})
                 found = [new[w] if b is None else b for w, b in zip(words, found, strict=True)]
             out.append(b"".join(found))
         return out
 
+    def _is_odd(self, text: str) -> bool:
+        if _CONTROLS.search(text):
+            return True
+        if self._start not in text:
+            return False
+        lower = text.lower()
+        return any(t in lower for t in self._added)
+
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words not known yet: those of the letters and those of the marks after them."""
         parts = {}
         for w in words:
             letters = w.rstrip(self._MARKS)
             parts[w] = (letters, w[len(letters) :]) if letters != w and letters.isalpha() else (w,)
-        known = self.known
-        new = list({p for own in parts.values() for p in own if p not in known})
-        fresh = dict(zip(new, self._ids(new), strict=True))
-        out = {w: b"".join([known[p] if p in known else fresh[p] for p in own]) for w, own in parts.items()}
-        if len(known) + len(fresh) + len(out) > self.memory:
-            known.clear()
-        known |= {w: b for w, b in (fresh | out).items() if len(w) < 100}
+        known = {p: self.known.get(p) for own in parts.values() for p in own}
+        new = [p for p, ids in known.items() if ids is None]
+        known |= zip(new, self._ids(new), strict=True)
+        out = {w: b"".join([known[p] for p in own]) for w, own in parts.items()}
+        self.known.put_all({w: b for w, b in (known | out).items() if len(w) < 100})
         return out
 
-    @staticmethod
-    def _folded(text: str) -> str:
-        """Lower case, so that more words are equal; the tokenizer does the same to each character."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
+    def _folded(self, text: str) -> str:
+        """Lower case, so that more words are equal; the tokenizer does the same to each character.
+
+        Texts with characters beyond Latin are folded by the tokenizer's own Unicode tables.
+        """
+        if text.isascii() or _LATIN.match(text):
+            return text.lower()
+        return self.whole.normalizer.normalize_str(text) if self.whole.normalizer else text
+
+
+# Control characters that only Python takes for white space.
+_CONTROLS = re.compile("[\x1c-\x1f\x85]")
+# Letters here are composed already, and every version of Unicode lowers them alike but for the dotted capital I.
+_LATIN = re.compile("[\x00-\u012f\u0131-\u017f\u2010-\u201f\u2026\u20ac]*\\Z")
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return remembered(("token_store", path), lambda: WordEncoder(path))
 
 
 def _write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, key: str, text_col: str, path: str) -> None:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindling.llm.worker_memory import Recent, remembered
+
 # Labelled rows that a model is fitted on, about: rows are chosen by a hash of their key.
 TRAINING_ROWS = 20_000
 
@@ -148,6 +150,8 @@ _OUTSIDE = "\"'.,;:?)]}>«»„“”‘’%&#-–—…"
 _PAIRS = ("()", "[]", "{}", "<>", "**", "||")
 _EDGE_ALIKE = re.compile(r"[$!|(\[{<*]+[^\W_]|[^\W_][$!|*]+\Z")
 
+_THRICE = re.compile(r"(.)\1\1")
+
 PREFIXES = (4, 5, 6)
 FORMS = 4
 
@@ -162,9 +166,12 @@ class Reader:
 
     def __init__(self, costs: np.ndarray) -> None:
         self.costs = costs.tolist()
-        self.known: dict[str, tuple[str, ...]] = {}
+        self.known = Recent(MEMORY)
 
     def _readings(self, token: str) -> tuple[str, ...]:
+        plain = token.rstrip(".,;:?")
+        if plain.isalpha() and not _THRICE.search(plain):
+            return (plain,)
         core = token.strip(_EDGES)
         if not core:
             return ()
@@ -188,14 +195,15 @@ class Reader:
         for m in _SPACED.finditer(text):
             tokens.add(" " + m[0])
         known, out = self.known, set()
-        found = map(known.get, tokens)
+        # What only the generation before holds comes back through get, below.
+        found = list(map(known.now.get, tokens))
         for token, words in zip(tokens, found, strict=True):
             if words is None:
-                words = self._spaced(token[1:]) if token[0] == " " else self._readings(token)
-                if len(known) >= MEMORY:
-                    known.clear()
-                if len(token) < 100:
-                    known[token] = words
+                words = known.get(token)
+                if words is None:
+                    words = self._spaced(token[1:]) if token[0] == " " else self._readings(token)
+                    if len(token) < 100:
+                        known.put(token, words)
             out.update(words)
         return out
 
@@ -222,8 +230,6 @@ class Model:
 
     def __init__(self, costs: np.ndarray, weights: dict[str, float], logistic: list[float]) -> None:
         self.costs, self.weights, self.logistic = costs, weights, logistic
-        self.reader: Reader | None = None
-        self.strengths: dict[str, float] = {}
 
     def __getstate__(self):
         return self.costs, self.weights, self.logistic
@@ -236,15 +242,15 @@ class Model:
         return max(found) if found else 0.0
 
     def score(self, text: str | None) -> float:
-        if self.reader is None:
-            self.reader = Reader(self.costs)
-        strengths, found = self.strengths, []
-        for word in self.reader.words(text or ""):
-            w = strengths.get(word)
+        reader, strengths = remembered(("toxicity", id(self)), lambda: (Reader(self.costs), Recent(MEMORY)))
+        found, now = [], strengths.now.get
+        for word in reader.words(text or ""):
+            w = now(word)
             if w is None:
-                if len(strengths) >= MEMORY:
-                    strengths.clear()
-                w = strengths[word] = self.strength(word)
+                w = strengths.get(word)
+                if w is None:
+                    w = self.strength(word)
+                    strengths.put(word, w)
             if w > 0:
                 found.append(w)
         z = sum(a * b for a, b in zip(self.logistic, evidence(found), strict=True))
@@ -272,15 +278,23 @@ def fit(texts: list[str], toxic: list[int], costs: np.ndarray) -> Model:
                     known.add(w)
     counts = {f: c for f, c in counts.items() if c[1] > 1 and (f[0] == "=" or len(words_of[f]) >= FORMS)}
     vocabulary: dict[str, list[list[int]]] = {}  # the counts of each word's features
+    dull: set[str] = set()  # words without any
     per_row = []
     for text, label in zip(texts, toxic, strict=True):
         own = []
         for w in reader.words(text):
+            if w in dull:
+                continue
             found = vocabulary.get(w)
             if found is None:
-                found = vocabulary[w] = [counts[f] for f in features(w) if f in counts]
-            if found:
-                own.append(found)
+                found = [counts[f] for f in features(w) if f in counts]
+                if not found:
+                    if len(dull) >= 2 * MEMORY:
+                        dull.clear()
+                    dull.add(w)
+                    continue
+                vocabulary[w] = found
+            own.append(found)
         if not label:
             for c in {id(c): c for found in own for c in found}.values():
                 c[0] += 1
@@ -363,6 +377,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", output: str = "
     @F.arrow_udf("double")
     def scores(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in column:
-            yield pa.array([shared.value.score(t) for t in batch.to_pylist()], pa.float64())
+            texts = (t for at in range(0, len(batch), 512) for t in batch.slice(at, 512).to_pylist())
+            yield pa.array([shared.value.score(t) for t in texts], pa.float64())
 
     return docs.withColumn(output, scores(F.col(f"`{text_col}`")))

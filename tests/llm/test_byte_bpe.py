@@ -43,11 +43,42 @@ def test_queue_is_empty_after_every_pretoken(encoder):
     assert not encoder.buckets and not any(encoder.bitmap)
 
 
-def test_memory_stays_bounded(encoder, reference, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "MEMORY", 3)
-    text = " ".join(f"word{i} other{i}," for i in range(50))
-    assert ids(encoder, text) == reference.encode_ordinary(text)
-    assert len(encoder.pieces) <= 3 and len(encoder.units) <= 3
+def test_memory_stays_bounded(reference, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMORY", 6)
+    small = byte_bpe.Encoder(byte_bpe.read_ranks(PATH), PATTERN)
+    text = " ".join(f"word{i} other{i}, plain {'ab'[i % 2] * i}." for i in range(50))
+    for _ in range(2):
+        assert ids(small, text) == reference.encode_ordinary(text)
+    assert len(small.pieces) <= 4 and len(small.units) <= 8
+
+
+def test_merging_together_is_merging_alone(encoder):
+    rng = random.Random(4)
+    parts = ["an", "th", "en", "a", "n", "é", "zz", "0", "the", "aaa"]
+    pieces = [(" " * rng.randrange(2) + "".join(rng.choice(parts) for _ in range(rng.randrange(12)))).encode() for _ in range(4000)]
+    pieces += [b"", b"a" * 5000, b"an" * 3000, pieces[0]]
+    for at in range(0, len(pieces), 700):
+        some = pieces[at : at + 700]
+        assert [np.frombuffer(b, encoder.dtype).tolist() for b in encoder.merge_all(some)] == [encoder.merge(p) for p in some]
+
+
+def test_order_within_a_bucket():
+    """Ranks under which a merge makes a pair of a lower rank, which has to come next."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"abc": 260, b"cab": 270, b"bb": 280, b"abab": 259, b"ba": 310}
+    odd = byte_bpe.Encoder(ranks, PATTERN)
+    rng = random.Random(6)
+    pieces = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 14))).encode() for _ in range(3000)]
+
+    def plain(piece):
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [ranks[p] for p in parts]
+
+    want = [[ranks[p]] if p in ranks else plain(p) for p in pieces]
+    assert [odd.merge(p) for p in pieces] == want
+    assert [np.frombuffer(b, odd.dtype).tolist() for b in odd.merge_all(pieces)] == want
 
 
 def test_tables(spark, reference):
