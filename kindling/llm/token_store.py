@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -243,7 +244,17 @@ class WordEncoder:
         starts = {t[:2] for t in self._added}
         self._start = starts.pop() if len(starts) == 1 and not any(c.isalpha() for c in min(starts)) else ""
         self.known = Recent(memory)
+        self.marks: dict[str, bytes] = {}
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
+        # Whether a word of letters is one piece whose bytes the model gets as letters.
+        sample = ["a", "the", "abcxyz", "qzjx", "é", "größe", "señor", "œuvre", "ł"]
+        self._direct = False
+        expected, self._direct = self._ids(sample), True
+        try:
+            self._direct = self._letters_ids(sample) == expected
+        except Exception:  # the model has no such method, or not these letters
+            self._direct = False
 
     # Marks that never join the letters before them to one pre-token.
     _MARKS = ".,!?;:%&$#*|"
@@ -252,21 +263,38 @@ class WordEncoder:
         encoded = self.whole.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
 
+    def _letters_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case Latin words, from the tokenizer's model alone where that gives the same."""
+        if not self._direct:
+            return self._ids(words)
+        tokens, of_bytes = self.whole.model.tokenize, _BYTE_LETTERS
+        spelled = [w if w.isascii() else w.encode().decode("latin-1").translate(of_bytes) for w in words]
+        return [array(self._code, [t.id for t in tokens(w)]).tobytes() for w in spelled]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
+        """Ids of texts; the words that are not known yet are learned together."""
+        cut: list[tuple[list[str] | None, list | bytes]] = []
+        missing: set[str] = set()
+        get = self.known.now.get
         for text in texts:
             if not text:
-                out.append(b"")
-                continue
-            if self._is_odd(text):
-                out += self._ids([text])
-                continue
-            words = self._folded(text).split()
-            found = list(map(self.known.now.get, words))
-            if None in found:
-                new = self._learn({w for w, b in zip(words, found, strict=True) if b is None})
-                found = [new[w] if b is None else b for w, b in zip(words, found, strict=True)]
-            out.append(b"".join(found))
+                cut.append((None, b""))
+            elif self._is_odd(text):
+                cut.append((None, self._ids([text])[0]))
+            else:
+                words = self._folded(text).split()
+                found = list(map(get, words))
+                if None in found:
+                    missing.update([w for w, b in zip(words, found, strict=True) if b is None])
+                cut.append((words, found))
+        new = self._learn(missing)
+        out = []
+        for words, found in cut:
+            if words is not None:
+                if None in found:
+                    found = [new[w] if b is None else b for w, b in zip(words, found, strict=True)]
+                found = b"".join(found)
+            out.append(found)
         return out
 
     def _is_odd(self, text: str) -> bool:
@@ -279,15 +307,38 @@ class WordEncoder:
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words not known yet: those of the letters and those of the marks after them."""
-        parts = {}
-        for w in words:
-            letters = w.rstrip(self._MARKS)
-            parts[w] = (letters, w[len(letters) :]) if letters != w and letters.isalpha() else (w,)
-        known = {p: self.known.get(p) for own in parts.values() for p in own}
-        new = [p for p, ids in known.items() if ids is None]
-        known |= zip(new, self._ids(new), strict=True)
-        out = {w: b"".join([known[p] for p in own]) for w, own in parts.items()}
-        self.known.put_all({w: b for w, b in (known | out).items() if len(w) < 100})
+        out, plain, marked, others, older = {}, [], [], [], self.known.before.get
+        for word in words:
+            ids = older(word)
+            if ids is not None:
+                out[word] = ids
+            elif word.isalpha() and (word.isascii() or max(word) <= _LAST_LATIN):
+                plain.append(word)
+            else:
+                letters = word.rstrip(self._MARKS)
+                if letters.isalpha() and (letters.isascii() or max(letters) <= _LAST_LATIN):
+                    marked.append((word, letters))
+                else:
+                    others.append(word)
+        out.update(zip(plain, self._letters_ids(plain), strict=True))
+        now = self.known.now.get
+        for word, letters in marked:
+            if letters not in out:
+                ids = now(letters) or older(letters)
+                out[letters] = self._letters_ids([letters])[0] if ids is None else ids
+        marks = self.marks
+        for word, letters in marked:
+            behind = word[len(letters) :]
+            ids = marks.get(behind)
+            if ids is None:
+                if len(marks) >= 10_000:
+                    marks.clear()
+                ids = self._ids([behind])[0]
+                if len(behind) < 100:
+                    marks[behind] = ids
+            out[word] = out[letters] + ids
+        out.update(zip(others, self._ids(others), strict=True))
+        self.known.put_all(out if max(map(len, out), default=0) < 100 else {w: b for w, b in out.items() if len(w) < 100})
         return out
 
     def _folded(self, text: str) -> str:
@@ -300,6 +351,15 @@ class WordEncoder:
         return self.whole.normalizer.normalize_str(text) if self.whole.normalizer else text
 
 
+# A byte's letter where bytes are spelled as letters: printable ones are their own, the others follow from U+0100 on.
+_BYTE_LETTERS = {}
+for _byte in range(256):
+    if not (33 <= _byte <= 126 or 161 <= _byte <= 172 or 174 <= _byte <= 255):
+        _BYTE_LETTERS[_byte] = 256 + len(_BYTE_LETTERS)
+_LAST_LATIN = "\u017f"
+# Texts that are folded and cut together.
+_CHARACTERS = 6_000_000
+
 # Control characters that only Python takes for white space.
 _CONTROLS = re.compile("[\x1c-\x1f\x85]")
 # Letters here are composed already, and every version of Unicode lowers them alike but for the dotted capital I.
@@ -310,13 +370,26 @@ def _encoder(path: str) -> WordEncoder:
     return remembered(("token_store", path), lambda: WordEncoder(path))
 
 
+def _some_texts(column: pa.Array) -> Iterator[list[str | None]]:
+    held, size = [], 0
+    for at in range(0, len(column), 256):
+        for text in column.slice(at, 256).to_pylist():
+            held.append(text)
+            size += len(text or "")
+            if size >= _CHARACTERS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def _write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, key: str, text_col: str, path: str) -> None:
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         end = np.array([end_id], encoder.dtype).tobytes()
         width = encoder.dtype.itemsize
         for batch in batches:
-            found = [b + end for b in encoder.encode(batch.column(1).to_pylist())]
+            found = [b + end for some in _some_texts(batch.column(1)) for b in encoder.encode(some)]
             columns = [batch.column(0), pa.array([width] * len(found), pa.int32()), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "width", "ids"])
 

@@ -53,10 +53,12 @@ def test_joined_crc32():
 
 
 def test_words_as_the_library():
-    encoder, rng = ts.WordEncoder(PATH, memory=50), random.Random(2)
-    parts = [*"abS'. ,!|%\n\té\x1c\x85Ⅷ½中1́ΣİA", "'s", "'re", "<|endoftext|>"]
+    encoder, fresh, rng = ts.WordEncoder(PATH, memory=50), Tokenizer.from_file(PATH), random.Random(2)
+    parts = [*"abS'. ,!|%\n\té\x1c\x85Ⅷ½中1́ΣİA", "'s", "'re", "<|endoftext|>", "\u1ac1", "\u1aca", "e\u0301", "\u0323\u0301", "ﬁ", "Ω", "ǅ"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(2000)]
-    want = encoder.whole.encode_batch(texts, add_special_tokens=False)
+    texts += ["".join(chr(rng.choice([rng.randrange(0x20, 0x250), rng.randrange(0x300, 0x3000)])) for _ in range(6)) for _ in range(6000)]
+    texts += ["A" + chr(c) + "b" for c in range(0x1AB0, 0x1AFF)]
+    want = fresh.encode_batch(texts, add_special_tokens=False)
     for text, got, one in zip(texts, encoder.encode(texts), want, strict=True):
         assert np.frombuffer(got, encoder.dtype).tolist() == one.ids, repr(text)
 
