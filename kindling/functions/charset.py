@@ -1,9 +1,9 @@
 """Bytes to text.
 
 Rule, in this order: a byte order mark names the encoding; bytes that are valid
-UTF-8 are UTF-8; anything else is read in the declared fallback (UTF-8 by default).
-Bytes the encoding cannot read are dropped. This replaces statistical guessing,
-which gives no stable answer for short files.
+UTF-8 are UTF-8; anything else is read in the declared fallback (UTF-8 by default), which
+may be ``GUESS``. Bytes the encoding cannot read are dropped. UTF-16 without a mark is
+found by a guess only, as its ASCII text is valid UTF-8 with zero bytes.
 """
 
 from __future__ import annotations
@@ -16,6 +16,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kindling.functions import charset_guess
+
+# As a fallback: tell the encoding from the bytes.
+GUESS = "guess"
+
 # Byte order marks in hex, longest first, and the codec each one names.
 BYTE_ORDER_MARKS = [
     ("FFFE0000", "utf-32-le"),
@@ -26,15 +31,31 @@ BYTE_ORDER_MARKS = [
 ]
 
 
+def check_fallback(fallback: str) -> None:
+    if fallback != GUESS:
+        codecs.lookup(fallback)
+
+
+@F.arrow_udf(T.StringType())
+def _guessed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for contents in batches:
+        yield pa.array([None if raw is None else charset_guess.guess(raw) for raw in contents.to_pylist()], pa.string())
+
+
 def detect_charset(content: Column, fallback: str = "utf-8") -> Column:
-    """Name of the encoding under the rule above."""
-    codecs.lookup(fallback)
+    """Name of the encoding under the rule above; only bytes that need a guess reach Python."""
+    check_fallback(fallback)
     head = F.hex(F.substring(content, 1, 4))
     rule = None
     for mark, codec in BYTE_ORDER_MARKS:
         hit = F.startswith(head, F.lit(mark))
         rule = F.when(hit, codec) if rule is None else rule.when(hit, codec)
-    return rule.when(F.is_valid_utf8(content.cast("string")), "utf-8").otherwise(fallback)
+    valid = F.is_valid_utf8(content.cast("string"))
+    if fallback != GUESS:
+        return rule.when(valid, "utf-8").otherwise(fallback)
+    valid = valid & ~F.contains(content, F.lit(b"\0"))
+    known = rule.when(valid, "utf-8")
+    return F.coalesce(known, _guessed(F.when(known.isNull(), content)))
 
 
 @F.arrow_udf(T.StringType())

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from kindling.cluster import settle
-from kindling.functions.charset import BYTE_ORDER_MARKS
+from kindling.functions import charset_guess
+from kindling.functions.charset import BYTE_ORDER_MARKS, GUESS, check_fallback
 from kindling.sources import files as fl
 
 PIECE_BYTES = 4 << 20
@@ -36,12 +37,13 @@ def _mark_of(head: bytes) -> tuple[bytes, str | None]:
 
 def inspect(fallback: str = "utf-8"):
     """For ``visit_files``: a file's SHA-256 and encoding, told in one pass."""
-    codecs.lookup(fallback)
+    check_fallback(fallback)
 
     def run(path: str) -> str:
         system, inner = fl.open_filesystem(path)
         digest, strict = hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("strict")
-        head, valid = b"", True
+        head, valid, at = b"", True, 0
+        summary = charset_guess.summarize(b"")
         with system.open_input_stream(inner) as stream:
             while piece := stream.read(PIECE_BYTES):
                 digest.update(piece)
@@ -51,12 +53,16 @@ def inspect(fallback: str = "utf-8"):
                         strict.decode(piece)
                     except UnicodeDecodeError:
                         valid = False
+                if fallback == GUESS:
+                    valid = valid and b"\0" not in piece
+                    summary = charset_guess.join(summary, charset_guess.summarize(piece, at))
+                    at += len(piece)
         if valid:
             try:
                 strict.decode(b"", True)
             except UnicodeDecodeError:
                 valid = False
-        charset = _mark_of(head)[1] or ("utf-8" if valid else fallback)
+        charset = _mark_of(head)[1] or ("utf-8" if valid else charset_guess.decide(summary) if fallback == GUESS else fallback)
         return f"{digest.hexdigest()} {charset}"
 
     return run

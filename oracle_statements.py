@@ -182,6 +182,13 @@ def statements(embedder, rare: str, common: str, k: int, lsh) -> dict[str, str]:
         "charset_decode": """
             SELECT doc_id, CASE lang WHEN 'fr' THEN 'utf-16-le' WHEN 'es' THEN 'utf-16-be' ELSE 'utf-8' END AS charset,
               sha256(text) AS text_hash FROM documents""",
+        "charset_guess": """
+            SELECT ['utf-8', 'utf-16-le', 'utf-16-be', 'cp1252', 'cp850', 'mac_roman'][doc_id % 6 + 1] AS encoding, count(*) AS n_files,
+              CAST(sum(CASE doc_id % 6 WHEN 0 THEN strlen(text)
+                WHEN 1 THEN 2 * (length(text) + length(regexp_replace(text, '[\\x00-\\x{FFFF}]', '', 'g')))
+                WHEN 2 THEN 2 * (length(text) + length(regexp_replace(text, '[\\x00-\\x{FFFF}]', '', 'g'))) END) AS BIGINT) AS n_bytes,
+              true AS mostly_right
+            FROM documents WHERE length(text) >= 200 AND regexp_matches(text, '[^\\x00-\\x7f]') GROUP BY doc_id % 6""",
         "normalize_newlines": "SELECT doc_id, sha256(text) AS text_hash FROM documents",
         "render_document": """
             SELECT doc_id, 'Metadata: category=>log::author=>unknown' || chr(10) || '-----' || chr(10) || 'Content: ' || text AS rendered
