@@ -23,7 +23,7 @@ from kindling.functions import charset
 from kindling.functions import text as tx
 from kindling.functions import vectors as vx
 from kindling.functions.embedder import Embedder, hashed_words
-from kindling.operators import ann, chunking, documents, embedding, fields, knn, quality, search, upsert
+from kindling.operators import ann, chunking, documents, embedding, fields, knn, knn_join, quality, search, upsert
 from kindling.operators import charset as charset_ops
 from kindling.plans import ingest
 from kindling.plans import search as search_plans
@@ -230,6 +230,19 @@ def search_store(spark, sf_dir):
     return hits.select(_rel("doc_id").alias("rel_path"), "chunk_idx", "score", _rounded("distance"))
 
 
+def search_store_by_index(spark, sf_dir):
+    """The same through an index: built, emptied with the store, then built again and searched in every cell."""
+    root, tree = new_folder(spark, "store"), log_tree(spark, sf_dir)
+    ingest.ingest_logs(spark, tree, root, EMBEDDER, max_files_per_dir=3)
+    search_plans.build_index(spark, root, CELLS)
+    store.truncate(spark, root)
+    ingest.ingest_logs(spark, tree, root, EMBEDDER, max_files_per_dir=5)
+    search_plans.build_index(spark, root, CELLS)
+    ingest.ingest_logs(spark, tree, root, EMBEDDER)
+    hits = search_plans.search_logs(spark, root, RARE_QUERY, EMBEDDER, K, probes=CELLS)
+    return hits.select(_rel("doc_id").alias("rel_path"), "chunk_idx", "score", _rounded("distance"))
+
+
 # --- vectors ----------------------------------------------------------------
 
 
@@ -350,6 +363,12 @@ def knn_multi_blocked(spark, sf_dir):
     return _hits(knn.knn_batch(vectors, _label_centres(vectors), K, query_bytes=1500), "vec_id")
 
 
+def knn_both_large(spark, sf_dir):
+    """The nearest vectors to every vector, by the route that needs neither side to be small."""
+    vectors = _vectors(spark, sf_dir)
+    return _hits(knn_join.knn_join(vectors, vectors.withColumnRenamed("vec_id", "query_id"), K), "vec_id")
+
+
 def semantic_batch(spark, sf_dir):
     """The nearest chunks to every benchmark passage."""
     chunks = embedding.embed(_chunks(spark, sf_dir), EMBEDDER).drop("text")
@@ -634,9 +653,9 @@ _QUERIES = [
     chunk_fixed, chunk_counts, chunks_per_document, chunk_batches, chunk_sentences, chunk_large_files,
     content_hash, charset_decode, normalize_newlines, render_document,
     phrase_matches, phrase_topk, hybrid_search, hybrid_search_many_phrases, hybrid_by_union, filtered_search,
-    prompt_context, hit_lines, search_store,
+    prompt_context, hit_lines, search_store, search_store_by_index,
     hash_embed, embed_cache, embed_cached, mean_pool, dim_check, unique_check, unique_chunks, ingest_counts,
-    vector_shapes, knn_l2, knn_metrics, cosine_topk, knn_multi, knn_multi_blocked, semantic_batch, fetch_records,
+    vector_shapes, knn_l2, knn_metrics, cosine_topk, knn_multi, knn_multi_blocked, knn_both_large, semantic_batch, fetch_records,
     append_vectors, ann_ivf, ann_ivf_exhaustive, ann_lsh, ann_lsh_batch,
     incremental_files, ledger_upsert, doc_upsert, doc_delete,
     scan_logs, first_per_directory, visit_files, ingest_logs, ingest_ledger, ingest_directory, add_texts,

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,18 +93,27 @@ def scan_bytes(scan: DataFrame) -> int:
     return int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def _width(field: T.StructField):
-    column = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
-    if isinstance(field.dataType, T.ArrayType):
-        return F.greatest(F.size(column), F.lit(0)) * 8 + 24
-    return F.lit(16)
+def _width(column: Column, kind: T.DataType) -> Column:
+    """Estimated bytes of a value, by its type."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            total = F.aggregate(column, F.lit(24).cast("long"), lambda n, x: n + _width(x, kind.elementType))
+            return F.coalesce(total, F.lit(24).cast("long"))
+        return F.greatest(F.size(column), F.lit(0)).cast("long") * 8 + 24
+    if isinstance(kind, T.MapType):
+        return _width(F.map_keys(column), T.ArrayType(kind.keyType)) + _width(F.map_values(column), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.StructType):
+        return sum((_width(column[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    if isinstance(kind, T.VariantType):
+        return F.coalesce(F.octet_length(F.to_json(column)), F.lit(0)).cast("long") + 16
+    return F.lit(16).cast("long")
 
 
 def byte_size(df: DataFrame) -> int:
     """Estimated in-memory bytes of ``df``, one aggregate over its rows."""
-    total = sum((_width(f) for f in df.schema.fields), F.lit(0))
+    total = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
     return df.agg(F.sum(total.cast("long")).alias("n")).first().n or 0
 
 

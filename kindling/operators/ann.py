@@ -35,8 +35,11 @@ class Cells:
         """The n nearest cells of every row, in ascending order of their numbers."""
         n = min(n, len(self.centroids))
         out = np.zeros((len(vectors), n), np.int64)
+        lengths = (self.centroids * self.centroids).sum(1)
         for at in range(0, len(vectors), 1024):
-            gaps = ((vectors[at : at + 1024, None, :] - self.centroids[None]) ** 2).sum(2)
+            rows = vectors[at : at + 1024]
+            # The row's own length is the same for all cells.
+            gaps = lengths - 2 * (rows @ self.centroids.T)
             # Of equal distances the lower number counts.
             out[at : at + 1024] = np.sort(np.argsort(gaps, axis=1, kind="stable")[:, :n], axis=1)
         return out

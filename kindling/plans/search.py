@@ -5,11 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from kindling.cluster import settle
-from kindling.functions import vectors as vx
 from kindling.functions.embedder import Embedder
+from kindling.functions.text import phrase_match
 from kindling.operators import ann, knn, search
 from kindling.sources import store
 
@@ -21,7 +19,7 @@ def build_index(spark: SparkSession, root: str, cells: int = ann.CELLS) -> int:
     they add is searched in full and what they replace is left out.
     """
     version = store.last_version(spark, root)
-    rows = store.read_stored(spark, root).filter(F.col("embedding").isNotNull()).select("doc_id", "chunk_idx", "version", "embedding")
+    rows = store.read_stored(spark, root).filter(F.col("embedding").isNotNull()).select("doc_id", "chunk_idx", "version", "text", "embedding")
     index = ann.train_cells(rows, cells)
     path = f"{root}/index/{version}"
     ann.write_cells(ann.assign_cells(rows, index), f"{path}/cells", mode="overwrite")
@@ -30,29 +28,25 @@ def build_index(spark: SparkSession, root: str, cells: int = ann.CELLS) -> int:
     return version
 
 
-def _search_index(spark: SparkSession, root: str, query: str, embedder: Embedder, top_k: int, probes: int) -> DataFrame:
-    version = spark.read.parquet(f"{root}/index/versions").agg(F.max("indexed").alias("v")).first().v
+def _search_index(spark: SparkSession, root: str, version: int, query: str, embedder: Embedder, top_k: int, probes: int) -> DataFrame:
+    """One scan of the texts for the phrase; vectors are read for the probed cells, later versions and the hits only."""
     index = ann.load_centroids(spark, f"{root}/index/{version}/centroids")
     vector = embedder.one(query)
-    live = store.read_chunks(spark, root).select("doc_id", "chunk_idx", "text")
-    exact = search.phrase_topk(live, query, top_k).select("doc_id", "chunk_idx")
-    columns = ["doc_id", "chunk_idx", "version", "embedding"]
+    columns = ["doc_id", "chunk_idx", "version", "text", "embedding"]
+    live = store.read_stored(spark, root).filter(F.col("chunk_idx").isNotNull())
+    found = live.filter(phrase_match(F.col("text"), query)).select("doc_id", "chunk_idx", "version").orderBy("doc_id", "chunk_idx").limit(top_k)
+    # At most k keys; their versions and documents prune the lookup.
+    keys = [tuple(r) for r in found.collect()]
+    exact = live.filter(F.col("version").isin(sorted({v for _, _, v in keys})) & F.col("doc_id").isin(sorted({d for d, _, _ in keys})))
+    exact = exact.filter(F.struct("doc_id", "chunk_idx").isin([F.struct(F.lit(d), F.lit(c).cast("int")) for d, c, _ in keys])) if keys else live.limit(0)
     probed = index.nearest(np.array([vector if vector is not None else np.zeros(index.centroids.shape[1])]), probes)[0].tolist()
     stored = spark.read.parquet(f"{root}/index/{version}/cells").filter(F.col("cell").isin(probed)).select(*columns)
-    late = store.read_stored(spark, root).filter((F.col("version") > version) & F.col("chunk_idx").isNotNull()).select(*columns)
+    late = live.filter(F.col("version") > version).select(*columns)
     candidates = store.without_stale(spark, root, stored.unionByName(late))
-    if vector is None:
-        candidates, exact, vector = candidates.limit(0), exact.limit(0), [0.0] * index.centroids.shape[1]
-    near = knn.knn(candidates, vector, top_k, ids=["doc_id", "chunk_idx"]).select("doc_id", "chunk_idx", "distance")
-    # At most 2k keys, whose texts and vectors are looked up in one scan.
-    keys = settle(exact.withColumn("score", F.lit(search.EXACT_SCORE)).withColumn("distance", F.lit(None).cast("double")).unionByName(
-        near.withColumn("score", F.lit(search.SEMANTIC_SCORE)).select("doc_id", "chunk_idx", "score", "distance")), "keys")
-    best = keys.groupBy("doc_id", "chunk_idx").agg(F.max("score").alias("score"))
-    rows = store.read_chunks(spark, root).select("doc_id", "chunk_idx", "text", "embedding")
-    hits = rows.join(F.broadcast(best), ["doc_id", "chunk_idx"]).withColumn("distance", vx.l2_squared("embedding", vector))
-    order = [F.col("score").desc(), F.when(F.col("score") < search.EXACT_SCORE, F.col("distance")).asc_nulls_last(), "doc_id", "chunk_idx"]
-    hits = hits.orderBy(*order).limit(top_k).withColumn("rank", F.row_number().over(W.orderBy(*order)))
-    return hits.select(F.lit(0).cast("long").alias("query_id"), "rank", "doc_id", "chunk_idx", "text", "score", "distance")
+    known = spark.createDataFrame([(d, c) for d, c, _ in keys], "doc_id string, chunk_idx int")
+    others = candidates.join(F.broadcast(known), ["doc_id", "chunk_idx"], "left_anti")
+    rows = exact.select(*columns).unionByName(others.select(*columns)).drop("version")
+    return search.hybrid_search(rows, query, vector, top_k)
 
 
 def search_logs(
@@ -68,12 +62,15 @@ def search_logs(
 
     ``where`` limits the search to chunks that satisfy a condition on the stored
     columns, such as ``F.col("metadata")["category"] == "log"``. With ``probes``, the nearest
-    vectors come from that many cells of the index that ``build_index`` wrote.
+    vectors come from that many cells of the index that ``build_index`` wrote; a store without
+    an index is searched in full.
     """
     if probes is not None:
         if where is not None:
             raise ValueError("a condition needs the full search")
-        return _search_index(spark, root, query, embedder, top_k, probes)
+        version = store.indexed_version(spark, root)
+        if version is not None:
+            return _search_index(spark, root, version, query, embedder, top_k, probes)
     chunks = store.read_chunks(spark, root)
     if where is not None:
         chunks = chunks.filter(where)

@@ -47,6 +47,9 @@ FILES = T.StructType(
     ]
 )
 
+# Versions that an index of a store covers.
+INDEXED = T.StructType([T.StructField("indexed", T.IntegerType())])
+
 
 def with_version(schema: T.StructType) -> T.StructType:
     """The stored form of a table: its columns plus the partition column."""

@@ -136,12 +136,18 @@ def compact_into(spark: SparkSession, root: str, new_root: str) -> int:
 
 
 def truncate(spark: SparkSession, root: str) -> None:
-    """Empty the store. The ledger goes first, so what remains is already invisible."""
+    """Empty the store. The index goes first, as versions start again, then the ledger, so what remains is already invisible."""
+    spark.createDataFrame([], schemas.INDEXED).write.mode("overwrite").parquet(f"{root}/index/versions")
     for name, schema in (("ledger", schemas.LEDGER), ("stale", schemas.STALE), ("chunks", schemas.STORED_CHUNKS)):
         empty = spark.createDataFrame([], schemas.with_version(schema))
         empty.write.mode("overwrite").partitionBy("version").parquet(f"{root}/{name}")
 
 
+def indexed_version(spark: SparkSession, root: str) -> int | None:
+    """The newest version that an index of the store covers; None without an index."""
+    return _read(spark, f"{root}/index/versions", schemas.INDEXED).agg(F.max("indexed").alias("v")).first().v
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     """Append records to a plain Parquet table."""
     df.write.mode("append").parquet(path)

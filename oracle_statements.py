@@ -226,6 +226,12 @@ def statements(embedder, rare: str, common: str, k: int, lsh) -> dict[str, str]:
             SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM hits GROUP BY query_id""",
         "hit_lines": f"{hybrid(rare)} SELECT query_id, rank, doc_id || ': ' || text AS line FROM hits",
         # Stored ids are paths, so positions order as strings.
+        "search_store_by_index": f"""{chunk_vectors}
+            SELECT {REL_PATH} AS rel_path, chunk_idx, CASE WHEN hit THEN CAST(1 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS score,
+              round(d, 6) AS distance
+            FROM (SELECT doc_id, chunk_idx, contains(lower(text), '{rare}') AS hit, {_metric("l2", "v", vector[rare])} AS d FROM emb)
+            JOIN (SELECT doc_id, source FROM documents) USING (doc_id)
+            ORDER BY hit DESC, CASE WHEN hit THEN NULL ELSE d END, rel_path, chunk_idx LIMIT {k}""",
         "search_store": f"""{chunk_vectors}
             SELECT {REL_PATH} AS rel_path, chunk_idx, CASE WHEN hit THEN CAST(1 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS score,
               round(d, 6) AS distance
@@ -282,6 +288,11 @@ def statements(embedder, rare: str, common: str, k: int, lsh) -> dict[str, str]:
         "cosine_topk": nearest("cosine", vector[rare], name="similarity"),
         "knn_multi": to_centres,
         "knn_multi_blocked": to_centres,
+        "knn_both_large": f"""
+            SELECT query_id, rank, vec_id, round(d, 6) AS distance
+            FROM (SELECT query_id, vec_id, d, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INTEGER) AS rank
+                  FROM (SELECT q.vec_id AS query_id, e.vec_id, {_metric("l2", "e.embedding", "q.embedding")} AS d FROM embeddings e, embeddings q))
+            WHERE rank <= {k}""",
         "semantic_batch": f"""{chunk_vectors},
             {EMBED.format(name="asked", ids="item_id", source="benchmark")}
             SELECT query_id, rank, doc_id, chunk_idx, round(d, 6) AS distance

@@ -165,6 +165,15 @@ def test_search_through_an_index(spark, log_tree, tmp_path):
     same("event 3 plant")
     with pytest.raises(ValueError):
         plans.search_logs(spark, root, "x", EMBEDDER, where=F.lit(True), probes=2)
+    store.delete_documents(spark, root, store.read_chunks(spark, root).filter("text LIKE '%zone 3%'").select("doc_id").distinct().limit(2))
+    same("zone 3 of plant")
+    # Versions start again after truncate, so the index has to go with them.
+    store.truncate(spark, root)
+    same("zone 3 of plant")
+    ingest.ingest_logs(spark, str(log_tree), root, EMBEDDER)
+    same("zone 3 of plant")
+    plans.build_index(spark, root, cells=4)
+    same("event 7 plant")
 
 
 def test_stream_then_batch(spark, log_tree, tmp_path):
