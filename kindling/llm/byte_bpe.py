@@ -21,13 +21,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.worker_memory import Recent, remembered
+from kindling.llm.worker_memory import Recent, remembered, tidy
 
 # Encoded words that a worker remembers, at about 200 bytes each.
-MEMORY = 600_000
+MEMORY = 300_000
 # Characters of texts that are encoded together, and different pieces merged in one queue.
-ROWS, CHARACTERS = 256, 6_000_000
-PIECES = 200_000
+ROWS, CHARACTERS = 128, 3_000_000
+PIECES = 40_000
 # Beside it no part has a pair: keys with it are negative.
 NO_PART = -(1 << 42)
 # Marks that the shortcut for plain words looks for behind them.
@@ -195,9 +195,9 @@ class Encoder:
         n, size = int(ends[-1]), self.size
         # Place n stands for no neighbour; no pair holds its part.
         parts = np.append(self.singles[np.frombuffer(b"".join([pieces[i] for i in open_pieces]), np.uint8)], NO_PART)
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[ends - 1], before[0], before[ends[:-1]] = n, n, n
-        waiting = self._ranks_of(parts, parts[after.clip(max=n)])
+        waiting = self._ranks_of(parts, parts[after.clip(max=n)]).astype(np.int32)
         waiting[n] = size
         alive = np.ones(n + 1, bool)
         buckets: dict[int, list[np.ndarray]] = {}
@@ -392,8 +392,9 @@ def encode(text: Column, ranks_path: str, pattern: str) -> Column:
     def ids(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(ranks_path, pattern)
         for batch in column:
-            found = [ids for some in _texts(batch) for ids in encoder.encode_all(some)]
-            yield pa.array([np.frombuffer(b, encoder.dtype).astype("<u4").tobytes() for b in found], pa.binary())
+            yield pa.array([np.frombuffer(b, encoder.dtype).astype("<u4").tobytes() for some in _texts(batch) for b in encoder.encode_all(some)], pa.binary())
+            del batch
+            tidy()
 
     return ids(text)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.worker_memory import Recent, remembered
+from kindling.llm.worker_memory import Recent, remembered, tidy
 
 # Labelled rows that a model is fitted on, about: rows are chosen by a hash of their key.
 TRAINING_ROWS = 20_000
@@ -359,6 +359,8 @@ def _fit_in_task(chosen: DataFrame, costs: np.ndarray) -> Model:
             toxic += batch.column("label").to_pylist()
         order = sorted(range(len(texts)), key=lambda i: (zlib.crc32(texts[i].encode("utf-8", "replace")), texts[i]))
         model = fit([texts[i] for i in order], [int(toxic[i]) for i in order], costs)
+        del texts, toxic, order
+        tidy()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.weights, model.logistic))], pa.binary())], ["model"])
 
     row = chosen.select("text", "label").repartition(1).mapInArrow(run, "model binary").first()

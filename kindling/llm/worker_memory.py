@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
+
 _held: dict[Hashable, Any] = {}
 
 
+def tidy() -> None:
+    """Give memory that was freed back to the machine, where the allocators keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def remembered(name: Hashable, make: Callable[[], Any]) -> Any:
     """What ``make`` made under this name in this worker; whatever else was held is dropped first.
 
@@ -16,6 +30,7 @@ def remembered(name: Hashable, make: Callable[[], Any]) -> Any:
     found = _held.get(name)
     if found is None:
         _held.clear()
+        tidy()
         found = _held[name] = make()
     return found
 
