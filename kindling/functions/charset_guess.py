@@ -114,7 +114,7 @@ def _pair_score(a: str | None, b: str | None) -> int:
         return -100
     if "control" in kinds:
         return -40
-    bonus = sum(2 for ch in (a, b) if ch in FREQUENT)
+    bonus = sum(2 for ch in (a, b) if ch.lower() in FREQUENT)
     if script_x and script_y:
         if script_x != script_y:
             return -12
@@ -219,7 +219,8 @@ def decide(summary: np.ndarray) -> str:
         if name == UTF8:
             if errors * 20 <= chars:
                 return UTF8
-        elif chars and errors * 50 <= chars and common * 100 >= chars * 70:
+        # Letters with accents among ASCII ones look like leads, but hardly any trail is above 127 then.
+        elif chars and errors * 50 <= chars and common * 100 >= chars * 70 and n_high * 10 >= chars * 12:
             share = (common + (2 * own if own * 100 >= chars * 20 else 0)) * 1000 // chars
             if share > best_share:
                 best, best_share = name, share
