@@ -23,7 +23,7 @@ from kindling.functions import charset
 from kindling.functions import text as tx
 from kindling.functions import vectors as vx
 from kindling.functions.embedder import Embedder, hashed_words
-from kindling.operators import ann, chunking, documents, embedding, fields, knn, knn_join, quality, search, upsert
+from kindling.operators import ann, chunking, documents, embedding, fields, knn, knn_join, phrase_index, quality, search, upsert
 from kindling.operators import charset as charset_ops
 from kindling.plans import ingest
 from kindling.plans import search as search_plans
@@ -170,6 +170,16 @@ def phrase_matches(spark, sf_dir):
     return _chunks(spark, sf_dir).filter(tx.phrase_match(F.col("text"), RARE_QUERY)).select("doc_id", "chunk_idx")
 
 
+def phrase_by_index(spark, sf_dir):
+    """Documents that hold a whole benchmark text, or one of two phrases, found through a trigram index."""
+    table, index = new_folder(spark, "texts"), new_folder(spark, "phrase-index")
+    _documents(spark, sf_dir).select("doc_id", "text").repartitionByRange(16, "doc_id").write.parquet(table)
+    phrase_index.build_phrase_index(spark, table, index)
+    asked = _table(spark, sf_dir, "benchmark").select("item_id", "text")
+    asked = asked.unionByName(spark.createDataFrame([(-1, RARE_QUERY), (-2, COMMON_QUERY)], "item_id long, text string"))
+    return phrase_index.find_phrases(spark, table, index, asked, key="item_id", phrase_col="text").select("item_id", "doc_id")
+
+
 def phrase_topk(spark, sf_dir):
     return search.phrase_topk(_chunks(spark, sf_dir), COMMON_QUERY, K)
 
@@ -652,7 +662,7 @@ def regex_literal(spark, sf_dir):
 _QUERIES = [
     chunk_fixed, chunk_counts, chunks_per_document, chunk_batches, chunk_sentences, chunk_large_files,
     content_hash, charset_decode, normalize_newlines, render_document,
-    phrase_matches, phrase_topk, hybrid_search, hybrid_search_many_phrases, hybrid_by_union, filtered_search,
+    phrase_matches, phrase_by_index, phrase_topk, hybrid_search, hybrid_search_many_phrases, hybrid_by_union, filtered_search,
     prompt_context, hit_lines, search_store, search_store_by_index,
     hash_embed, embed_cache, embed_cached, mean_pool, dim_check, unique_check, unique_chunks, ingest_counts,
     vector_shapes, knn_l2, knn_metrics, cosine_topk, knn_multi, knn_multi_blocked, knn_both_large, semantic_batch, fetch_records,

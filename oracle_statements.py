@@ -194,6 +194,10 @@ def statements(embedder, rare: str, common: str, k: int, lsh) -> dict[str, str]:
             SELECT doc_id, 'Metadata: category=>log::author=>unknown' || chr(10) || '-----' || chr(10) || 'Content: ' || text AS rendered
             FROM documents""",
         "phrase_matches": f"{chunks} SELECT doc_id, chunk_idx FROM chunks WHERE contains(lower(text), '{rare}')",
+        "phrase_by_index": f"""
+            SELECT p.item_id, d.doc_id FROM documents d
+            JOIN (SELECT item_id, text FROM benchmark UNION ALL VALUES (-1, '{rare}'), (-2, '{common}')) p
+            ON contains(lower(d.text), lower(trim(p.text)))""",
         "phrase_topk": f"""{chunks}
             SELECT CAST(row_number() OVER (ORDER BY doc_id, chunk_idx) AS INTEGER) AS rank, doc_id, chunk_idx, text
             FROM chunks WHERE contains(lower(text), '{common.strip().lower()}') QUALIFY rank <= {k}""",
