@@ -6,10 +6,12 @@ The weights are summed over sliding windows of lines; a window sum that rises ab
 threshold is a surge point, one that falls back to it is a dive point, and the text
 between a surge and its dive is kept.
 
-Where a page has an article or main element, its markup says what is main text: lines
-outside weigh nothing and the threshold is zero. Elsewhere text in links weighs nothing,
-empty lines are left out of the windows and the threshold is a share of the page's
-largest window sum, so that short lines away from running text are dropped.
+Every page goes this way; markup only raises or lowers weights. Text in links weighs nothing,
+furniture is left out of the windows, and the threshold is a share of the page's largest window
+sum, so that short lines away from running text are dropped. Where a page has an article or
+main element, a line in it that has text outside links weighs ``RAISED`` more, so that its
+short lines stay, and a window of empty lines stands for what is outside of it. Lists of links
+of a window's length or more are then dropped, in an article as elsewhere.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 
 # Lines whose weights are summed for one point of the distribution.
 WINDOW = 3
-# The threshold of pages without article or main: this share of the largest window sum, and at most so many characters.
+# The threshold: this share of the largest window sum, and at most so many characters.
 SHARE, MOST = 0.25, 60
+# What a line of an article weighs besides its length.
+RAISED = MOST + 1
 # Names of classes and ids are overruled where they leave less than this share of a page's text.
 OVERRULED = 0.1
 
@@ -223,19 +227,23 @@ def main_text(page: str | None) -> str:
     limit = NAMED
     if mass(NAMED, marked) <= (0 if marked else OVERRULED * mass(TAGGED, False)):
         limit = TAGGED  # names are overruled
-    if marked:
-        return "\n\n".join(text for text, dull, inside, _, _ in lines if inside and dull < limit)
-    lines = [x for x in lines if x[1] < limit]
-    weights = [x[3] for x in lines]
+    chosen: list[tuple[str, int, bool]] = []  # text, weight, is a heading
+    for text, dull, inside, outside_links, heading in lines:
+        if marked and not inside:
+            chosen += [("", 0, False)] * WINDOW
+        elif dull < limit:
+            raised = RAISED if marked and outside_links else 0
+            chosen.append((text, outside_links + raised, heading))
+    weights = [x[1] for x in chosen]
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     threshold = min(SHARE * max(sums, default=0), MOST)
     kept, last = [], 0
     for begin, end in surges(weights, WINDOW, threshold):
-        while begin > last and lines[begin - 1][4]:  # headings belong to the text after them
+        while begin > last and chosen[begin - 1][2]:  # headings belong to the text after them
             begin -= 1
-        kept += [lines[i][0] for i in range(begin, end)]
+        kept += [chosen[i][0] for i in range(begin, end)]
         last = end
-    return "\n\n".join(kept)
+    return "\n\n".join(x for x in kept if x)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", output: str = "text") -> DataFrame:

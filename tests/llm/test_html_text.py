@@ -1,5 +1,8 @@
+import random
+
 import pytest
 
+from kindling.llm import html_text
 from kindling.llm.html_text import extract_text, lines_of, main_text, surges
 
 CASES = {
@@ -66,6 +69,35 @@ def test_names_of_wrappers(page):
     assert main_text(page) == LONG
 
 
+def test_window_sums_decide_in_articles(monkeypatch):
+    links = [f"Another story {i}" for i in range(4)]
+    listed = "".join(f"<p><a href=x>{w}</a></p>" for w in links)
+    page = f"<article><h1><a href=x>Title</a></h1><p>By me</p><p>{LONG}</p>{listed}<p>{LONG}</p><p>The end.</p></article><p>{LONG}</p>"
+    text, rest = f"Title\n\nBy me\n\n{LONG}", f"{LONG}\n\nThe end."
+    assert main_text(page) == f"{text}\n\n{rest}"
+    monkeypatch.setattr(html_text, "WINDOW", 6)
+    assert main_text(page) == "\n\n".join([text, *links, rest])
+    monkeypatch.setattr(html_text, "WINDOW", 1)
+    monkeypatch.setattr(html_text, "SHARE", 0.9)
+    monkeypatch.setattr(html_text, "MOST", 100)
+    assert main_text(page) == f"{LONG}\n\n{LONG}"
+    monkeypatch.setattr(html_text, "surges", lambda *a: [])
+    assert main_text(page) == ""
+
+
+def test_window_sums_as_brute_force():
+    rng = random.Random(3)
+    for _ in range(500):
+        weights = [rng.choice([0, 0, 1, 5, 30]) for _ in range(rng.randint(0, 25))]
+        window, threshold = rng.randint(1, 5), rng.choice([0, 1, 4, 20])
+        kept, on = [], False
+        for i, w in enumerate(weights):
+            above = sum(weights[i : i + window]) > threshold
+            on = above and (on or w > threshold / window)
+            kept += [i] if on else []
+        assert [i for a, b in surges(weights, window, threshold) for i in range(a, b)] == kept
+
+
 def test_heading_in_an_article_stays():
     assert main_text(f"<article><div class='entry-header'><h1>Title</h1></div><p>{LONG}</p></article>") == f"Title\n\n{LONG}"
 
