@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kindling.cluster import settle
 from kindling.llm.components import components
@@ -84,47 +85,107 @@ def _matrix(column: pa.Array, dimensions: int) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] if len(x) else x
 
 
-def _usable(vector: Column, dimensions: int) -> Column:
+def _usable(vector: Column) -> Column:
     finite = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return vector.isNotNull() & (F.size(vector) == dimensions) & finite & F.exists(vector, lambda v: v != 0)
+    return vector.isNotNull() & finite & F.exists(vector, lambda v: v != 0)
 
 
-_PAIRS = "a long, b long"
+_LINKS = "a long, b long, others long"
+# A leaf as one number: its tree, then its node.
+_TREE_BITS = 40
+
+
+class _Leaves:
+    """Which rows of a group share leaves: sorted leaves of each row, as they were dealt."""
+
+    def __init__(self, lists: pa.ListArray) -> None:
+        codes = lists.flatten().to_numpy()
+        self.codes, rank = np.unique(codes, return_inverse=True)
+        self.rank = rank.astype(np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+        self.keys = np.repeat(np.arange(len(lists), dtype=np.int64), np.diff(self.ends)) * len(self.codes) + self.rank
+        self.tree = codes >> _TREE_BITS
+
+    def _shared(self, i: np.ndarray, j: np.ndarray, tree: int, below: int) -> np.ndarray:
+        """Whether rows i and j share a leaf of the tree with a code below ``below``."""
+        low = np.searchsorted(self.keys, i * len(self.codes) + np.searchsorted(self.codes, tree << _TREE_BITS))
+        high = np.searchsorted(self.keys, i * len(self.codes) + np.searchsorted(self.codes, min(below, (tree + 1) << _TREE_BITS)))
+        n = high - low
+        pair = np.repeat(np.arange(len(i)), n)
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        wanted = j[pair] * len(self.codes) + self.rank[at]
+        found = np.searchsorted(self.keys, wanted)
+        met = self.keys[np.minimum(found, len(self.keys) - 1)] == wanted
+        out = np.zeros(len(i), bool)
+        out[pair[met]] = True
+        return out
+
+    def first(self, i: np.ndarray, j: np.ndarray, code: int) -> np.ndarray:
+        """Whether ``code`` is the first leaf that rows i and j share."""
+        left = np.arange(len(i))
+        for tree in range((code >> _TREE_BITS) + 1):
+            left = left[~self._shared(i[left], j[left], tree, code)]
+        out = np.zeros(len(i), bool)
+        out[left] = True
+        return out
+
+
+def _unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the sets of rows i and j; the least row of a set is its root."""
+    while len(i):
+        low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+        apart = low != high
+        i, j = i[apart], j[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root[:] = root[root]
 
 
 def _compare(threshold: float, dimensions: int):
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        ids = group["id"].to_numpy()
-        ids, first = np.unique(ids, return_index=True)
-        side = group["side"].to_numpy()[first]
-        unit = _matrix(group["vector"].chunk(0).take(pa.array(first)) if len(first) else pa.array([], pa.list_(pa.float64())), dimensions)
-        a, b = [], []
-        for at in range(0, len(ids), 512):
-            near = unit[at : at + 512] @ unit.T
+        ids, first = np.unique(group["id"].to_numpy(), return_index=True)
+        none = np.zeros(0, np.int64)
+        if not len(ids):
+            return pa.table({"a": none, "b": none, "others": none})
+        take = pa.array(first)
+        side, size = group["side"].to_numpy()[first], group["size"].to_numpy()[first]
+        code = (group["tree"][0].as_py() << _TREE_BITS) + group["node"][0].as_py()
+        unit = _matrix(group["vector"].chunk(0).take(take), dimensions)
+        leaves = _Leaves(group["leaves"].chunk(0).take(take))
+        others, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for at in range(0, len(ids), 256):
+            near = unit[at : at + 256] @ unit.T
             i, j = np.nonzero(near >= threshold - 1e-9)
             i = i + at
             # Block pairs: only across the two blocks, unless they are one.
             keep = (i < j) & ((side[i] != side[j]) | (side[i] == 0) & (side[j] == 0))
             i, j = i[keep], j[keep]
             exact = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
-            a.append(ids[i[exact]])
-            b.append(ids[j[exact]])
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([*a, none]), "b": np.concatenate([*b, none])})
+            i, j = i[exact], j[exact]
+            _unite(root, i, j)
+            counted = leaves.first(i, j, code)
+            i, j = i[counted], j[counted]
+            np.add.at(others, i, size[j])
+            np.add.at(others, j, size[i])
+        told = np.flatnonzero((others > 0) | (root != np.arange(len(ids))))
+        return pa.table({"a": ids[told], "b": ids[root[told]], "others": others[told]})
 
     return compare
 
 
-def near_pairs(classes: DataFrame, dimensions: int, threshold: float) -> DataFrame:
-    """(a, b), a < b: ids of different vectors of one label with cosine at or above the threshold.
+def near_links(classes: DataFrame, dimensions: int, threshold: float) -> DataFrame:
+    """(a, b, others): vectors, one each has a chain of links to, and a count of links found.
 
-    ``classes`` has id, label and vector, all valid. Every pair is verified; a pair that no
-    tree puts into one leaf is missed, which the overlap makes rare.
+    ``classes`` has id, label, vector (all valid, of ``dimensions`` numbers) and size, how many
+    rows the vector stands for. Every link is verified. The counts of a vector add up to the
+    rows it is linked with, as a link counts only in the first leaf that both ends share; the pairs (a, b)
+    connect what links connect. There are at most as many rows as vectors in leaves, however
+    many links. A link that no tree puts into one leaf is missed, which the overlap makes rare.
     """
     largest = classes.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
     if not largest[0]:
-        return classes.sparkSession.createDataFrame([], _PAIRS)
+        return classes.sparkSession.createDataFrame([], _LINKS)
     depth = int(max(0, np.ceil(np.log2(largest[0] / LEAF))))
     chosen = classes.select("vector")
     if largest[1] > SAMPLE:
@@ -138,19 +199,24 @@ def near_pairs(classes: DataFrame, dimensions: int, threshold: float) -> DataFra
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit = _matrix(batch.column(2), dimensions)
-            for tree in range(TREES):
-                rows, node = forest.value.leaves(tree, unit)
+            unit = _matrix(batch.column(3), dimensions)
+            dealt = [forest.value.leaves(tree, unit) for tree in range(TREES)]
+            rows = np.concatenate([r for r, _ in dealt])
+            codes = np.concatenate([(tree << _TREE_BITS) + node for tree, (_, node) in enumerate(dealt)])
+            order = np.lexsort((codes, rows))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(unit)))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(codes[order]))
+            for tree, (rows, node) in enumerate(dealt):
                 take = pa.array(rows)
-                columns = [pa.array(np.full(len(rows), tree, np.int32)), pa.array(node), *(batch.column(k).take(take) for k in range(3))]
-                yield pa.RecordBatch.from_arrays(columns, ["tree", "node", "id", "label", "vector"])
+                columns = [pa.array(np.full(len(rows), tree, np.int32)), pa.array(node), *(batch.column(k).take(take) for k in range(4)), lists.take(take)]
+                yield pa.RecordBatch.from_arrays(columns, ["tree", "node", "id", "label", "size", "vector", "leaves"])
 
-    kind = classes.schema["label"].dataType.simpleString()
-    placed = classes.select("id", "label", F.col("vector").cast("array<double>").alias("vector"))
-    placed = placed.mapInArrow(place, f"tree int, node long, id long, label {kind}, vector array<double>")
+    label, vector = (classes.schema[c].dataType.simpleString() for c in ("label", "vector"))
+    placed = classes.select("id", "label", "size", "vector")
+    placed = placed.mapInArrow(place, f"tree int, node long, id long, label {label}, size long, vector {vector}, leaves array<long>")
     leaf = ["tree", "node", "label"]
     # Leaves that stay large: one row per block, few for each tree.
-    sizes = placed.drop("vector").groupBy(*leaf).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = placed.groupBy(*leaf).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     sizes = settle(sizes.filter("blocks > 1"), "large-leaves").select(*[F.col(c).alias(f"of_{c}") for c in leaf], "blocks")
     same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in leaf]
     placed = placed.join(sizes, same[0] & same[1] & same[2], "left")
@@ -159,37 +225,52 @@ def near_pairs(classes: DataFrame, dimensions: int, threshold: float) -> DataFra
         F.sequence(F.lit(0), blocks - 1),
         lambda k: F.struct(F.least(own, k).alias("low"), F.greatest(own, k).alias("high"), F.when(own == k, 0).when(own < k, 1).otherwise(2).alias("side")),
     )
-    dealt = placed.select(*leaf, "id", "vector", F.explode(others).alias("at"))
-    dealt = dealt.select(*leaf, "id", "vector", F.col("at.low").alias("low"), F.col("at.high").alias("high"), F.col("at.side").alias("side"))
-    found = dealt.groupBy(*leaf, "low", "high").applyInArrow(_compare(threshold, dimensions), _PAIRS)
-    return found.distinct()
+    carried = [*leaf, "id", "size", "vector", "leaves"]
+    dealt = placed.select(*carried, F.explode(others).alias("at")).select(*carried, "at.low", "at.high", "at.side")
+    return dealt.groupBy(*leaf, "low", "high").applyInArrow(_compare(threshold, dimensions), _LINKS)
+
+
+def _links_of_all(classes: DataFrame, threshold: float) -> DataFrame:
+    """Links of vectors of any lengths; only vectors of one length are compared.
+
+    Lengths up to the same power of two share a forest, the shorter ones filled with zeros.
+    """
+    group = F.ceil(F.log2(F.col("length").cast("double"))).cast("int")
+    lengths = classes.groupBy(group.alias("group")).agg(F.max("length").alias("most")).collect()  # a row per power of two
+    zero = F.lit(0).cast(classes.schema["vector"].dataType.elementType)
+    links = classes.sparkSession.createDataFrame([], _LINKS)
+    for row in lengths:
+        padded = F.concat("vector", F.array_repeat(zero, F.lit(row["most"]) - F.col("length")))
+        own = classes.filter(group == row["group"]).select("id", F.struct("label", "length").alias("label"), padded.alias("vector"), "size")
+        links = links.unionByName(near_links(own, row["most"], threshold))
+    return links
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Per vector: key, n_links, component_id (least key reachable by links) and kept.
 
-    Vectors link when their labels are equal and not null and their cosine is at least the
-    threshold. Null, zero, non-finite vectors, those with null components or of another length than
-    most, and null labels link with nothing. Equal vectors of one label are one class and compared once. Keys are
+    Vectors link when their labels and lengths are equal, the labels not null, and their cosine is
+    at least the threshold. Null, zero, non-finite vectors, those with null components, and null
+    labels link with nothing. Equal vectors of one label are one class and compared once. Keys are
     integers; null keys get no links and a null component and are kept. An empty table gives no rows.
     """
-    own = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{label_col}`").alias("label"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
-    most = own.filter("vector is not null").groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dimensions = most["d"] if most else 1
-    valid = own.filter(_usable(F.col("vector"), dimensions) & F.col("label").isNotNull() & F.col("id").isNotNull())
+    vector = F.col(f"`{vector_col}`")
+    if vectors.schema[vector_col].dataType.elementType != T.FloatType():
+        vector = vector.cast("array<double>")
+    own = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{label_col}`").alias("label"), vector.alias("vector"))
+    usable = F.coalesce(_usable(F.col("vector")), F.lit(False)) & F.col("label").isNotNull() & F.col("id").isNotNull()
+    valid = own.filter(usable)
     classes = valid.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"))
-    classes = settle(classes, "vector-classes")
-    links = settle(near_pairs(classes.select("id", "label", "vector"), dimensions, threshold), "vector-links")
-    sizes = classes.select(F.col("id").alias("of"), "size")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counted = both.join(sizes, F.col("b") == F.col("of")).groupBy("a").agg(F.sum("size").alias("others"))
-    found = components(links, "a", "b").withColumnRenamed("node", "member")
+    classes = settle(classes.withColumn("length", F.size("vector")), "vector-classes")
+    links = settle(_links_of_all(classes, threshold), "vector-links")
+    counted = links.groupBy("a").agg(F.sum("others").alias("others"))
+    found = components(links.filter("a != b").select("a", "b").distinct(), "a", "b").withColumnRenamed("node", "member")
     told = classes.join(counted, F.col("id") == F.col("a"), "left").join(found, F.col("id") == F.col("member"), "left")
     told = told.select("label", "vector", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     # Both sides are plain shuffles, so that Spark can split a class of very many copies.
     told = settle(told, "vector-answers")
     out = valid.join(told, ["label", "vector"]).select("id", "n_links", "component_id")
-    rest = own.filter(~(_usable(F.col("vector"), dimensions) & F.col("label").isNotNull() & F.col("id").isNotNull()) | F.col("vector").isNull())
+    rest = own.filter(~usable)
     out = out.unionByName(rest.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
     return out.select(F.col("id").alias(key), "n_links", "component_id", kept.alias("kept"))

@@ -7,7 +7,7 @@ from kindling.llm import vector_forest as vf
 def brute(rows, threshold=0.98):
     usable = {}
     for k, (i, v, label) in enumerate(rows):
-        if i is None or v is None or label is None or len(v) != 16 or any(x is None or not np.isfinite(x) for x in v) or not any(v):
+        if i is None or v is None or label is None or any(x is None or not np.isfinite(x) for x in v) or not any(v):
             continue
         usable[k] = np.array(v, float) / np.linalg.norm(np.array(v, float))
     n, root = [0] * len(rows), list(range(len(rows)))
@@ -19,7 +19,7 @@ def brute(rows, threshold=0.98):
 
     for a, va in usable.items():
         for b, vb in usable.items():
-            if a != b and rows[a][2] == rows[b][2] and va @ vb >= threshold:
+            if a != b and rows[a][2] == rows[b][2] and len(va) == len(vb) and va @ vb >= threshold:
                 n[a] += 1
                 x, y = find(a), find(b)
                 if rows[x][0] <= rows[y][0]:
@@ -46,6 +46,8 @@ def test_links(spark, monkeypatch, leaf, block):
     rows += [(2000 + i, rows[0][1], 0) for i in range(40)]  # copies
     rows += [(3000, rows[0][1], None), (3001, None, 1), (3002, [0.0] * 16, 1), (3003, [float("nan")] + [1.0] * 15, 1), (3004, [None] + [1.0] * 15, 1)]
     rows += [(3005, [float("inf")] + [1.0] * 15, 1), (3006, [1.0] * 3, 1), (3007, [], 1), (None, rows[0][1], 0), (3008, [x * 2 for x in rows[0][1]], 0)]
+    rows += [(4000, [1.0, 2.0, 3.0], 1), (4001, [1.0, 2.0, 3.02], 1), (4002, [1.0, 2.0, 3.0, 0.0], 1), (4003, [1.0, 2.0, 3.0, 0.01], 1), (4004, [1.0, 2.0, 3.0], 2)]
+    rows += [(4005 + i, [1.0], 1) for i in range(3)] + [(4010, [1.0, 1.0], 1)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, kept string").repartition(4)
     out = vf.near_duplicates(docs).collect()
     assert sorted(repr((r["vec_id"], r["n_links"], r["component_id"], r["kept"])) for r in out) == brute(rows)
@@ -67,6 +69,19 @@ def test_forest_keeps_close_pairs_together():
     assert close.sum() > 500 and met[close].mean() >= 0.999
 
 
+def test_links_leave_tasks_as_counts(spark):
+    """A family of many links gives rows in proportion to its vectors, not to its links."""
+    rng = np.random.default_rng(2)
+    family = rng.standard_normal(16) + rng.standard_normal((600, 16)) * 0.01
+    classes = spark.createDataFrame([(i, 1, v.tolist(), 1) for i, v in enumerate(family)], "id long, label int, vector array<double>, size long")
+    rows = vf.near_links(classes, 16, 0.98).collect()
+    assert len(rows) <= 600 * vf.TREES * 4
+    n = {}
+    for r in rows:
+        n[r["a"]] = n.get(r["a"], 0) + r["others"]
+    assert n == dict.fromkeys(range(600), 599)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vf.near_duplicates(empty).count() == 0
