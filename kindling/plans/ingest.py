@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindling import schemas
-from kindling.cluster import broadcast_if_small, gather, settle
+from kindling.cluster import broadcast_if_small, settle
 from kindling.functions.charset import decode_text
 from kindling.functions.embedder import Embedder
 from kindling.functions.text import normalize_newlines
@@ -39,7 +39,7 @@ def pending_chunks(
     files: DataFrame, ledger: DataFrame, steps: Sequence[Step], fallback_charset: str = "utf-8", author: str = "unknown"
 ) -> DataFrame:
     """Chunk rows of those files the ledger lacks."""
-    new = upsert.pending(fl.content_hash(gather(files)), ledger)
+    new = upsert.pending(fl.content_hash(files), ledger)
     return apply_steps(log_documents(new, fallback_charset, author=author), steps)
 
 
@@ -130,10 +130,10 @@ def ingest_logs(
     version written. ``max_files_per_dir=1`` takes one file per folder. Files above
     ``max_file_bytes`` are read in pieces, with the same result.
     """
-    files = fl.scan_files(spark, logs_dir, max_files_per_dir=max_files_per_dir, max_bytes=max_file_bytes)
     listing = fl.list_files(spark, logs_dir)
     if max_files_per_dir is not None:
         listing = fl.first_per_directory(listing, max_files_per_dir)
+    files = fl.contents_of(spark, logs_dir, listing, max_bytes=max_file_bytes, picked=max_files_per_dir is not None)
     version = publish_fixed(
         files, listing, root, embedder, fallback_charset=fallback_charset, author=author, max_file_bytes=max_file_bytes
     )
@@ -154,8 +154,8 @@ def ingest_directory(
     Unchanged files are skipped and changed ones replaced. Returns the counts of the
     version written.
     """
-    files = fl.scan_files(spark, directory, glob=None, max_bytes=max_file_bytes)
     listing = fl.list_files(spark, directory, glob=None)
+    files = fl.contents_of(spark, directory, listing, glob=None, max_bytes=max_file_bytes)
     version = publish_sentences(
         files, listing, root, embedder, cache_path, fallback_charset=fallback_charset, max_file_bytes=max_file_bytes
     )

@@ -1,12 +1,18 @@
 """File scans, the per-file visitor, and a writer of file trees.
 
-Spark's file listing leaves out files of zero bytes, in batch and in streams alike.
+A tree is listed folder by folder by the tasks and its listing is a table, as Spark's own
+listing holds every file of it in the driver. Spark's listing leaves out files of zero bytes
+and hidden names, in batch and in streams; so does this one. Trees that Arrow cannot
+open, and patterns that only Hadoop knows, are left to Spark.
 """
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
+import re
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
@@ -14,9 +20,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kindling import schemas
-from kindling.cluster import gather
+from kindling.cluster import TASK_BYTES, gather, new_folder
 
 LOG_GLOB = "*.log"
 
@@ -25,6 +33,22 @@ MAX_FILE_BYTES = 1 << 30
 
 _READ_BYTES = 4 << 20
 
+# Contents leave a task in batches of about this size, or one file.
+_BATCH_BYTES = 16 << 20
+
+# A task is given about this many files at most, as opening one takes longer than reading a few KB.
+_TASK_FILES = 4096
+
+_LISTED = T.StructType(
+    [
+        T.StructField("file_path", T.StringType()),
+        T.StructField("file_name", T.StringType()),
+        T.StructField("parent_dir", T.StringType()),
+        T.StructField("modified_ms", T.LongType()),
+        T.StructField("file_size", T.LongType()),
+    ]
+)
+
 
 def _columns(raw: DataFrame, content: bool) -> DataFrame:
     path = F.col("_metadata.file_path")
@@ -46,9 +70,97 @@ def _reader(reader, glob: str | None):
 def list_files(spark: SparkSession, root: str, glob: str | None = LOG_GLOB) -> DataFrame:
     """Files below ``root``: path, name, parent folder, time and size. Contents stay unread.
 
-    ``glob`` matches the file name, case-sensitive; None takes every file.
+    ``glob`` matches the file name, case-sensitive; None takes every file. The listing is
+    written down: it is of the time of the call, and dealt out evenly.
     """
-    return gather(_columns(_reader(spark.read, glob).load(root), content=False))
+    found = _walk_root(spark, root, glob)
+    if found is None:
+        return gather(_columns(_reader(spark.read, glob).load(root), content=False))
+    listed = _walk(spark, *found, glob)
+    size = listed.agg(F.sum("file_size").alias("bytes"), F.count(F.lit(1)).alias("files")).first()
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(cores * 2, -(-(size.bytes or 0) // TASK_BYTES), -(-size.files // _TASK_FILES))
+    dealt = listed.select(
+        "file_path", "file_name", "parent_dir", F.timestamp_millis("modified_ms").alias("modified_at"), "file_size"
+    )
+    return dealt.repartition(int(min(tasks, max(size.files, 1))), "file_path")
+
+
+def _walk_root(spark: SparkSession, root: str, glob: str | None) -> tuple[str, str] | None:
+    """URI and inner path of a folder that tasks can list; None leaves it to Spark."""
+    if re.search(r"[\[\]{}*?\\^]", root) or (glob is not None and re.search(r"[\[\]{}\\^]", glob)):
+        return None
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    local = root.startswith("file:")
+    if not local and "://" not in root and not default.startswith("file:"):
+        return None
+    try:
+        # Spark takes the text of a path as it is, so nothing in it is an escape.
+        system, inner = (fs.LocalFileSystem(), re.sub("^file:(//)?", "", root)) if local else open_filesystem(root)
+        info = system.get_file_info(inner)
+    except (OSError, ValueError, NotImplementedError):
+        return None
+    if info.type != fs.FileType.Directory or not (inner.startswith("/") or "://" in root):
+        return None
+    if isinstance(system, fs.LocalFileSystem):
+        inner = re.sub("/+", "/", inner).rstrip("/")
+        return "file:" + _escaped(inner), inner
+    return root.rstrip("/"), inner.rstrip("/")
+
+
+def _escaped(path: str) -> str:
+    """A path as in the URIs that Spark gives: all but ASCII signs of no meaning and other letters is quoted."""
+    return re.sub(r"[^A-Za-z0-9\-_.!~*'(),;:$&+=/@\u00a1-\U0010ffff]|[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", lambda m: quote(m[0], safe=""), path)
+
+
+def _hidden(name: str, is_folder: bool) -> bool:
+    """Names that Spark's listing leaves out."""
+    if is_folder and name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+
+def _walk(spark: SparkSession, uri: str, inner: str, glob: str | None) -> DataFrame:
+    """All files below a folder, written down level by level; a task lists the folders it is given."""
+    kind = T.StructType([T.StructField("is_folder", T.BooleanType()), *_LISTED.fields])
+    names, base = kind.fieldNames(), len(inner)
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in kind.fields])
+    wanted = re.compile(fnmatch.translate(glob)).match if glob is not None else lambda _name: True
+
+    def children(folder: str) -> Iterator[tuple]:
+        system, _ = open_filesystem(uri)
+        parent = uri + _escaped(folder[base:])
+        for info in system.get_file_info(fs.FileSelector(folder or "/")):
+            name = info.base_name
+            if _hidden(name, info.type == fs.FileType.Directory):
+                continue
+            if info.type == fs.FileType.Directory:
+                yield True, f"{folder}/{name}", name, parent, None, None
+            elif info.type == fs.FileType.File and info.size and wanted(name):
+                yield False, f"{parent}/{_escaped(name)}", _escaped(name), parent, info.mtime_ns // 1_000_000, info.size
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for folder in batch.column("file_path").to_pylist():
+                for row in children(folder):
+                    rows.append(row)
+                    if len(rows) == 8192:
+                        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], arrow)
+                        rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], arrow)
+
+    path, level = new_folder(spark, "listing"), 0
+    folders = spark.createDataFrame([(inner,)], "file_path string")
+    while True:
+        folders.mapInArrow(visit, kind).write.parquet(f"{path}/level={level}")
+        found = spark.read.schema(kind).parquet(f"{path}/level={level}").filter("is_folder")
+        n = found.count()
+        if not n:
+            break
+        folders, level = found.select("file_path").repartition(min(n, spark.sparkContext.defaultParallelism * 4)), level + 1
+    return spark.read.schema(kind).parquet(path).filter("not is_folder").select(*_LISTED.fieldNames())
 
 
 def first_per_directory(listing: DataFrame, n: int) -> DataFrame:
@@ -74,29 +186,52 @@ def scan_files(
     handle them. Without it Spark stops with an error at a file of 2 GB or more.
     With ``max_files_per_dir`` files are chosen from the listing and only those opened.
     """
+    listing = list_files(spark, root, glob)
     if max_files_per_dir is not None:
-        picked = first_per_directory(list_files(spark, root, glob), max_files_per_dir)
-        return read_contents(picked if max_bytes is None else picked.filter(F.col("file_size") <= max_bytes))
-    raw = _reader(spark.read, glob).load(root)
-    if max_bytes is not None:
-        raw = raw.filter(F.col("length") <= max_bytes)
-    return gather(_columns(raw, content=True))
+        listing = first_per_directory(listing, max_files_per_dir)
+    return contents_of(spark, root, listing, glob, max_bytes, picked=max_files_per_dir is not None)
+
+
+def contents_of(
+    spark: SparkSession, root: str, listing: DataFrame, glob: str | None = LOG_GLOB, max_bytes: int | None = None, picked: bool = False
+) -> DataFrame:
+    """A listing of ``root`` with its contents, less files above ``max_bytes``. ``picked``: it has not all files.
+
+    A whole tree that Spark listed is read by Spark, too.
+    """
+    if not picked and _walk_root(spark, root, glob) is None:
+        raw = _reader(spark.read, glob).load(root)
+        return gather(_columns(raw if max_bytes is None else raw.filter(F.col("length") <= max_bytes), content=True))
+    return read_contents(listing if max_bytes is None else listing.filter(F.col("file_size") <= max_bytes))
 
 
 def read_contents(listing: DataFrame) -> DataFrame:
-    """The listed files with their bytes in ``content``, opened by the tasks that hold the names."""
+    """The listed files with their bytes in ``content``, opened by the tasks that hold the names.
 
-    @F.arrow_udf("binary")
-    def content(paths: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in paths:
-            out = []
-            for path in batch.to_pylist():
+    A task holds about ``_BATCH_BYTES`` of them at once, or one file.
+    """
+    kind = T.StructType([*listing.schema.fields, T.StructField("content", T.BinaryType())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, held, size = 0, [], 0
+            for i, path in enumerate(batch.column("file_path").to_pylist()):
                 system, inner = open_filesystem(path)
                 with system.open_input_stream(inner) as stream:
-                    out.append(stream.read())
-            yield pa.array(out, pa.binary())
-
-    return listing.withColumn("content", content("file_path"))
+                    held.append(stream.read())
+                size += len(held[-1])
+                if size >= _BATCH_BYTES:
+                    yield with_content(batch.slice(first, len(held)), held)
+                    first, held, size = i + 1, [], 0
+            if held:
+                yield with_content(batch.slice(first, len(held)), held)
+
+    def with_content(rows: pa.RecordBatch, contents: list[bytes]) -> pa.RecordBatch:
+        column = pa.array(contents, pa.binary())
+        contents.clear()
+        return pa.RecordBatch.from_arrays([*rows.columns, column], names=[*rows.schema.names, "content"])
+
+    return listing.mapInArrow(read, kind)
 
 
 def stream_files(spark: SparkSession, root: str, glob: str | None = LOG_GLOB, max_files_per_trigger: int = 1000) -> DataFrame:

@@ -76,3 +76,36 @@ def test_written_tree_reads_back(spark, tmp_path):
     assert {r.result for r in fl.visit_files(listing, fl.streamed_sha256).collect()} == {
         hashlib.sha256(c).hexdigest() for _, c in rows
     }
+
+
+def test_listing_by_tasks_is_as_sparks(spark, tmp_path):
+    """Names, addresses, times and sizes as of Spark's listing, which a pattern that only Hadoop knows brings back."""
+    root = tmp_path / "odd root%20é"
+    names = ["a.log", "b c.log", "d%41.log", "e#f?.log", "[x].log", "é ü　.log", "q'(1)!~*,;&=+$@.log", '"<>|\\^`{}.log', ".h.log", "_h.log", "_k=1.log", "c.log._COPYING_", "n.txt", "A.LOG", "_metadata.log"]
+    for folder in ("", "sub", "sub/deep er", "_part=1", "_gone", ".gone", "_metadata", "nothing"):
+        (root / folder).mkdir(parents=True, exist_ok=True)
+        for name in names if folder != "nothing" else []:
+            (root / folder / name).write_bytes(f"{folder} {name}".encode())
+    (root / "sub/empty.log").write_bytes(b"")
+    for ours, sparks in ((fl.LOG_GLOB, "{*.log}"), (None, "{*,*}")):
+        for form in (f"{root}", f"file://{root}/"):
+            got, expected = (sorted(map(tuple, fl.list_files(spark, form, glob).collect())) for glob in (ours, sparks))
+            assert got == expected and len(got) > 40
+        got, expected = (sorted(map(tuple, fl.scan_files(spark, str(root), glob, max_bytes=20).collect())) for glob in (ours, sparks))
+        assert got == expected
+
+
+def test_listing_is_not_held_by_the_driver(spark, log_tree):
+    """Spark's own index of files, one object a file, takes no part in listing or scanning a tree."""
+    for files in (fl.list_files(spark, str(log_tree)), fl.scan_files(spark, str(log_tree)), fl.scan_files(spark, str(log_tree), max_files_per_dir=1)):
+        plan = files._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "binaryfile" not in plan and not any(f.endswith(".log") for f in files.inputFiles())
+
+
+def test_contents_are_held_a_batch_at_a_time(spark, tmp_path, monkeypatch):
+    for i in range(40):
+        (tmp_path / f"{i}.log").write_bytes(b"%d" % (i % 10) * (1000 + i))
+    monkeypatch.setattr(fl, "_BATCH_BYTES", 3000)
+    files = fl.read_contents(fl.list_files(spark, str(tmp_path)).coalesce(1))
+    sizes = files.select("file_size", "content").mapInArrow(lambda it: it, "file_size long, content binary")
+    assert all(len(r.content) == r.file_size for r in sizes.collect()) and sizes.count() == 40
