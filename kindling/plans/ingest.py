@@ -36,10 +36,12 @@ def log_documents(
 
 
 def pending_chunks(
-    files: DataFrame, ledger: DataFrame, steps: Sequence[Step], fallback_charset: str = "utf-8", author: str = "unknown"
+    files: DataFrame, ledger: DataFrame | None, steps: Sequence[Step], fallback_charset: str = "utf-8", author: str = "unknown"
 ) -> DataFrame:
-    """Chunk rows of those files the ledger lacks."""
-    new = upsert.pending(fl.content_hash(files), ledger)
+    """Chunk rows of those files the ledger lacks; without a ledger, of all."""
+    new = fl.content_hash(files)
+    if ledger is not None:
+        new = upsert.pending(new, ledger)
     return apply_steps(log_documents(new, fallback_charset, author=author), steps)
 
 
@@ -50,31 +52,34 @@ CutLarge = Callable[[DataFrame], DataFrame]
 def publish_listed(
     files: DataFrame, listing: DataFrame, root: str, steps: Sequence[Step], embed_step: Step, cut_large: CutLarge,
     fallback_charset: str = "utf-8", author: str = "unknown", max_file_bytes: int = fl.MAX_FILE_BYTES,
+    after: store.Snapshot | None = None,
 ) -> int:
     """Process those files the ledger lacks and publish them as a new version.
 
     ``files`` are those of at most ``max_file_bytes``, with contents; larger ones of ``listing``
     are read in pieces, with the same result. ``embed_step`` is what follows the cutting.
+    ``after`` tells what the store holds, if that is known.
     """
     spark = listing.sparkSession
-    ledger = store.read_ledger(spark, root)
+    ledger = after.ledger if after else store.read_ledger(spark, root)
     rows = pending_chunks(files, ledger, [*steps, embed_step], fallback_charset, author)
     above = listing.filter(F.col("file_size") > max_file_bytes)
     if not above.isEmpty():
         names = schemas.STORED_CHUNKS.fieldNames()
         split = pending_large_chunks(above, ledger, cut_large, embed_step, fallback_charset, author)
         rows = rows.select(*names).unionByName(split.select(*names))
-    return store.write_version(spark, root, rows)
+    return store.write_version(spark, root, rows, after)
 
 
 def pending_large_chunks(
-    listing: DataFrame, ledger: DataFrame, cut_large: CutLarge, embed_step: Step, fallback_charset: str, author: str
+    listing: DataFrame, ledger: DataFrame | None, cut_large: CutLarge, embed_step: Step, fallback_charset: str, author: str
 ) -> DataFrame:
     """Chunk rows of those listed files the ledger lacks, for files too large for one row.
 
     One pass over each file tells its hash and encoding; the next ones read it in pieces.
     """
-    new = settle(upsert.pending(chunking.inspected(listing, fallback_charset), ledger), "large")
+    new = chunking.inspected(listing, fallback_charset)
+    new = settle(new if ledger is None else upsert.pending(new, ledger), "large")
     named = documents.with_metadata(new, F.col("file_name"), author=author)
     entries = named.select(F.col("file_path").alias("doc_id"), "content_hash", "file_size", "metadata")
     chunks = cut_large(new.select("file_path", "file_size", "charset"))

@@ -13,13 +13,17 @@ those documents only; the rest of the table is not touched. One writer at a time
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindling import schemas
-from kindling.cluster import broadcast_if_small
+from kindling.cluster import broadcast_if_small, settle
+from kindling.sources.files import open_filesystem
 
 DELETED = "deleted"
 
@@ -80,13 +84,14 @@ def read_chunks(spark: SparkSession, root: str) -> DataFrame:
     return live.select("doc_id", "chunk_idx", "text", "embedding", "metadata")
 
 
-def write_version(spark: SparkSession, root: str, chunks: DataFrame) -> int:
+def write_version(spark: SparkSession, root: str, chunks: DataFrame, after: Snapshot | None = None) -> int:
     """Publish the given documents as a new version, replacing earlier ones; returns it.
 
     ``chunks`` has the columns of ``STORED_CHUNKS`` and all chunks of each document.
-    They are computed once: the ledger is read back from what was written.
+    They are computed once: the ledger is read back from what was written. ``after`` tells
+    what the store holds, so that it is not looked up.
     """
-    version = last_version(spark, root) + 1
+    version = (after.version if after else last_version(spark, root)) + 1
     names = schemas.STORED_CHUNKS.fieldNames()
     chunks.select(*names).write.mode("overwrite").parquet(f"{root}/chunks/version={version}")
     written = spark.read.schema(schemas.STORED_CHUNKS).parquet(f"{root}/chunks/version={version}")
@@ -102,6 +107,7 @@ def write_version(spark: SparkSession, root: str, chunks: DataFrame) -> int:
             F.current_timestamp().alias("processed_at"),
             F.lit("processed").alias("status"),
         ),
+        after,
     )
     return version
 
@@ -121,13 +127,54 @@ def delete_documents(spark: SparkSession, root: str, doc_ids: DataFrame) -> int:
     return version
 
 
-def _commit(spark: SparkSession, root: str, version: int, entries: DataFrame) -> None:
-    known = read_ledger(spark, root).select("file_path")
-    replaced = entries.select("file_path").join(known, "file_path", "left_semi")
-    replaced.select(F.col("file_path").alias("doc_id")).write.mode("overwrite").parquet(f"{root}/stale/version={version}")
+def _commit(spark: SparkSession, root: str, version: int, entries: DataFrame, after: Snapshot | None = None) -> None:
+    stale = f"{root}/stale/version={version}"
+    if not (after and after.ledger is None and _children(stale) == []):
+        known = (after and after.ledger) or read_ledger(spark, root)
+        replaced = entries.select("file_path").join(known.select("file_path"), "file_path", "left_semi")
+        replaced.select(F.col("file_path").alias("doc_id")).write.mode("overwrite").parquet(stale)
     entries.write.mode("overwrite").parquet(f"{root}/ledger/version={version}")
 
 
+def _children(folder: str) -> list[tuple[str, int]] | None:
+    """Names and times of what is in a folder, none if it is missing; None if only Spark can read there."""
+    try:
+        system, inner = open_filesystem(folder)
+        found = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+    except (OSError, ValueError, NotImplementedError):
+        return None
+    return sorted((f.base_name, f.mtime_ns or 0) for f in found)
+
+
+@dataclass
+class Snapshot:
+    """What a store holds: its newest version, and its ledger, or None if that is empty."""
+
+    version: int
+    ledger: DataFrame | None
+
+
+class Writer:
+    """For one that writes many versions of different documents: looks a store up again only after others have written.
+
+    The ledger of ``snapshot`` has no files that were published through this writer since it was taken.
+    """
+
+    def __init__(self, root: str):
+        self.root, self._held, self._marks = root, None, None
+
+    def snapshot(self, spark: SparkSession) -> Snapshot:
+        marks = _children(f"{self.root}/ledger")
+        if self._held is None or marks is None or marks != self._marks:
+            ledger = settle(read_ledger(spark, self.root), "known")
+            self._held = Snapshot(last_version(spark, self.root), None if ledger.isEmpty() else ledger)
+        return self._held
+
+    def wrote(self, version: int) -> None:
+        """To be called after a version was published with the last snapshot."""
+        self._held.version, self._marks = version, _children(f"{self.root}/ledger")
+
+
 def compact_into(spark: SparkSession, root: str, new_root: str) -> int:
     """Copy the live rows to a new, empty store, leaving replaced chunks behind."""
     if last_version(spark, new_root):

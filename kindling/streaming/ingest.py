@@ -9,6 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 from kindling.functions.embedder import Embedder
 from kindling.plans import ingest
 from kindling.sources import files as fl
+from kindling.sources import store
+
+_LOOKUP_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
 def stream_ingest(
@@ -27,14 +30,27 @@ def stream_ingest(
     Each micro-batch is published as one version through the same ledger check as the
     batch job, so a batch repeated after a failure changes nothing. The stream sees
     each path once; rewritten files are picked up by the batch job.
+
+    A micro-batch costs about the same however many came before: as no two hold the same
+    path, they are checked against what the store held when the stream began, or when another
+    writer last changed it. The query runs in a copy of the session.
     """
+    versions = store.Writer(root)
 
     def publish(batch: DataFrame, _batch_id: int) -> None:
-        small = fl.read_contents(batch.filter(F.col("file_size") <= max_file_bytes))
-        ingest.publish_fixed(small, batch, root, embedder, fallback_charset=fallback_charset, max_file_bytes=max_file_bytes)
-
+        # A split holds few files, as each counts as at least 4 MB.
+        listing = batch.coalesce(spark.sparkContext.defaultParallelism)
+        small = fl.read_contents(listing.filter(F.col("file_size") <= max_file_bytes))
+        held = versions.snapshot(batch.sparkSession)
+        options = {"fallback_charset": fallback_charset, "max_file_bytes": max_file_bytes, "after": held}
+        versions.wrote(ingest.publish_fixed(small, listing, root, embedder, **options))
+
+    # Each trigger looks its files up by path, one path a task unless fewer tasks are asked for. The source takes
+    # that setting from the session it was made in, so this one is a copy.
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set(_LOOKUP_TASKS, str(min(int(spark.conf.get(_LOOKUP_TASKS)), spark.sparkContext.defaultParallelism)))
     writer = (
-        fl.stream_files(spark, logs_dir, max_files_per_trigger=max_files_per_trigger)
+        fl.stream_files(own, logs_dir, max_files_per_trigger=max_files_per_trigger)
         .writeStream.foreachBatch(publish)
         .option("checkpointLocation", checkpoint)
     )

@@ -291,3 +291,30 @@ def test_fields(spark):
     assert sorted(r.id for r in fields.lines_of_vms(df, vms).collect()) == [0, 1]
     js = spark.createDataFrame([('{"k": 3, "s": "t"}',), ("broken",)], "j string")
     assert [(r.k, r.s) for r in fields.json_fields(js, "j", {"k": "int", "s": "string"}).collect()] == [(3, "t"), (None, None)]
+
+
+def test_stream_looks_the_store_up_once(spark, log_tree, tmp_path, monkeypatch):
+    """The work of a micro-batch does not grow with the versions before it."""
+    root, seen = str(tmp_path / "store"), []
+    read = store.read_ledger
+    monkeypatch.setattr(store, "read_ledger", lambda *a: seen.append(a) or read(*a))
+    stream_ingest(spark, str(log_tree), root, EMBEDDER, str(tmp_path / "c"), max_files_per_trigger=2).awaitTermination()
+    assert len(seen) == 1 and snapshot(spark, root) == expected(log_tree)
+    assert store.last_version(spark, root) > 2
+    # Another stream over the same files: all are known.
+    version = store.last_version(spark, root)
+    stream_ingest(spark, str(log_tree), root, EMBEDDER, str(tmp_path / "d"), max_files_per_trigger=4).awaitTermination()
+    assert store.last_version(spark, root) == version and snapshot(spark, root) == expected(log_tree)
+
+
+def test_writer_sees_what_others_wrote(spark, log_tree, tmp_path):
+    root = str(tmp_path / "store")
+    writer = store.Writer(root)
+    assert writer.snapshot(spark).version == 0 and writer.snapshot(spark).ledger is None
+    ingest.ingest_logs(spark, str(log_tree), root, EMBEDDER)
+    held = writer.snapshot(spark)
+    assert held.version == 1 and held.ledger.count() == store.read_ledger(spark, root).count()
+    writer.wrote(store.write_version(spark, root, store.read_stored(spark, root).drop("version").limit(1), held))
+    assert writer.snapshot(spark) is held and held.version == 2
+    store.delete_documents(spark, root, store.read_chunks(spark, root).select("doc_id").distinct())
+    assert writer.snapshot(spark).version == 3 and writer.snapshot(spark).ledger is None
