@@ -79,6 +79,35 @@ def hybrid_search(
     )
 
 
+class _Holders:
+    """Which rows of a string column hold a phrase: one search of the bytes of all rows, not one a row."""
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.cast(pa.large_string())
+        first = texts.offset
+        self.starts = np.frombuffer(texts.buffers()[1], np.int64)[first : first + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        self.data = texts.buffers()[2].to_pybytes() if len(texts) and texts.buffers()[2] is not None else b""
+        self.valid = texts.is_valid().to_numpy(zero_copy_only=False)
+        self.longest = int(np.diff(self.starts).max(initial=0))
+
+    def rows(self, phrase: str) -> np.ndarray:
+        wanted = phrase.encode()
+        if not wanted:
+            return np.flatnonzero(self.valid)
+        found: list[int] = []
+        if len(wanted) <= self.longest:
+            at, end = self.data.find(wanted, self.starts[0]), int(self.starts[-1])
+            while 0 <= at and at + len(wanted) <= end:
+                row = int(np.searchsorted(self.starts, at, side="right")) - 1
+                stop = int(self.starts[row + 1])
+                if at + len(wanted) <= stop:
+                    found.append(row)
+                    at = self.data.find(wanted, stop)
+                else:  # it lies across two rows
+                    at = self.data.find(wanted, at + 1)
+        return np.array(found, dtype=np.int64)
+
+
 def hybrid_search_batch(
     chunks: DataFrame,
     queries: DataFrame,
@@ -121,25 +150,37 @@ def hybrid_search_batch(
                 rows = knn._matrix(table.column("_v").filter(pa.array(present)))
                 if len(rows) and len(matrix) and rows.shape[1] != matrix.shape[1]:
                     raise ValueError(vx.WRONG_LENGTH)
-                distance = np.full(table.num_rows, np.nan)
-                for j, phrase in enumerate(phrases):
-                    hit = pc.fill_null(pc.match_substring(texts, phrase), False).to_numpy(zero_copy_only=False)
-                    if len(rows):
-                        gaps = ((rows - matrix[j]) ** 2).sum(1)
-                        distance[spots] = gaps
-                    if hit.any():
-                        found = np.flatnonzero(hit)
-                        exact = distance[found]
-                        own = np.isin(found, spots)
-                        exact[own] = knn._exact("l2", rows[np.searchsorted(spots, found[own])], matrix[j])
-                        keep(j, True, plain.take(pa.array(found)), exact)
-                    rest = np.flatnonzero(present & ~hit)
-                    if len(rest) > ks[j]:
-                        # Rounding can reorder only what is this close to the k-th.
-                        edge = np.partition(distance[rest], ks[j] - 1)[ks[j] - 1]
-                        rest = rest[distance[rest] <= edge + 1e-9 * (1 + abs(edge))]
-                    if len(rest):
-                        keep(j, False, plain.take(pa.array(rest)), knn._exact("l2", rows[np.searchsorted(spots, rest)], matrix[j]))
+                holds = _Holders(texts)
+                for lo in range(0, len(phrases), knn._SLAB):
+                    # Distances of all pairs, roughly, by a matrix product; those that may count are computed exactly.
+                    keys, slack = knn._rough_keys("l2", rows, matrix[lo : lo + knn._SLAB]) if len(rows) else (None, None)
+                    for j in range(lo, min(lo + knn._SLAB, len(phrases))):
+                        found = holds.rows(phrases[j])
+                        if len(found):
+                            exact = np.full(len(found), np.nan)
+                            own = present[found]
+                            exact[own] = knn._exact("l2", rows[np.searchsorted(spots, found[own])], matrix[j])
+                            keep(j, True, plain.take(pa.array(found)), exact)
+                        if not len(rows):
+                            continue
+                        gaps, near = keys[j - lo], 2 * slack[j - lo]
+                        if not np.isfinite(gaps).all():
+                            gaps = ((rows - matrix[j]) ** 2).sum(1)
+                            near = 1e-9 * (1 + np.abs(gaps[np.isfinite(gaps)]).max(initial=0.0))
+                        others = np.ones(len(rows), bool)
+                        if len(found):
+                            others[np.searchsorted(spots, found[own])] = False
+                        known = best.get((j, False))
+                        edge = known.column("distance")[-1].as_py() if known is not None and len(known) == ks[j] else None
+                        if edge is not None:
+                            rest = np.flatnonzero(others & (gaps <= edge + near))
+                        else:
+                            rest = np.flatnonzero(others)
+                        if len(rest) > ks[j]:
+                            # Rounding can reorder only what is this close to the k-th.
+                            rest = rest[gaps[rest] <= np.partition(gaps[rest], ks[j] - 1)[ks[j] - 1] + near]
+                        if len(rest):
+                            keep(j, False, plain.take(pa.array(spots[rest])), knn._exact("l2", rows[rest], matrix[j]))
             for (j, exact), rows in best.items():
                 n = len(rows)
                 columns = [pa.array([names[j].as_py()] * n, names.type), pa.array([ks[j]] * n), *(rows.column(c) for c in [*position, "text"])]

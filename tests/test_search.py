@@ -83,3 +83,18 @@ def test_render_lines_and_prompt(spark):
     hits = spark.createDataFrame([(0, 2, "b", "second"), (0, 1, "a", "first")], "query_id long, rank int, doc_id string, text string")
     assert documents.prompt_context(hits).first().context == "first\n\nsecond"
     assert {r.line for r in documents.hit_lines(hits).collect()} == {"a: first", "b: second"}
+
+
+def test_phrases_are_found_in_the_bytes_of_all_rows():
+    """Also with nulls, empty rows, a slice, a blank phrase, and phrases that lie across two rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        rows = [None if rng.random() < 0.2 else "".join(rng.choice(list("ab é"), rng.integers(0, 12))) for _ in range(30)]
+        column = pa.array([*rows, "ab"], pa.string())[3:30]
+        holds = search._Holders(column)
+        for phrase in ("", "a", "ab", "é", "b é", "aab", "abababababababab", "zz"):
+            assert holds.rows(phrase).tolist() == [i for i, t in enumerate(rows[3:30]) if t is not None and phrase in t]
+    assert search._Holders(pa.array([], pa.string())).rows("a").tolist() == []
