@@ -12,6 +12,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -103,7 +104,10 @@ def _boundary(path: str, nominal: int) -> int | None:
 
 
 def ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Byte ranges of ``file_path, file_size, charset``: with ``start``, ``stop`` and ``at``, the characters before."""
+    """Byte ranges of ``file_path, file_size, charset``: with ``start``, ``stop`` and ``at``, the characters before.
+
+    A file of one range is not read for it: its ``chars`` are null.
+    """
     nominal = F.when(F.col("charset") == "utf-8", F.sequence(F.lit(0).cast("long"), F.greatest(F.col("file_size") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
     places = files.select("file_path", "file_size", "charset", F.explode(F.coalesce(nominal, F.array(F.lit(0).cast("long")))).alias("nominal"))
 
@@ -115,8 +119,9 @@ def ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
 
     def counts(batches):
         for batch in batches:
-            rows = zip(batch["file_path"], batch["charset"], batch["start"], batch["stop"], strict=True)
-            batch["chars"] = [sum(map(len, _texts(p, c, int(a), int(b)))) for p, c, a, b in rows]
+            rows = zip(batch["file_path"], batch["charset"], batch["start"], batch["stop"], batch["file_size"], strict=True)
+            batch["chars"] = [None if a == 0 and b == n else sum(map(len, _texts(p, c, int(a), int(b)))) for p, c, a, b, n in rows]
+            batch["chars"] = batch["chars"].astype("Int64")
             yield batch
 
     kind = "file_path string, file_size long, charset string, start long"
@@ -130,9 +135,9 @@ def ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     return counted.withColumn("at", before)
 
 
-def _windows(path: str, charset: str, start: int, at: int, chars: int, size: int, stride: int) -> Iterator[tuple[int, str]]:
-    """Windows that start among ``chars`` characters from character ``at``, which is byte ``start``."""
-    i, end = -(-at // stride), at + chars
+def _windows(path: str, charset: str, start: int, at: int, chars: int | None, size: int, stride: int) -> Iterator[tuple[int, str]]:
+    """Windows that start among ``chars`` characters, or all, from character ``at``, which is byte ``start``."""
+    i, end = -(-at // stride), float("inf") if chars is None else at + chars
     if i * stride >= end:
         return
     text, base = "", at
@@ -145,7 +150,7 @@ def _windows(path: str, charset: str, start: int, at: int, chars: int, size: int
             return
         cut = max(0, i * stride - base)
         text, base = text[cut:], base + min(cut, len(text))
-    while i * stride < end:
+    while i * stride < min(end, base + len(text)):
         yield i, text[i * stride - base : i * stride - base + size]
         i += 1
 
@@ -155,23 +160,30 @@ def window_rows(found: DataFrame, size: int, overlap: int, keep_empty: bool = Fa
 
     With ``keep_empty`` a file without text gives one row of nulls.
     """
-    import pandas as pd
-
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
         for batch in batches:
-            for path, charset, start, at, chars in zip(*(batch[c] for c in ("file_path", "charset", "start", "at", "chars")), strict=True):
-                rows = []
-                for i, text in _windows(path, charset, int(start), int(at), int(chars), size, size - overlap):
+            for path, charset, start, at, chars in zip(*(batch.column(c).to_pylist() for c in ("file_path", "charset", "start", "at", "chars")), strict=True):
+                any_row = False
+                for i, text in _windows(path, charset, start, at, chars, size, size - overlap):
                     rows.append((path, i, text))
-                    if len(rows) == 4096:
-                        yield pd.DataFrame(rows, columns=["doc_id", "chunk_idx", "text"])
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "chunk_idx", "text"])
+                    any_row, held = True, held + len(text)
+                    if len(rows) == 4096 or held >= PIECE_BYTES:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+                if keep_empty and chars is None and not any_row:
+                    rows.append((path, None, None))
+        if rows:
+            yield batch_of(rows)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        paths, places, texts = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(places, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "chunk_idx", "text"])
 
     cores = found.sparkSession.sparkContext.defaultParallelism
     dealt = found.repartition(cores * 4, "file_path", "start")
-    out = dealt.mapInPandas(run, "doc_id string, chunk_idx int, text string")
+    out = dealt.mapInArrow(run, "doc_id string, chunk_idx int, text string")
     if not keep_empty:
         return out
     textless = found.groupBy("file_path").agg(F.sum("chars").alias("n")).filter("n = 0")

@@ -163,3 +163,16 @@ def test_streamed_sentences_as_the_column_form(spark):
         for cut in (1, 7, 1000):
             pieces = iter([text[k : k + cut] for k in range(0, len(text), cut)])
             assert list(large._sentence_chunks(large._units(pieces, 12), 12, 4)) == want, (i, cut)
+
+
+def test_only_files_of_several_ranges_are_counted(spark, tmp_path):
+    texts = {"small.log": "small é. " * 50, "large.log": "large é. " * 400, "mark.log": "﻿"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    listed = [(str(tmp_path / n), (tmp_path / n).stat().st_size, "utf-8") for n in texts]
+    told = spark.createDataFrame(listed, "file_path string, file_size long, charset string")
+    found = large.ranges(told, 1000)
+    assert {r.file_path.rsplit("/", 1)[1] for r in found.filter("chars is null").collect()} == {"small.log", "mark.log"}
+    got = sorted((r.doc_id.rsplit("/", 1)[1], r.chunk_idx, r.text) for r in large.window_rows(found, 300, 20, keep_empty=True).collect())
+    cut = [(n, i, texts[n][s : s + 300]) for n in ("large.log", "small.log") for i, s in enumerate(range(0, len(texts[n]), 280))]
+    assert got == sorted([*cut, ("mark.log", None, None)])
