@@ -56,9 +56,13 @@ def l2_squared(vec: Column | str, other) -> Column:
 
 def _unrolled_l2(name: str, values: Sequence[float]) -> Column:
     """The sum written out. Each difference occurs twice, so code generation puts it into
-    a method of its own, which keeps the main method small."""
-    gaps = [f"(get(`{name}`, {i}) - {float(v)!r}D)" for i, v in enumerate(values)]
-    return _of_length(F.col(name), len(values), F.expr(" + ".join(f"{g} * {g}" for g in gaps)))
+    a method of its own, which keeps the main method small. It does so only for what every
+    row computes: the length is checked in the vector, as a condition around the sum would
+    put all of it into one method, too large for the JIT compiler."""
+    wrong = f"`{name}` is not null and size(`{name}`) <> {len(values)}"
+    checked = f"if({wrong}, cast(raise_error('{WRONG_LENGTH}') as array<float>), `{name}`)"
+    gaps = [f"(get({checked}, {i}) - {float(v)!r}D)" for i, v in enumerate(values)]
+    return F.expr(" + ".join(f"{g} * {g}" for g in gaps))
 
 
 def l1(vec: Column, other) -> Column:

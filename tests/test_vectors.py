@@ -1,9 +1,11 @@
+import hashlib
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kindling.functions import embedder
 from kindling.functions import vectors as vx
 from kindling.functions.text import regex_literal
 
@@ -70,3 +72,24 @@ def test_regex_literal(spark):
     for text in ("a.b*c", "x\\Ey", "(["):
         df = spark.createDataFrame([(f"..{text}..",), ("other",)], "t string")
         assert df.filter(F.regexp_like("t", F.lit(regex_literal(text)))).count() == 1
+
+
+def test_distance_to_a_constant_stays_within_methods_that_the_jit_compiles(spark):
+    df = spark.createDataFrame([([float(i) for i in range(64)],), (None,)], "a array<float>")
+    out = df.select(vx.l2_squared("a", [0.5] * 64).alias("x"))
+    stages = out._jdf.queryExecution().debug().codegenToSeq()
+    # HotSpot interprets methods above 8000 bytes.
+    assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+    assert [r.x for r in out.collect()] == [sum((i - 0.5) ** 2 for i in range(64)), None]
+
+
+def test_word_counts_do_not_depend_on_how_texts_are_grouped(monkeypatch):
+    texts = ["", "b7 cK_a A,É1", "x " * 9, "..."]
+    whole = embedder.hashed_words(8).load()(texts)
+    monkeypatch.setattr(embedder, "_SLOTS", 2)
+    assert (embedder.hashed_words(8).load()(texts) == whole).all()
+    words = [["b7", "ck", "a", "a", "1"], ["x"] * 9]
+    for row, own in zip((1, 2), words):
+        counts = np.bincount([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 8 for w in own], minlength=8)
+        assert np.allclose(whole[row], counts / np.sqrt((counts * counts).sum()))
+    assert not whole[0].any() and not whole[3].any()
