@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from kindling.llm.worker_memory import Recent, remembered, tidy
 
 # Encoded words that a worker remembers, at about 200 bytes each.
-MEMORY = 300_000
-# Characters of texts that are encoded together, and different pieces merged in one queue.
-ROWS, CHARACTERS = 128, 3_000_000
-PIECES = 40_000
+MEMORY = 1_200_000
+# Characters of texts that are encoded together, and different pieces merged in one queue. A queue
+# costs a step for every rank that occurs in it, so one for many texts is cheaper than many.
+ROWS, CHARACTERS = 128, 9_000_000
+PIECES = 150_000
 # Beside it no part has a pair: keys with it are negative.
 NO_PART = -(1 << 42)
 # Marks that the shortcut for plain words looks for behind them.

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -96,3 +97,16 @@ def test_tables(spark, reference):
     assert told[1, want]["n_tokens"] == 5
     assert told[1, want]["decoded_sha256"] == hashlib.sha256(b"Hello there, world.").hexdigest()
     assert byte_bpe.round_trip(docs.limit(0), PATH, PATTERN).count() == 0
+
+
+def test_many_texts_share_one_queue(encoder, reference, monkeypatch):
+    column = pa.array(["ab cd" * 200] * 6_000 + [None])
+    # A queue costs a step for every rank in it, however few texts it serves.
+    assert [len(some) for some in byte_bpe._texts(column)] == [6_001]
+    made = random.Random(5)
+    texts = ["".join(made.choices("abcdé ,\n", k=made.randrange(60))) for _ in range(300)]
+    expected = [reference.encode_ordinary(t) for t in texts]
+    for pieces in (7, byte_bpe.PIECES):
+        monkeypatch.setattr(byte_bpe, "PIECES", pieces)
+        own = byte_bpe.Encoder(encoder.ranks, PATTERN)
+        assert [np.frombuffer(b, own.dtype).tolist() for b in own.encode_all(texts)] == expected
