@@ -56,8 +56,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids as little-endian unsigned 32-bit integers, in place of its text."""
     ship(spark)
-    out = byte_bpe.tokenize(docs, BYTE_BPE, public_tokenizers.PATTERN)
-    return out.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long")).drop("text")
+    # Replaced, so that the text is not sent back from Python.
+    out = byte_bpe.tokenize(docs, BYTE_BPE, public_tokenizers.PATTERN, output="text")
+    out = out.select(*(c for c in docs.columns if c != "text"), F.col("text").alias("ids"))
+    return out.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
 STAGES = [

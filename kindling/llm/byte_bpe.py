@@ -17,18 +17,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from kindling.llm.word_values import join_values, listed, some_texts
 from kindling.llm.worker_memory import Recent, remembered, tidy
 
 # Encoded words that a worker remembers, at about 200 bytes each.
 MEMORY = 1_200_000
 # Characters of texts that are encoded together, and different pieces merged in one queue. A queue
 # costs a step for every rank that occurs in it, so one for many texts is cheaper than many.
-ROWS, CHARACTERS = 128, 9_000_000
+CHARACTERS = 9_000_000
 PIECES = 150_000
+# Where ids are kept, workers have less room: words remembered, and characters of texts whose ids leave together.
+FEW, OUT = 150_000, 2_000_000
+# Neighbours looked up at a time.
+_STEP = 1 << 16
 # Beside it no part has a pair: keys with it are negative.
 NO_PART = -(1 << 42)
 # Marks that the shortcut for plain words looks for behind them.
@@ -42,7 +49,7 @@ _BIT = [1 << i for i in range(256)]
 # White space as the pattern's \s sees it: fixed values of Unicode's White_Space.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _RUN = re.compile(f"[{_SPACE}]{{2}}")
-_UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_BETWEEN = re.compile(f" (?<=[^{_SPACE}] )(?=[^{_SPACE}])")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,7 +60,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     """Encodes and decodes by a table of merge ranks, each match of ``pattern`` separately."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int | None = None) -> None:
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.size = max(ranks.values()) + 1
@@ -77,7 +84,8 @@ class Encoder:
         self.single = [ranks.get(bytes([b])) for b in range(256)]
         self.singles = np.array([NO_PART if r is None else r for r in self.single], np.int64)
         # Words after one space, and whole pieces of the pattern.
-        self.units, self.pieces = Recent(MEMORY * 2 // 3), Recent(MEMORY // 3)
+        memory = memory or MEMORY
+        self.units, self.pieces = Recent(memory * 2 // 3), Recent(memory // 3)
         # Whether the pattern takes a space with Latin letters as one piece and marks behind as another.
         sample = " " + string.ascii_letters
         self.plain_words = self.pattern.findall(sample) == [sample] and self.pattern.findall(f" a{_MARKS}") == [" a", _MARKS]
@@ -176,9 +184,12 @@ class Encoder:
 
     def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each two neighbours' union; the size of the table where they have none."""
-        keys = left * self.size + right
-        at = np.searchsorted(self.pair_keys, keys)
-        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], self.size)
+        out = np.empty(len(left), np.int32)
+        for start in range(0, len(left), _STEP):
+            keys = left[start : start + _STEP] * self.size + right[start : start + _STEP]
+            at = np.searchsorted(self.pair_keys, keys)
+            out[start : start + _STEP] = np.where(self.pair_keys[at] == keys, self.pair_ranks[at], self.size)
+        return out
 
     def merge_all(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of many pre-tokens as bytes, in one rank queue over all of their lists.
@@ -198,7 +209,7 @@ class Encoder:
         parts = np.append(self.singles[np.frombuffer(b"".join([pieces[i] for i in open_pieces]), np.uint8)], NO_PART)
         after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[ends - 1], before[0], before[ends[:-1]] = n, n, n
-        waiting = self._ranks_of(parts, parts[after.clip(max=n)]).astype(np.int32)
+        waiting = self._ranks_of(parts, parts[after.clip(max=n)])
         waiting[n] = size
         alive = np.ones(n + 1, bool)
         buckets: dict[int, list[np.ndarray]] = {}
@@ -289,7 +300,7 @@ class Encoder:
                     self.pieces.put(p, ids)
         return found
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
         """The ids of a space and a word, for words that the recent units do not hold."""
         found, plain, marked, others = {}, [], [], {}
         older = self.units.before.get
@@ -321,44 +332,39 @@ class Encoder:
         self.units.put_all({w: ids for w, ids in found.items() if len(w) < 100})
         return found
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of texts as little-endian integers of ``dtype``.
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of a space and a word, for different words."""
+        found = list(map(self.units.now.get, words))
+        new = self._learn([w for w, ids in zip(words, found, strict=True) if ids is None])
+        return [new[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+
+    def encode_all(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """The ids of texts as little-endian integers of ``dtype``; null is empty.
 
-        No match of the pattern reaches beyond the units a text is cut into here. Without
-        runs of white space these are its words, each with the space before it.
+        No match of the pattern reaches over a space between two characters that are not
+        white space. Texts are cut there; all but the first part of each have that space before them.
         """
-        cut: list[tuple[list[str], list, dict[int, list[str]]]] = []
-        missing: set[str] = set()
-        pieces: set[str] = set()
-        known = self.units.now.get
-        for text in texts:
-            # Places of units that are not a word behind one space, with the pieces of each.
-            others: dict[int, list[str]] = {}
-            if _RUN.search(text):
-                units = _UNIT.findall(text)
-                for place, unit in enumerate(units):
-                    if unit[0] == " " and len(unit) > 1 and unit[1] > " ":
-                        units[place] = unit[1:]
-                    else:
-                        others[place] = self.pattern.findall(unit)
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        has_runs = pc.match_substring_regex(column, _RUN.pattern)
+        out: list[bytes] = [b""] * len(column)
+        for mask in (pc.invert(has_runs), has_runs):
+            some = column.filter(mask)
+            if not len(some):
+                continue
+            if mask is has_runs:
+                words, sizes = [], [0]
+                for text in some:
+                    parts = _BETWEEN.split(text.as_py())
+                    words.append(pa.array(parts, column.type))
+                    sizes.append(len(parts))
+                words, offsets = pa.concat_arrays(words), np.cumsum(sizes)
             else:
-                units = text.split(" ")
-                others[0] = self.pattern.findall(units[0])
-            ids = list(map(known, units))
-            for place, own in others.items():
-                pieces.update(own)
-                ids[place] = b""
-            if None in ids:
-                missing.update([w for w, b in zip(units, ids, strict=True) if b is None])
-            cut.append((units, ids, others))
-        ids_of, new = self._learn_pieces(pieces), self._learn(missing)
-        out = []
-        for units, ids, others in cut:
-            if None in ids:
-                ids = [new[w] if b is None else b for w, b in zip(units, ids, strict=True)]
-            for place, own in others.items():
-                ids[place] = b"".join([ids_of[p] for p in own])
-            out.append(b"".join(ids))
+                words, offsets = listed(pc.split_pattern(some, " "))
+            own = [self.pattern.findall(first) for first in words.take(pa.array(offsets[:-1])).to_pylist()]
+            ids_of = self._learn_pieces({p for pieces in own for p in pieces})
+            rest = join_values(words, offsets, self._word_ids, skip=1)
+            for k, pieces, ids in zip(np.flatnonzero(mask.to_numpy(zero_copy_only=False)).tolist(), own, rest, strict=True):
+                out[k] = b"".join([*(ids_of[p] for p in pieces), ids])
         return out
 
     def encode(self, text: str) -> bytes:
@@ -368,22 +374,17 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-def _encoder(path: str, pattern: str) -> Encoder:
-    return remembered(("byte_bpe", path, pattern), lambda: Encoder(read_ranks(path), pattern))
+def _encoder(path: str, pattern: str, memory: int | None = None) -> Encoder:
+    return remembered(("byte_bpe", path, pattern, memory), lambda: Encoder(read_ranks(path), pattern, memory))
 
 
-def _texts(column: pa.Array) -> Iterator[list[str]]:
-    """Texts in lists of about ``CHARACTERS``; null is empty."""
-    held, size = [], 0
-    for at in range(0, len(column), ROWS):
-        for text in column.slice(at, ROWS).to_pylist():
-            held.append(text or "")
-            size += len(held[-1])
-            if size >= CHARACTERS:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+def _texts(column: pa.Array) -> Iterator[pa.Array]:
+    """Texts in slices of about ``CHARACTERS``."""
+    return some_texts(column, CHARACTERS)
+
+
+def _wide_ids(encoder: Encoder, column: pa.Array) -> pa.Array:
+    return pa.array([np.frombuffer(b, encoder.dtype).astype("<u4").tobytes() for b in encoder.encode_all(column)], pa.binary())
 
 
 def encode(text: Column, ranks_path: str, pattern: str) -> Column:
@@ -391,10 +392,9 @@ def encode(text: Column, ranks_path: str, pattern: str) -> Column:
 
     @F.arrow_udf("binary")
     def ids(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _encoder(ranks_path, pattern)
+        encoder = _encoder(ranks_path, pattern, FEW)
         for batch in column:
-            yield pa.array([np.frombuffer(b, encoder.dtype).astype("<u4").tobytes() for some in _texts(batch) for b in encoder.encode_all(some)], pa.binary())
-            del batch
+            yield pa.concat_arrays([pa.array([], pa.binary()), *(_wide_ids(encoder, some) for some in some_texts(batch, OUT))])
             tidy()
 
     return ids(text)
@@ -405,7 +405,7 @@ def decode(ids: Column, ranks_path: str, pattern: str) -> Column:
 
     @F.arrow_udf("binary")
     def texts(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _encoder(ranks_path, pattern)
+        encoder = _encoder(ranks_path, pattern, FEW)
         for batch in column:
             yield pa.array([encoder.decode(np.frombuffer(b or b"", "<u4")) for b in batch.to_pylist()], pa.binary())
 
@@ -417,7 +417,23 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "te
 
     Every row stays; an input column of that name is replaced.
     """
-    return docs.withColumn(output, encode(F.col(f"`{text_col}`"), ranks_path, pattern))
+    kept = [c for c in docs.columns if c.lower() != output.lower()]
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(ranks_path, pattern, FEW)
+        for batch in batches:
+            at = 0
+            # Ids leave slice by slice: those of a whole batch, with the copies on their way, take more room than its texts.
+            for some in some_texts(batch.column(0), OUT):
+                rows = batch.slice(at, len(some))
+                yield pa.RecordBatch.from_arrays([*rows.columns[1:], _wide_ids(encoder, some)], [*kept, output])
+                at += len(some)
+            tidy()
+
+    chosen = docs.select(F.col(f"`{text_col}`").alias("__text"), *(F.col(f"`{c}`") for c in kept))
+    out = chosen.mapInArrow(ids, T.StructType([*(docs.schema[c] for c in kept), T.StructField(output, T.BinaryType())]))
+    # In the place of a column that is replaced, else last.
+    return out.select(*(F.col(f"`{c}`") if c in kept else F.col(f"`{output}`") for c in docs.columns), *([f"`{output}`"] if len(kept) == len(docs.columns) else []))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text_col: str = "text") -> DataFrame:

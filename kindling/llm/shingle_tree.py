@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from kindling.cluster import broadcast_if_small, settle
 from kindling.llm.components import components
 from kindling.llm.sizes import table_bytes
+from kindling.llm.worker_memory import forget, tidy
 
 SHINGLE = 5
 PERCENT = 75  # texts link when 100 * intersection >= PERCENT * union
@@ -235,6 +236,7 @@ def _sizes_and_cells(size: int):
     """Per text: key, set size, digest; at a task's end, how many shingles fell into each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         cells = np.zeros(CELLS, np.int64)
         for batch in batches:
             n, digests = [], []
@@ -297,6 +299,7 @@ def _deal_first_shingles(levels, size: int, buckets: int):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(5)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         keys, sizes, firsts, held = [], [], [], 0
         for batch in batches:
             for key, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), size), strict=True):
@@ -337,11 +340,19 @@ def _repeated(buckets: int):
     return run
 
 
+# Sets that leave a worker together.
+_TOGETHER = 1000
+
+
 def _points(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1).to_pylist(), size))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "own"])
+            for at in range(0, len(batch), _TOGETHER):
+                some = batch.slice(at, _TOGETHER)
+                sets = list(shingle_sets(some.column(1).to_pylist(), size))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "own"])
+            tidy()
 
     return run
 

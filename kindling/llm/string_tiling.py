@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindling.llm.worker_memory import forget
+
 SEED = 5
 COVERAGE = 0.5
 # Test items sent to the tasks at a time; more are taken in further passes over the documents.
@@ -166,10 +168,11 @@ def find_leaks(
         shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            forget()
             table = Items(*shared.value, seed)
             n_words = dict(zip(table.ids, map(len, table.words), strict=True))
             for batch in batches:
-                rows = [(i, *m) for i, text in enumerate(batch.column(1).to_pylist()) for m in table.matches(text, coverage)]
+                rows = [(i, *m) for i, text in enumerate(batch.column(1)) for m in table.matches(text.as_py(), coverage)]
                 at, item, covered, tiles = ([r[k] for r in rows] for k in range(4))
                 columns = [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in (item, [n_words[k] for k in item], covered, tiles))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc", "item", "n_words", "n_covered", "n_tiles"])

@@ -22,6 +22,13 @@ def tidy() -> None:
         pass
 
 
+def forget() -> None:
+    """Drop what is held; for operators that hold nothing themselves."""
+    if _held:
+        _held.clear()
+        tidy()
+
+
 def remembered(name: Hashable, make: Callable[[], Any]) -> Any:
     """What ``make`` made under this name in this worker; whatever else was held is dropped first.
 
@@ -29,8 +36,7 @@ def remembered(name: Hashable, make: Callable[[], Any]) -> Any:
     """
     found = _held.get(name)
     if found is None:
-        _held.clear()
-        tidy()
+        forget()
         found = _held[name] = make()
     return found
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
-from kindling.llm import byte_bpe
+from kindling.llm import byte_bpe, worker_memory
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -110,3 +110,33 @@ def test_many_texts_share_one_queue(encoder, reference, monkeypatch):
         monkeypatch.setattr(byte_bpe, "PIECES", pieces)
         own = byte_bpe.Encoder(encoder.ranks, PATTERN)
         assert [np.frombuffer(b, own.dtype).tolist() for b in own.encode_all(texts)] == expected
+
+
+def test_ids_leave_in_small_batches(spark, reference, monkeypatch):
+    """As many ids as texts' bytes may come out of a batch; they do not wait for each other in the worker."""
+    monkeypatch.setattr(byte_bpe, "OUT", 50)
+    rows = [(i, None if i % 7 == 3 else f"text {i} of some words\n\n and  more {'x' * i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for output, columns in (("ids", ["doc_id", "text", "ids"]), ("text", ["doc_id", "text"])):
+        out = byte_bpe.tokenize(docs, PATH, PATTERN, output=output)
+        assert out.columns == columns
+        got = {r["doc_id"]: np.frombuffer(r[output], "<u4").tolist() for r in out.collect()}
+        assert got == {i: reference.encode_ordinary(t or "") for i, t in rows}
+    column = pa.array([t for _, t in rows])
+    slices = list(byte_bpe.some_texts(column, byte_bpe.OUT))
+    assert pa.concat_arrays(slices).equals(column) and max(map(len, slices)) <= 3
+
+
+def test_where_ids_are_kept_fewer_words_are_remembered():
+    own = byte_bpe._encoder(PATH, PATTERN, byte_bpe.FEW)
+    assert own.units.room + own.pieces.room <= byte_bpe.FEW // 2 + 1 and byte_bpe.FEW < byte_bpe.MEMORY // 4
+    worker_memory.forget()
+
+
+def test_forget_drops_what_is_held():
+    worker_memory.remembered("large", lambda: bytearray(10))
+    worker_memory.forget()
+    made = []
+    worker_memory.remembered("large", lambda: made.append(1) or made)
+    assert made == [1]
+    worker_memory.forget()
