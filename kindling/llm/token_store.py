@@ -27,11 +27,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindling.cluster import scan_bytes
+from kindling.llm.word_values import join_values, listed, some_texts
 from kindling.llm.worker_memory import Recent, remembered
 
 LANES = 64
@@ -271,32 +273,43 @@ class WordEncoder:
         spelled = [w if w.isascii() else w.encode().decode("latin-1").translate(of_bytes) for w in words]
         return [array(self._code, [t.id for t in tokens(w)]).tobytes() for w in spelled]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of texts; the words that are not known yet are learned together."""
-        cut: list[tuple[list[str] | None, list | bytes]] = []
-        missing: set[str] = set()
-        get = self.known.now.get
-        for text in texts:
-            if not text:
-                cut.append((None, b""))
-            elif self._is_odd(text):
-                cut.append((None, self._ids([text])[0]))
-            else:
-                words = self._folded(text).split()
-                found = list(map(get, words))
-                if None in found:
-                    missing.update([w for w, b in zip(words, found, strict=True) if b is None])
-                cut.append((words, found))
-        new = self._learn(missing)
-        out = []
-        for words, found in cut:
-            if words is not None:
-                if None in found:
-                    found = [new[w] if b is None else b for w, b in zip(words, found, strict=True)]
-                found = b"".join(found)
-            out.append(found)
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Ids of texts; null is empty. Different words are looked up once, unknown ones learned together."""
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        # Texts that Arrow folds and cuts like the tokenizer; the others are looked at one by one.
+        special = pc.match_substring_regex(column, _CONTROLS.pattern)
+        if self._added:
+            special = pc.or_(special, pc.match_substring(column, self._start))
+        special = pc.or_(special, pc.match_substring_regex(column, _BEYOND_LATIN))
+        usual = column.filter(pc.invert(special))
+        out: list[bytes] = [b""] * len(column)
+        found = join_values(*listed(pc.utf8_split_whitespace(pc.utf8_lower(usual))), self._word_ids) if len(usual) else []
+        special = special.to_numpy(zero_copy_only=False)
+        for k, ids in zip(np.flatnonzero(~special).tolist(), found, strict=True):
+            out[k] = ids
+        if special.any():
+            places, words, sizes = [], [], [0]
+            for k in np.flatnonzero(special).tolist():
+                text = column[k].as_py()
+                if self._is_odd(text):
+                    out[k] = self._ids([text])[0]
+                else:
+                    places.append(k)
+                    own = self._folded(text).split()
+                    words.append(pa.array(own, column.type))
+                    sizes.append(len(own))
+            if places:
+                found = join_values(pa.concat_arrays(words), np.cumsum(sizes), self._word_ids)
+                for k, ids in zip(places, found, strict=True):
+                    out[k] = ids
         return out
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of different words; an empty one has none."""
+        found = list(map(self.known.now.get, words))
+        new = self._learn([w for w, ids in zip(words, found, strict=True) if ids is None])
+        return [new[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+
     def _is_odd(self, text: str) -> bool:
         if _CONTROLS.search(text):
             return True
@@ -305,7 +318,7 @@ class WordEncoder:
         lower = text.lower()
         return any(t in lower for t in self._added)
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words not known yet: those of the letters and those of the marks after them."""
         out, plain, marked, others, older = {}, [], [], [], self.known.before.get
         for word in words:
@@ -322,10 +335,10 @@ class WordEncoder:
                     others.append(word)
         out.update(zip(plain, self._letters_ids(plain), strict=True))
         now = self.known.now.get
-        for word, letters in marked:
-            if letters not in out:
-                ids = now(letters) or older(letters)
-                out[letters] = self._letters_ids([letters])[0] if ids is None else ids
+        bare = {letters: now(letters) or older(letters) for _, letters in marked if letters not in out}
+        unknown = [letters for letters, ids in bare.items() if ids is None]
+        out |= bare
+        out.update(zip(unknown, self._letters_ids(unknown), strict=True))
         marks = self.marks
         for word, letters in marked:
             behind = word[len(letters) :]
@@ -358,11 +371,12 @@ for _byte in range(256):
         _BYTE_LETTERS[_byte] = 256 + len(_BYTE_LETTERS)
 _LAST_LATIN = "\u017f"
 # Texts that are folded and cut together.
-_CHARACTERS = 6_000_000
+_CHARACTERS = 12_000_000
 
 # Control characters that only Python takes for white space.
 _CONTROLS = re.compile("[\x1c-\x1f\x85]")
 # Letters here are composed already, and every version of Unicode lowers them alike but for the dotted capital I.
+_BEYOND_LATIN = "[^\x00-\u012f\u0131-\u017f\u2010-\u201f\u2026\u20ac]"
 _LATIN = re.compile("[\x00-\u012f\u0131-\u017f\u2010-\u201f\u2026\u20ac]*\\Z")
 
 
@@ -370,26 +384,13 @@ def _encoder(path: str) -> WordEncoder:
     return remembered(("token_store", path), lambda: WordEncoder(path))
 
 
-def _some_texts(column: pa.Array) -> Iterator[list[str | None]]:
-    held, size = [], 0
-    for at in range(0, len(column), 256):
-        for text in column.slice(at, 256).to_pylist():
-            held.append(text)
-            size += len(text or "")
-            if size >= _CHARACTERS:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
 def _write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, key: str, text_col: str, path: str) -> None:
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         end = np.array([end_id], encoder.dtype).tobytes()
         width = encoder.dtype.itemsize
         for batch in batches:
-            found = [b + end for some in _some_texts(batch.column(1)) for b in encoder.encode(some)]
+            found = [b + end for some in some_texts(batch.column(1), _CHARACTERS) for b in encoder.encode(some)]
             columns = [batch.column(0), pa.array([width] * len(found), pa.int32()), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "width", "ids"])
 
@@ -400,11 +401,17 @@ def _write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, key: str, text
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1, np.int64)
     for batch in batches:
-        for width, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            more = np.bincount(np.frombuffer(ids.as_buffer(), f"<u{width}"))
-            if len(more) > len(counts):
-                counts = np.pad(counts, (0, len(more) - len(counts)))
-            counts[: len(more)] += more
+        # Many documents at once, as each count is an array as long as the vocabulary.
+        for at in range(0, len(batch), 256):
+            some = batch.slice(at, 256)
+            by_width: dict[int, list[pa.Buffer]] = {}
+            for width, ids in zip(some.column(0).to_pylist(), some.column(1), strict=True):
+                by_width.setdefault(width, []).append(ids.as_buffer())
+            for width, own in by_width.items():
+                more = np.bincount(np.frombuffer(b"".join(own), f"<u{width}"))
+                if len(more) > len(counts):
+                    counts = np.pad(counts, (0, len(more) - len(counts)))
+                counts[: len(more)] += more
     used = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["id", "n"])
 

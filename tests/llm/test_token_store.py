@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -96,3 +97,34 @@ def test_empty_store(spark):
     path = new_folder(spark, "store-test")
     ts.write_store(spark.createDataFrame([], "doc_id long, text string"), PATH, path)
     assert ts.read_documents(spark, path).count() == 0
+
+
+def test_texts_are_cut_and_folded_as_by_the_library():
+    """Every character that Arrow handles, between words and at the ends, beside nulls and other texts."""
+    encoder, fresh = ts.WordEncoder(PATH, memory=300), Tokenizer.from_file(PATH)
+    chars = [chr(c) for c in [*range(0x250), *range(0x2000, 0x2070), 0x20AC, 0x3000]]
+    texts = [None, "", " ", *chars, *(f"Ab{c}Cd e" for c in chars), *(f"{c} x{c}" for c in chars), "Same same SAME", "ΑΣ Same", None]
+    want = [e.ids for e in fresh.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for got in (encoder.encode(texts), [encoder.encode([t])[0] for t in texts]):
+        assert [np.frombuffer(b, encoder.dtype).tolist() for b in got] == want
+
+
+def test_a_word_is_looked_up_once_for_many_texts(monkeypatch):
+    encoder, asked = ts.WordEncoder(PATH), []
+    known = encoder._word_ids
+    monkeypatch.setattr(encoder, "_word_ids", lambda words: asked.extend(words) or known(words))
+    texts = ["the house, the river", "The river the house,"] * 50
+    encoder.encode(texts)
+    assert sorted(asked) == ["house,", "river", "the"]
+
+
+def test_counts_of_many_documents(monkeypatch):
+    rng, counted = np.random.default_rng(8), []
+    own = [(w, rng.integers(0, 60_000, n).astype(f"<u{w}")) for w, n in [(2, 5), (4, 300), (2, 1)] * 300]
+    batch = pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.int32()), pa.array([x.tobytes() for _, x in own], pa.binary())], ["width", "ids"])
+    bincount = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x: counted.append(len(x)) or bincount(x))
+    (got,) = ts._token_counts(iter([batch, batch.slice(0, 0)]))
+    ids, n = np.unique(np.concatenate([x.astype("<u4") for _, x in own]), return_counts=True)
+    assert got.column(0).to_pylist() == ids.tolist() and got.column(1).to_pylist() == n.tolist()
+    assert len(counted) < 10
