@@ -19,25 +19,31 @@ following the pointers; nothing is renamed or sorted recursively.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindling.cluster import broadcast_if_small, settle
 from kindling.llm.sizes import table_bytes
+from kindling.llm.worker_memory import tidy
 
 LENGTH = 200
 GRAM = 32
 # Offsets from an anchor in one cell.
 CELL = 24
-# Different cells of one core that are sorted in one task; of more, every string is hashed.
+# Cells of one core that go to one task as they are; of more, equal ones are counted first, and if more
+# different ones than this are left, every string is hashed.
 GROUP = 4096
 # Symbols for one suffix array, and bytes of documents for one bucket of anchors.
 SORT_SYMBOLS = 1 << 19
 BUCKET_BYTES = 8 << 20
+# Rows of texts that a worker has open at once.
+SLICE = 512
 _CHUNK = 1 << 19
 
 # --- suffix arrays ---------------------------------------------------------------
@@ -249,7 +255,7 @@ def _deal(buckets: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, parts, held = [], [], 0
-        for batch in batches:
+        for batch in _slices(batches):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = contexts(np.frombuffer(text, np.uint8), length)
                 if not len(found[0]):
@@ -297,6 +303,26 @@ def _classify(buckets: int):
     return run
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time: what a worker makes of a text takes more memory than the text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+    tidy()  # for the stages after this one
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts, in the last column, compressed and with their length: shuffles of texts are most of what is written."""
+    for batch in _slices(batches):
+        texts = batch.column(batch.num_columns - 1).to_pylist()
+        packed = pa.array([pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed, pa.array([len(t) for t in texts], pa.int64())], [*batch.schema.names, "size"])
+
+
+def _unpack(packed: bytes, size: int) -> bytes:
+    return pa.decompress(packed, size, "zstd", asbytes=True) if size else b""
+
+
 _CELLS = "core binary, before binary, after binary, key long, first long, n int"
 
 
@@ -304,9 +330,10 @@ def _cut(length: int, cell: int):
     """The cells of every context that has to be compared: digest of core, bytes before and after."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
-            for key, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for key, packed, size, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = _unpack(packed, size)
                 for s in own:
                     at = s["first"] + s["place"]
                     for low in range((at - s["last"]) // cell * cell, s["place"] + 1, cell):
@@ -339,23 +366,40 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _sort_group(cell: int):
+    """Runs of repeated strings of the cells of a task, which has all cells of its cores."""
+
     def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by("core")
+        part = part.sort_by("core").combine_chunks()
+        ids = pc.rank(part["core"], tiebreaker="min").to_numpy().astype(np.int64)
+        alone = np.bincount(ids)[ids] == 1
+        part = part.filter(pa.array(~alone))  # nothing to compare with
         cores, before, after = (part[n].to_pylist() for n in ("core", "before", "after"))
-        keys, firsts, copies = (part[n].to_pylist() for n in ("key", "first", "copies"))
-        texts, core, cuts, held = [], -1, [0], 0
-        for i in range(len(cores)):
-            if not i or cores[i] != cores[i - 1]:
-                core += 1
-                if held >= SORT_SYMBOLS:  # whole groups together until there is enough for one suffix array
-                    cuts.append(i)
-                    held = 0
-            texts.append(_symbols(before[i], core, after[i]))
-            held += len(texts[-1])
-        rows = []
+        keys, firsts, ns, copies = (part[n].to_pylist() for n in ("key", "first", "n", "copies"))
+        texts, owners, core, cuts, held, rows = [], [], 0, [0], 0, []
+        bounds = [i for i in range(len(cores) + 1) if i in (0, len(cores)) or cores[i] != cores[i - 1]]
+        for low, high in itertools.pairwise(bounds):
+            classes: dict[tuple[bytes, bytes], list[int]] = {}
+            for i in range(low, high):
+                classes.setdefault((before[i], after[i]), []).append(i)
+            several = [len(own) > 1 or copies[own[0]] > 1 for own in classes.values()]
+            for own in classes.values():
+                if len(own) > 1:  # repeated altogether
+                    rows += [(keys[i], firsts[i], firsts[i] + ns[i] - 1) for i in own]
+            if len(classes) == 1 or all(several):
+                continue
+            for own, repeated in zip(classes.values(), several, strict=True):
+                texts.append(_symbols(before[own[0]], core, after[own[0]]))
+                owners.append(-1 if repeated else own[0])
+                held += len(texts[-1])
+            core += 1
+            if held >= SORT_SYMBOLS:  # whole groups together until there is enough for one suffix array
+                cuts.append(len(texts))
+                held = 0
         for a, b in zip(cuts, [*cuts[1:], len(texts)], strict=True):
-            for i, starts in enumerate(repeated_starts(texts[a:b], cell), a):
-                if copies[i] == 1:
+            if a == b:
+                continue
+            for i, starts in zip(owners[a:b], repeated_starts(texts[a:b], cell), strict=True):
+                if i >= 0:
                     rows += [(keys[i], firsts[i] + x, firsts[i] + y) for x, y in _runs(starts)]
         return pa.table({n: pa.array([r[k] for r in rows], pa.int64()) for k, n in enumerate(("key", "first", "last"))})
 
@@ -391,38 +435,51 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     done = told.filter(F.col("kind") != _OPEN).select("key", "first", "last")
 
     open_ones = told.filter(F.col("kind") != _REPEATED).groupBy("key").agg(F.collect_set(F.struct("first", "last", "anchor", "place")).alias("own"))
-    open_ones = settle(open_ones.withColumnRenamed("key", "of"), "open-contexts")
-    chosen = binary.join(broadcast_if_small(open_ones), F.col("key") == F.col("of")).select("key", "text", "own")
-    cells = chosen.mapInArrow(_cut(length, CELL), _CELLS)
+    # Not broadcast while small: what is shuffled should follow the input at every size.
+    packed = binary.mapInArrow(_pack, "key long, text binary, size long")
+    chosen = packed.join(open_ones.withColumnRenamed("key", "of"), F.col("key") == F.col("of")).select("key", "text", "size", "own")
     # Rows that are equal throughout share a key: their contexts are repeated and none of them is open twice.
-    cells = settle(cells.withColumn("whole", F.xxhash64("core", "before", "after", "n")), "cells")
+    cells = settle(chosen.mapInArrow(_cut(length, CELL), _CELLS), "cells")
+    tasks = max(sc.defaultParallelism, int(table_bytes(cells) // (SORT_SYMBOLS * 2)))
+
+    def sort_groups(rows: DataFrame) -> DataFrame:
+        dealt = rows.select("core", "before", "after", "key", "first", "n", "copies", F.pmod(F.xxhash64("core"), F.lit(tasks)).alias("task"))
+        return dealt.groupBy("task").applyInArrow(_sort_group(CELL), "key long, first long, last long")
+
+    # At most one core in GROUP cells is crowded, so that all others are dealt out at once.
+    crowded = settle(cells.groupBy("core").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > GROUP).select("core"), "crowded-cores")
+    crowded = broadcast_if_small(crowded)
+    found = sort_groups(cells.join(crowded, "core", "left_anti").withColumn("copies", F.lit(1)))
+    return done.unionByName(found).unionByName(_crowded_spans(cells.join(crowded, "core", "left_semi"), sort_groups))
+
+
+def _crowded_spans(cells: DataFrame, sort_groups: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Spans in cells of cores that have too many for one task: equal cells are counted by a shuffle."""
+    cells = settle(cells.withColumn("whole", F.xxhash64("core", "before", "after", "n")), "crowded-cells")
     same = ["core", "whole"]
-    classes = cells.groupBy(*same).agg(*[F.min(c).alias(c) for c in ("before", "after", "key", "first", "n")], F.count(F.lit(1)).alias("copies"))
-    classes = settle(classes, "cell-classes")
+    classes = cells.groupBy(*same).agg(*[F.min(c).alias(c) for c in ("before", "after", "n")], F.min(F.struct("key", "first")).alias("at"), F.count(F.lit(1)).alias("copies"))
+    classes = settle(classes.select(*same, "before", "after", "at.key", "at.first", "n", "copies"), "cell-classes")
     # Cells with a copy are repeated altogether.
     copied = settle(classes.filter("copies > 1").select(*same), "copied-cells")
     whole = cells.join(copied, same, "left_semi").select("key", "first", (F.col("first") + F.col("n") - 1).alias("last"))
 
     groups = classes.groupBy("core").agg(F.count(F.lit(1)).alias("classes"), F.min("copies").alias("least"))
     groups = settle(groups.filter("classes > 1 and least = 1").select("core", "classes"), "cell-groups")
-    tasks = max(sc.defaultParallelism, int(table_bytes(classes) // (SORT_SYMBOLS * 2)))
-    small = classes.join(groups.filter(F.col("classes") <= GROUP).select("core"), "core").withColumn("task", F.pmod(F.xxhash64("core"), F.lit(tasks)))
-    sorted_ones = small.groupBy("task").applyInArrow(_sort_group(CELL), "key long, first long, last long")
-
-    large = classes.join(groups.filter(F.col("classes") > GROUP).select("core"), "core", "left_semi")
-    strings = settle(large.mapInArrow(_every_string(CELL), "key long, at long, digest binary"), "strings")
+    mixed = settle(classes.join(groups, "core"), "mixed-classes")
+    sorted_ones = sort_groups(mixed.filter(F.col("classes") <= GROUP))
+    strings = settle(mixed.filter(F.col("classes") > GROUP).mapInArrow(_every_string(CELL), "key long, at long, digest binary"), "strings")
     several = settle(strings.groupBy("digest").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("digest"), "repeated-strings")
     hashed = strings.join(several, "digest", "left_semi").select("key", F.col("at").alias("first"), F.col("at").alias("last"))
-    return done.unionByName(whole).unionByName(sorted_ones).unionByName(hashed)
+    return whole.unionByName(sorted_ones).unionByName(hashed)
 
 
 def _keep(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, spans = batch.column("__text").to_pylist(), batch.column("__spans").to_pylist()
+        for batch in _slices(batches):
+            ids, texts, sizes, spans = batch.columns
             kept, removed, runs = [], [], []
-            for text, own in zip(texts, spans, strict=True):
-                text = text or b""
+            for packed, size, own in zip(texts.to_pylist(), sizes.to_pylist(), spans.to_pylist(), strict=True):
+                text = _unpack(packed, size)
                 gone, pieces, at, count = 0, [], 0, 0
                 end = -1
                 for first, last in sorted((s["first"], s["last"] + length) for s in own or ()):
@@ -441,10 +498,8 @@ def _keep(length: int):
                 kept.append(b"".join(pieces))
                 removed.append(gone)
                 runs.append(count)
-            columns = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("__text", "__spans")]
-            names = [n for n in batch.schema.names if n not in ("__text", "__spans")]
-            columns += [pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "n_bytes", "n_removed", "n_spans", "kept"])
+            columns = [ids, sizes, pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
@@ -463,7 +518,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("key", F.xxhash64("id", "text"))
     spans = repeated_spans(rows.select("key", "text"), length)
     spans = spans.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("__spans")).withColumnRenamed("key", "of")
-    joined = rows.join(spans, F.col("key") == F.col("of"), "left").select("id", F.col("text").cast("binary").alias("__text"), "__spans")
     kind = docs.schema[key].dataType.simpleString()
+    packed = rows.select("id", "key", F.col("text").cast("binary").alias("text")).mapInArrow(_pack, f"id {kind}, key long, text binary, size long")
+    joined = packed.join(spans, F.col("key") == F.col("of"), "left").select("id", "text", "size", "__spans")
     out = joined.mapInArrow(_keep(length), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id", key)

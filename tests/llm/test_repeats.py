@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as some
@@ -70,3 +71,34 @@ def test_stretches_of_long_texts(monkeypatch):
 
 def test_empty_table(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("group", [1, 10])
+def test_crowded_cores(spark, monkeypatch, group):
+    """Copies of a cell are at one place each, also where every string is hashed."""
+    monkeypatch.setattr(repeats, "GROUP", group)
+    for seed in (3, 5):
+        rows = made(random.Random(seed))
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        out = repeats.remove_repeats(docs).collect()
+        assert sorted(repr((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]))) for r in out) == brute(rows)
+
+
+def test_cells_are_written_once(spark, monkeypatch):
+    """Bytes of cells are settled once, not again by class; texts are compressed before they are shuffled."""
+    settled = []
+    settle = repeats.settle
+    monkeypatch.setattr(repeats, "settle", lambda df, name: settled.append((name, settle(df, name))) or settled[-1][1])
+    words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    rng = random.Random(6)
+    passage = " ".join(rng.choice(words) for _ in range(80))
+    rows = [(i, " ".join(rng.choice(words) for _ in range(50 + i)) + passage + " ".join(rng.choice(words) for _ in range(90))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = repeats.remove_repeats(docs)
+    cells = {name: df.count() for name, df in settled if "before" in df.columns}
+    assert cells["cells"] > 0
+    assert sum(cells.values()) == cells["cells"]
+    packed = [pa.RecordBatch.from_pydict({"key": [1, 2], "text": [rows[0][1].encode(), b""]})]
+    (batch,) = repeats._pack(iter(packed))
+    assert [repeats._unpack(t, n) for t, n in zip(batch["text"].to_pylist(), batch["size"].to_pylist(), strict=True)] == packed[0]["text"].to_pylist()
+    assert len(batch["text"][0].as_py()) * 2 < len(rows[0][1])
