@@ -48,27 +48,31 @@ def pending_chunks(
 # How files too large for one row are cut: from rows ``file_path, file_size, charset`` to chunks.
 CutLarge = Callable[[DataFrame], DataFrame]
 
+# What becomes of the chunks: from session, store, rows and what the store holds.
+Write = Callable[[SparkSession, str, DataFrame, store.Snapshot | None], int | str]
+
 
 def publish_listed(
     files: DataFrame, listing: DataFrame, root: str, steps: Sequence[Step], embed_step: Step, cut_large: CutLarge,
     fallback_charset: str = "utf-8", author: str = "unknown", max_file_bytes: int = fl.MAX_FILE_BYTES,
-    after: store.Snapshot | None = None,
-) -> int:
+    after: store.Snapshot | None = None, largest: int | None = None, write: Write = store.write_version,
+) -> int | str:
     """Process those files the ledger lacks and publish them as a new version.
 
     ``files`` are those of at most ``max_file_bytes``, with contents; larger ones of ``listing``
     are read in pieces, with the same result. ``embed_step`` is what follows the cutting.
-    ``after`` tells what the store holds, if that is known.
+    ``after`` tells what the store holds, and ``largest`` a size that no file of ``listing`` exceeds, if that is known.
+    Returns what ``write`` does, which is given the rows: the version.
     """
     spark = listing.sparkSession
     ledger = after.ledger if after else store.read_ledger(spark, root)
     rows = pending_chunks(files, ledger, [*steps, embed_step], fallback_charset, author)
     above = listing.filter(F.col("file_size") > max_file_bytes)
-    if not above.isEmpty():
+    if (largest is None or largest > max_file_bytes) and not above.isEmpty():
         names = schemas.STORED_CHUNKS.fieldNames()
         split = pending_large_chunks(above, ledger, cut_large, embed_step, fallback_charset, author)
         rows = rows.select(*names).unionByName(split.select(*names))
-    return store.write_version(spark, root, rows, after)
+    return write(spark, root, rows, after)
 
 
 def pending_large_chunks(
@@ -86,7 +90,7 @@ def pending_large_chunks(
     return chunks.transform(embed_step).join(broadcast_if_small(entries), "doc_id")
 
 
-def publish_fixed(files: DataFrame, listing: DataFrame, root: str, embedder: Embedder, **options) -> int:
+def publish_fixed(files: DataFrame, listing: DataFrame, root: str, embedder: Embedder, **options) -> int | str:
     """Character windows and their vectors."""
     size, overlap = chunking.CHUNK_SIZE, chunking.CHUNK_OVERLAP
     return publish_listed(

@@ -12,6 +12,7 @@ import fnmatch
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from urllib.parse import quote
 
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from kindling import schemas
-from kindling.cluster import TASK_BYTES, gather, new_folder
+from kindling.cluster import TASK_BYTES, gather, hadoop_path, new_folder, settle
 
 LOG_GLOB = "*.log"
 
@@ -240,6 +241,69 @@ def stream_files(spark: SparkSession, root: str, glob: str | None = LOG_GLOB, ma
     return _columns(reader.schema(schemas.FILES).load(root), content=False)
 
 
+def can_stream_listing(spark: SparkSession, root: str, checkpoint: str, glob: str | None = LOG_GLOB) -> bool:
+    """Whether ``stream_listing`` can list the tree and no other source has begun at the checkpoint."""
+    (begun, system), (listing, _) = (hadoop_path(spark, f"{checkpoint}/{name}") for name in ("sources", "listing"))
+    return _walk_root(spark, root, glob) is not None and (system.exists(listing) or not system.exists(begun))
+
+
+@dataclass
+class ListingStream:
+    """A stream of a written listing: each row names the file it is listed in, and a file is a micro-batch.
+
+    They come in this order if nothing is amiss.
+    """
+
+    rows: DataFrame
+    schema: T.StructType
+    folder: str
+    order: list[str]
+    largest: int
+    tasks: int
+
+    def batch(self, spark: SparkSession, name: str) -> DataFrame:
+        """The paths of one micro-batch, dealt out to as many tasks as keep the cores busy."""
+        listing = spark.read.schema(self.schema).parquet(f"{self.folder}/{name}")
+        return listing if self.tasks == 1 else listing.repartition(self.tasks, "file_path")
+
+
+def stream_listing(
+    spark: SparkSession, root: str, checkpoint: str, max_files_per_trigger: int = 1000, glob: str | None = LOG_GLOB
+) -> ListingStream:
+    """What lies below ``root`` now as a stream, of files that hold ``max_files_per_trigger`` paths at most.
+
+    The listing is kept at ``checkpoint``, older files first; each call adds the paths that it lacks. Only
+    its file names are held by the driver.
+    """
+    folder = f"{checkpoint}/listing"
+    at, system = hadoop_path(spark, folder)
+    system.mkdirs(at)
+    earlier = {s.getPath().getName() for s in system.listStatus(at)}
+    now = list_files(spark, root, glob)
+    held = spark.read.schema(now.schema).parquet(folder)
+    new = settle(now.join(held.select("file_path"), "file_path", "left_anti").select(*now.columns), "new-files")
+    size = new.agg(F.count(F.lit(1)).alias("files"), F.sum("file_size").alias("bytes")).first()
+    # A write of no rows would leave a file, and that would make a micro-batch.
+    if size.files:
+        ordered = new.sort("modified_at", "file_path")
+        ordered.write.mode("append").option("maxRecordsPerFile", max_files_per_trigger).parquet(folder)
+    # Spark takes files by time, and tasks have written them side by side.
+    found = sorted((s for s in system.listStatus(at) if s.getPath().getName().endswith(".parquet")), key=lambda s: s.getPath().getName())
+    start = max((s.getModificationTime() for s in found), default=0)
+    for i, status in enumerate(s for s in found if s.getPath().getName() not in earlier):
+        system.setTimes(status.getPath(), start + 1 + i, -1)
+    times = [(s.getModificationTime(), s.getPath().getName()) for s in system.listStatus(at)]
+    order = [name for _, name in sorted(times) if name.endswith(".parquet")]
+    cores = spark.sparkContext.defaultParallelism
+    batches = max(len(order) - len(earlier), 1)
+    tasks = max(-(-(size.bytes or 0) // (batches * TASK_BYTES)), -(-cores // batches))
+    # Read anew, as a table read before does not see files added since.
+    largest = spark.read.schema(now.schema).parquet(folder).agg(F.max("file_size").alias("n")).first().n or 0
+    rows = spark.readStream.schema(now.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    rows = rows.select(F.col("_metadata.file_name").alias("listed_in"))
+    return ListingStream(rows, now.schema, folder, order, largest, min(tasks, max_files_per_trigger))
+
+
 def content_hash(files: DataFrame) -> DataFrame:
     """Add ``content_hash``: hex SHA-256 of the raw bytes."""
     return files.withColumn("content_hash", F.sha2("content", 256))

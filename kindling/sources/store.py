@@ -13,6 +13,7 @@ those documents only; the rest of the table is not touched. One writer at a time
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyarrow import fs
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindling import schemas
-from kindling.cluster import broadcast_if_small, settle
+from kindling.cluster import TASK_BYTES, broadcast_if_small, hadoop_path, scan_bytes, settle
 from kindling.sources.files import open_filesystem
 
 DELETED = "deleted"
@@ -92,23 +93,54 @@ def write_version(spark: SparkSession, root: str, chunks: DataFrame, after: Snap
     what the store holds, so that it is not looked up.
     """
     version = (after.version if after else last_version(spark, root)) + 1
-    names = schemas.STORED_CHUNKS.fieldNames()
-    chunks.select(*names).write.mode("overwrite").parquet(f"{root}/chunks/version={version}")
-    written = spark.read.schema(schemas.STORED_CHUNKS).parquet(f"{root}/chunks/version={version}")
-    entries = written.select("doc_id", "content_hash", "file_size").distinct()
-    _commit(
-        spark,
-        root,
-        version,
-        entries.select(
+    _commit(spark, root, version, _write_chunks(spark, chunks, f"{root}/chunks/version={version}"), after)
+    return version
+
+
+def _write_chunks(spark: SparkSession, chunks: DataFrame, path: str, few: bool = False) -> DataFrame:
+    """Write chunks and return the ledger's rows for them; ``few``: of a micro-batch."""
+    chunks.select(*schemas.STORED_CHUNKS.fieldNames()).write.mode("overwrite").parquet(path)
+    written = spark.read.schema(schemas.STORED_CHUNKS).parquet(path)
+    if few and scan_bytes(written) <= TASK_BYTES:
+        written = written.coalesce(1)  # one task tells the files apart without a shuffle
+    return (
+        written.select("doc_id", "content_hash", "file_size")
+        .distinct()
+        .select(
             F.col("doc_id").alias("file_path"),
             "content_hash",
             "file_size",
             F.current_timestamp().alias("processed_at"),
             F.lit("processed").alias("status"),
-        ),
-        after,
+        )
     )
+
+
+def prepare_version(spark: SparkSession, root: str, chunks: DataFrame, after: Snapshot) -> str:
+    """Write all that ``write_version`` would, but to a folder of its own in the store, which no reader looks at.
+
+    ``publish_prepared`` makes it a version. Many may be prepared at once.
+    """
+    folder = f"{root}/prepared/{uuid.uuid4().hex}"
+    entries = _write_chunks(spark, chunks, f"{folder}/chunks", few=True)
+    if after.ledger is not None:
+        _replaced(entries, after.ledger).write.parquet(f"{folder}/stale")
+    entries.write.parquet(f"{folder}/ledger")
+    return folder
+
+
+def publish_prepared(spark: SparkSession, root: str, folder: str, after: Snapshot) -> int:
+    """Make what was prepared against the ledger of ``after`` the next version: folders are renamed, the ledger's last."""
+    version = after.version + 1
+    for name in ("chunks", "stale", "ledger"):
+        made, system = hadoop_path(spark, f"{folder}/{name}")
+        target, _ = hadoop_path(spark, f"{root}/{name}/version={version}")
+        system.delete(target, True)  # of a version that was never finished
+        if name != "stale" or after.ledger is not None:
+            system.mkdirs(target.getParent())
+            if not system.rename(made, target):
+                raise OSError(f"cannot rename {made} to {target}")
+    system.delete(hadoop_path(spark, folder)[0], True)
     return version
 
 
@@ -131,11 +163,15 @@ def _commit(spark: SparkSession, root: str, version: int, entries: DataFrame, af
     stale = f"{root}/stale/version={version}"
     if not (after and after.ledger is None and _children(stale) == []):
         known = (after and after.ledger) or read_ledger(spark, root)
-        replaced = entries.select("file_path").join(known.select("file_path"), "file_path", "left_semi")
-        replaced.select(F.col("file_path").alias("doc_id")).write.mode("overwrite").parquet(stale)
+        _replaced(entries, known).write.mode("overwrite").parquet(stale)
     entries.write.mode("overwrite").parquet(f"{root}/ledger/version={version}")
 
 
+def _replaced(entries: DataFrame, known: DataFrame) -> DataFrame:
+    replaced = entries.select("file_path").join(known.select("file_path"), "file_path", "left_semi")
+    return replaced.select(F.col("file_path").alias("doc_id"))
+
+
 def _children(folder: str) -> list[tuple[str, int]] | None:
     """Names and times of what is in a folder, none if it is missing; None if only Spark can read there."""
     try:

@@ -318,3 +318,78 @@ def test_writer_sees_what_others_wrote(spark, log_tree, tmp_path):
     assert writer.snapshot(spark) is held and held.version == 2
     store.delete_documents(spark, root, store.read_chunks(spark, root).select("doc_id").distinct())
     assert writer.snapshot(spark).version == 3 and writer.snapshot(spark).ledger is None
+
+
+def test_stream_takes_a_listing_file_a_micro_batch(spark, log_tree, tmp_path, monkeypatch):
+    """Paths of later micro-batches are known, and each is published in turn from what was prepared."""
+    root, checkpoint = str(tmp_path / "store"), str(tmp_path / "checkpoint")
+    published, publish = [], store.publish_prepared
+    monkeypatch.setattr(store, "publish_prepared", lambda *a: published.append(publish(*a)) or published[-1])
+
+    def run():
+        stream_ingest(spark, str(log_tree), root, EMBEDDER, checkpoint, max_files_per_trigger=1).awaitTermination()
+
+    run()
+    listed = spark.read.parquet(f"{checkpoint}/listing")
+    assert published == list(range(1, listed.count() + 1))
+    assert listed.groupBy("_metadata.file_path").count().agg({"count": "max"}).first()[0] == 1
+    by_version = store.read_stored(spark, root).groupBy("version").agg(F.countDistinct("doc_id").alias("n")).collect()
+    assert {r.version: r.n for r in by_version} == dict.fromkeys(published, 1)
+    assert list((tmp_path / "store/prepared").iterdir()) == []
+    times = {r.file_path: r.modified_at for r in listed.collect()}
+    order = [times[r.doc_id] for r in store.read_stored(spark, root).select("doc_id", "version").distinct().orderBy("version").collect()]
+    assert order == sorted(order)
+    (log_tree / "a/w.log").write_bytes(b"changed, but seen")
+    (log_tree / "a/late.log").write_bytes(b"late")
+    run()
+    assert len(published) == spark.read.parquet(f"{checkpoint}/listing").count() == len(times) + 1
+    assert {t for n, _, t in snapshot(spark, root) if n in ("a/w.log", "a/late.log")} == {"second log\n", "late"}
+    run()
+    assert len(published) == len(times) + 1
+
+
+def test_failed_stream_goes_on_where_it_stopped(spark, log_tree, tmp_path, monkeypatch):
+    root, checkpoint = str(tmp_path / "store"), str(tmp_path / "checkpoint")
+    publish = store.publish_prepared
+
+    def run():
+        stream_ingest(spark, str(log_tree), root, EMBEDDER, checkpoint, max_files_per_trigger=2).awaitTermination()
+
+    def fail_at_second(spark, root, folder, after):
+        if after.version == 1:
+            raise RuntimeError("lost")
+        return publish(spark, root, folder, after)
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "publish_prepared", fail_at_second)
+        with pytest.raises(Exception, match="lost"):
+            run()
+    assert store.last_version(spark, root) == 1
+    # Another writer takes the next version, with a file that the stream has yet to see.
+    (log_tree / "a/w.log").write_bytes(b"changed")
+    ingest.ingest_logs(spark, str(log_tree), root, EMBEDDER)
+    assert snapshot(spark, root) == expected(log_tree)
+    run()
+    assert snapshot(spark, root) == expected(log_tree)
+
+
+def test_stream_goes_on_from_a_checkpoint_of_sparks_source(spark, log_tree, tmp_path, monkeypatch):
+    root, checkpoint = str(tmp_path / "store"), str(tmp_path / "checkpoint")
+
+    def run():
+        stream_ingest(spark, str(log_tree), root, EMBEDDER, checkpoint, max_files_per_trigger=3).awaitTermination()
+
+    with monkeypatch.context() as m:
+        m.setattr(ingest.fl, "can_stream_listing", lambda *_: False)
+        run()
+    version = store.last_version(spark, root)
+    (log_tree / "a/late.log").write_bytes(b"late")
+    run()
+    assert store.last_version(spark, root) == version + 1 and not (tmp_path / "checkpoint/listing").exists()
+    assert snapshot(spark, root) == expected(log_tree)
+
+
+def test_stream_of_nothing(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    stream_ingest(spark, str(tmp_path / "logs"), str(tmp_path / "store"), EMBEDDER, str(tmp_path / "c")).awaitTermination()
+    assert store.read_chunks(spark, str(tmp_path / "store")).count() == 0
