@@ -381,10 +381,12 @@ def knn_join(
     visitors = _count_visits(further, visits, len(points))
     queries_asked = further.count()
     if visitors @ counts > DENSE * queries_asked * counts.sum():
-        one, rows = cells.withColumn("_cell", F.lit(0)), max(part_rows, min(DENSE_PARTS * part_rows, HELD_BYTES // (8 * max(points.shape[1], 1))))
-        everyone, all_rows = np.array([queries_asked]), np.array([counts.sum()])
-        blocks = -(-TASKS_PER_CORE * data.sparkSession.sparkContext.defaultParallelism // max(1, -(-int(counts.sum()) // rows)))
-        block = min(block_queries, -(-queries_asked // blocks))
+        # The fewest copies are made by about as many parts as blocks.
+        total, tasks = int(counts.sum()), TASKS_PER_CORE * data.sparkSession.sparkContext.defaultParallelism
+        most = min(DENSE_PARTS * part_rows, HELD_BYTES // (8 * max(points.shape[1], 1)))
+        rows = max(part_rows, min(most, -(-total // int(np.sqrt(tasks)))))
+        block = min(block_queries, max(1, -(-queries_asked // -(-tasks // -(-total // rows)))))
+        one, all_rows, everyone = cells.withColumn("_cell", F.lit(0)), np.array([total]), np.array([queries_asked])
         found = _compare(one, further, all_rows, everyone, lambda batch: np.ones((batch.num_rows, 1), bool), ids, k, rows, block)
     else:
         found = first.unionByName(_compare(cells, further, counts, visitors, visits, ids, k, part_rows, block_queries))
