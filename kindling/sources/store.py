@@ -103,17 +103,11 @@ def _write_chunks(spark: SparkSession, chunks: DataFrame, path: str, few: bool =
     written = spark.read.schema(schemas.STORED_CHUNKS).parquet(path)
     if few and scan_bytes(written) <= TASK_BYTES:
         written = written.coalesce(1)  # one task tells the files apart without a shuffle
-    return (
-        written.select("doc_id", "content_hash", "file_size")
-        .distinct()
-        .select(
-            F.col("doc_id").alias("file_path"),
-            "content_hash",
-            "file_size",
-            F.current_timestamp().alias("processed_at"),
-            F.lit("processed").alias("status"),
-        )
-    )
+    # The time of writing, as the current time would be a constant, for which each version had its own code compiled.
+    told = written.select("doc_id", "content_hash", "file_size", "_metadata.file_modification_time") if few else written
+    when = F.max("file_modification_time") if few else F.current_timestamp()
+    entries = told.groupBy("doc_id", "content_hash", "file_size").agg(when.alias("processed_at"))
+    return entries.select(F.col("doc_id").alias("file_path"), "content_hash", "file_size", "processed_at", F.lit("processed").alias("status"))
 
 
 def prepare_version(spark: SparkSession, root: str, chunks: DataFrame, after: Snapshot) -> str:

@@ -70,15 +70,16 @@ def stream_ingest(
 def _publish_ahead(
     spark: SparkSession, listed: fl.ListingStream, root: str, embedder: Embedder, versions: store.Writer, options: dict
 ) -> Callable[[DataFrame, int], None]:
-    """Publishes a micro-batch, and meanwhile prepares those that come next, as many as there are cores.
+    """Publishes a micro-batch, and meanwhile prepares those that come next, as many as half the cores.
 
     What was prepared becomes visible only here, in turn. It is made again if another writer changed the
     store, and what comes in another order than foreseen is prepared when it comes.
     """
     place = {name: i for i, name in enumerate(listed.order)}
-    cores = spark.sparkContext.defaultParallelism
+    # More at once take more of the driver's memory, and publishing is not faster.
+    most = max(2, spark.sparkContext.defaultParallelism // 2)
     ahead: dict[str, tuple[store.Snapshot, Future]] = {}
-    pool = ThreadPoolExecutor(cores)
+    pool = ThreadPoolExecutor(most)
 
     def prepare(name: str, held: store.Snapshot) -> str:
         listing = listed.batch(spark, name)
@@ -92,7 +93,7 @@ def _publish_ahead(
             held = versions.snapshot(spark)
             name = batch.first().listed_in
             at = place.get(name, len(place))
-            for near in [name, *listed.order[at + 1 : at + 1 + cores]]:
+            for near in [name, *listed.order[at + 1 : at + 1 + most]]:
                 if near not in ahead or ahead[near][0] is not held:
                     ahead[near] = held, pool.submit(prepare, near, held)
             versions.wrote(store.publish_prepared(spark, root, ahead.pop(name)[1].result(), held))
